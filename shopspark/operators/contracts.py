@@ -43,12 +43,13 @@ class Contract:
         return Contract(self.table, {**self.rows, **rows}, self.unique, self.totals)
 
 
-def row_counters(df: DataFrame, contract: Contract) -> list[Column]:
-    """One counter per row rule; also usable in ``observe``."""
-    return [
-        F.coalesce(F.sum(F.when(rule(df), 1).otherwise(0)), F.lit(0)).cast("bigint").alias(name)
-        for name, rule in contract.rows.items()
-    ]
+def row_counters(df: DataFrame, contract: Contract, among: Column | None = None) -> list[Column]:
+    """One counter per row rule, over the rows ``among``; also usable in ``observe``."""
+    counters = []
+    for name, rule in contract.rows.items():
+        bad = rule(df) if among is None else among & rule(df)
+        counters.append(F.count(F.when(bad, 1)).alias(name))
+    return counters
 
 
 def _as_rows(counts: DataFrame) -> DataFrame:
