@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
+from functools import reduce
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -13,9 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from shopspark.domain import shop
+from shopspark.domain import FAULTS, RAW, faulty, order_heads, shop
+from shopspark.operators.contracts import violations
+from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
+from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
+from shopspark.operators.merge import MergeSpec, merge
+from shopspark.operators.quantiles import with_ntiles
+from shopspark.operators.rulebook import CONTRACTS, strict_contract
+from shopspark.operators.transforms import clean
 from shopspark.plans import customers, products, sales, web
+from shopspark.plans.load import load_all
 from shopspark.session import configure
+from shopspark.sources.raw import scan
+from shopspark.storage import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,11 +35,16 @@ AS_OF = date(2002, 1, 1)
 
 
 def portable(df: DataFrame) -> DataFrame:
-    """Types both engines hand to Python alike: decimals as doubles, times without a zone."""
+    """Types both engines hand to Python alike.
+
+    Decimals show as doubles, times without a zone, the parts of a struct as columns.
+    """
     shown = []
     for field in df.schema.fields:
         kind = field.dataType.typeName()
-        if kind.startswith("decimal"):
+        if kind == "struct":
+            shown += [F.col(f"{field.name}.{part}").alias(f"{field.name}_{part}") for part in field.dataType.names]
+        elif kind.startswith("decimal"):
             shown.append(F.col(field.name).cast("double").alias(field.name))
         elif kind == "timestamp":
             shown.append(F.col(field.name).cast("timestamp_ntz").alias(field.name))
@@ -124,6 +140,170 @@ def event_traffic_source(spark, root):
     return web.event_traffic_source(shop(spark, root, "events"))
 
 
+# --- cleaning and contracts ----------------------------------------------------------------------
+
+
+def cleaned_faults(spark, root, table):
+    return clean(faulty(spark, root, table), table)
+
+
+def register(name: str, run: Query) -> None:
+    run.__name__ = name
+    query(run)
+
+
+for _table in FAULTS:
+    register(f"clean_{_table}", lambda spark, root, t=_table: cleaned_faults(spark, root, t))
+    register(
+        f"validate_{_table}", lambda spark, root, t=_table: violations(cleaned_faults(spark, root, t), CONTRACTS[t])
+    )
+
+
+@query
+def strict_checks(spark, root):
+    """Load contracts and warehouse constraints of all tables in one report."""
+    reports = [
+        violations(cleaned_faults(spark, root, t), strict_contract(t)).select(
+            F.lit(t).alias("table_name"), "rule", "violations"
+        )
+        for t in FAULTS
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+@query
+def lifecycle_repair(spark, root):
+    return shop(spark, root, "order_items").select("id", "created_at", "shipped_at", "delivered_at", "returned_at")
+
+
+# --- references ----------------------------------------------------------------------------------
+
+
+def item_keys(spark, root):
+    """Foreign keys of the order items; products are those with a warehouse."""
+    return [
+        ForeignKey("order_id", order_heads(spark, root), "order_id"),
+        ForeignKey("user_id", shop(spark, root, "users")),
+        ForeignKey("product_id", keep_valid(shop(spark, root, "products"), [center_key(spark, root)])),
+        ForeignKey("inventory_item_id", RAW["order_items"](spark, root)),
+    ]
+
+
+def center_key(spark, root):
+    return ForeignKey("distribution_center_id", shop(spark, root, "distribution_centers"))
+
+
+@query
+def orphan_report(spark, root):
+    def named(prefix, keys):
+        return [ForeignKey(k.column, k.target, k.target_column, f"{prefix}.{k.column}") for k in keys]
+
+    items = faulty(spark, root, "order_items")
+    return orphans_of(shop(spark, root, "products"), named("products", [center_key(spark, root)])).unionByName(
+        orphans_of(items, named("order_items", item_keys(spark, root)[:3]))
+    )
+
+
+@query
+def fk_filter(spark, root):
+    kept = keep_valid(shop(spark, root, "products"), [center_key(spark, root)])
+    return kept.select("id", "name", "distribution_center_id")
+
+
+@query
+def fk_chain(spark, root):
+    kept = keep_valid(faulty(spark, root, "order_items"), item_keys(spark, root))
+    return kept.select("id", "order_id", "user_id", "product_id", "inventory_item_id")
+
+
+@query
+def fk_drops(spark, root):
+    marked = mark_drops(faulty(spark, root, "order_items"), item_keys(spark, root))
+    reason = F.coalesce("dropped_by", F.lit("kept")).alias("dropped_by")
+    return marked.groupBy(reason).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- increments and merge ------------------------------------------------------------------------
+
+
+@query
+def watermark_load(spark, root):
+    stock = shop(spark, root, "inventory_items").select("id", "product_id", "created_at")
+    loaded = stock.filter(F.col("created_at") < F.lit("2000-03-15").cast("timestamp"))
+    return newer_than(stock, high_watermark(loaded))
+
+
+@query
+def lookback_load(spark, root):
+    return within_lookback(order_heads(spark, root), datetime(2001, 7, 1), 180)
+
+
+def product_batch(spark, root):
+    """A later delivery of products: new keys, changed prices and lost names."""
+    given = shop(spark, root, "products").filter(F.col("distribution_center_id") < 10)
+    return given.select(
+        F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
+        F.when(F.col("id") % 3 != 0, F.col("name")).alias("name"),
+        F.when(F.col("id") % 7 == 0, F.col("retail_price") + 1).otherwise(F.col("retail_price")).alias("retail_price"),
+        F.concat(F.lit("new "), F.col("brand")).alias("brand"),
+        "sku",
+    )
+
+
+def stored_products(spark, root):
+    return shop(spark, root, "products").select("id", "name", "retail_price", "brand", "sku")
+
+
+@query
+def upsert_merge(spark, root):
+    merged = merge(stored_products(spark, root), product_batch(spark, root), MergeSpec(frozen=("brand", "sku")))
+    return merged.withColumnRenamed("_action", "action")
+
+
+@query
+def upsert_actions(spark, root):
+    merged = merge(stored_products(spark, root), product_batch(spark, root), MergeSpec(frozen=("brand", "sku")))
+    return merged.groupBy(F.col("_action").alias("action")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def upsert_insert_only(spark, root):
+    every = MergeSpec(frozen=("name", "retail_price", "brand", "sku"))
+    merged = merge(stored_products(spark, root), product_batch(spark, root), every)
+    return merged.select("id", "brand", F.col("_action").alias("action"))
+
+
+@query
+def ntile_distributed(spark, root):
+    orders = scan(spark, root, "orders").select(
+        "o_orderkey",
+        (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("_cents"),
+        F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).alias("_days"),
+    )
+    tiles = with_ntiles(
+        materialize(orders, "orders"), {"price_tile": "_cents", "age_tile": "_days"}, "o_orderkey", 7
+    )
+    return tiles.select("o_orderkey", "price_tile", "age_tile")
+
+
+@query
+def sessionize(spark, root):
+    return RAW["events"](spark, root).select("id", "session_id", "sequence_number")
+
+
+@query
+def run_log(spark, root):
+    """The whole load, run twice into a fresh place: what each step read, kept and changed."""
+    target = scratch_path(spark, "warehouse")
+    logs = []
+    for run in (1, 2):
+        done = load_all(spark, lambda t: RAW[t](spark, root), target, datetime(2002, 1, 1), lookback=None)
+        logs.append(done.frame(spark).withColumn("run", F.lit(run)))
+    return logs[0].unionByName(logs[1]).select(
+        "run", "table_name", "rows_in", "rows_out", "rows_dropped", "inserted", "updated", "unchanged"
+    )
+
+
 # --- driver contract -----------------------------------------------------------------------------
 
 
