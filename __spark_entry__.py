@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 import oracles
 from shopspark.domain import FAULTS, RAW, faulty, order_heads, shop
+from shopspark.operators import embedding, knn
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
 from shopspark.operators.merge import MergeSpec, merge
 from shopspark.operators.quantiles import with_ntiles
+from shopspark.operators.radius import nearest, radius_join
 from shopspark.operators.rulebook import CONTRACTS, strict_contract
 from shopspark.operators.transforms import clean
-from shopspark.plans import customers, products, sales, web
+from shopspark.plans import customers, products, sales, search, web
 from shopspark.plans.load import load_all
 from shopspark.session import configure
 from shopspark.sources.raw import scan
@@ -304,6 +306,98 @@ def run_log(spark, root):
     )
 
 
+# --- maps, texts and vectors ---------------------------------------------------------------------
+
+
+@query
+def user_logistics(spark, root):
+    tables = ("users", "orders", "order_items", "products", "distribution_centers")
+    return search.user_logistics(*[shop(spark, root, t) for t in tables])
+
+
+@query
+def hotspots(spark, root):
+    return search.hotspots(shop(spark, root, "users"), cell_degrees=5.0)
+
+
+@query
+def within_radius(spark, root):
+    users = shop(spark, root, "users").select(F.col("id").alias("user_id"), "latitude", "longitude")
+    pairs = radius_join(users, shop(spark, root, "distribution_centers"), 2_500_000.0)
+    return pairs.select("user_id", "center_id", F.round(F.col("distance_m") / 1000, 3).alias("distance_km"))
+
+
+@query
+def nearest_dc(spark, root):
+    found = nearest(shop(spark, root, "users"), shop(spark, root, "distribution_centers"))
+    return found.select(
+        F.col("id").alias("user_id"), "center_id", F.round(F.col("distance_m") / 1000, 3).alias("distance_km")
+    )
+
+
+@query
+def product_documents(spark, root):
+    return search.product_documents(shop(spark, root, "products"))
+
+
+@query
+def user_profiles(spark, root):
+    profiles = search.user_profiles(shop(spark, root, "users"), shop(spark, root, "order_items"))
+    return profiles.withColumn("avg_spend", F.round("avg_spend", 6))
+
+
+@query
+def embed(spark, root):
+    """Vectors of the whole documents, shown as their non-zero cells."""
+    vectors = embedding.embed(scan(spark, root, "documents").select("doc_id", "text"), "text")
+    cells = vectors.select("doc_id", F.posexplode("embedding").alias("cell", "weight"))
+    return cells.filter(F.col("weight") != 0).withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+
+
+def label_heads(vectors):
+    """One query per label: its first vector."""
+    firsts = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("id"))
+    return firsts.select("id", "embedding")
+
+
+@query
+def similar(spark, root):
+    vectors = scan(spark, root, "embeddings")
+    found = knn.similar(vectors, label_heads(vectors), 10, key="vec_id", query_key="id", skip_self=True)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def similar_ann(spark, root):
+    vectors = scan(spark, root, "embeddings")
+    index = knn.build_index(vectors, scratch_path(spark, "vector-cells"), cells=16, key="vec_id")
+    found = knn.similar_ann(index, label_heads(vectors), 10, probes=6, skip_self=True)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query
+def hybrid_search(spark, root):
+    profiles = search.user_profiles(shop(spark, root, "users"), shop(spark, root, "order_items"))
+    found = search.hybrid_search(
+        profiles, oracles.QUESTION, oracles.HYBRID_LAT, oracles.HYBRID_LON, oracles.HYBRID_METRES,
+        oracles.HYBRID_SPEND, oracles.HYBRID_K,
+    )
+    return found.withColumn("distance", F.round("distance", 5))
+
+
+@query
+def name_search(spark, root):
+    found = search.name_search(shop(spark, root, "products"), oracles.NAME_QUERY, threshold=oracles.NAME_LIMIT)
+    return found.select("id", "name", "brand", "category", F.round("score", 6).alias("score"), "contains_text")
+
+
+@query
+def ci_match(spark, root):
+    """Users per city written in mixed case."""
+    mixed = F.when(F.col("id") % 3 == 0, F.lower("city")).otherwise(F.col("city"))
+    return search.ci_groups(shop(spark, root, "users").withColumn("city", mixed), "city")
+
+
 # --- driver contract -----------------------------------------------------------------------------
 
 

@@ -603,3 +603,137 @@ SELECT 2, table_name, CASE WHEN table_name = 'inventory_items' THEN 0 ELSE rows_
   CASE WHEN table_name = 'inventory_items' THEN 0 ELSE rows_out END,
   CASE WHEN table_name = 'inventory_items' THEN 0 ELSE rows_in - rows_out END, 0, 0,
   CASE WHEN table_name = 'inventory_items' THEN 0 ELSE rows_out END FROM counts"""
+
+# --- maps ----------------------------------------------------------------------------------------
+
+
+def angle(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Haversine angle of points in radians."""
+    return (
+        f"2.0 * asin(sqrt(least(1.0::DOUBLE, pow(sin((({lat2}) - ({lat1})) / 2), 2)"
+        f" + cos({lat1}) * cos({lat2}) * pow(sin((({lon2}) - ({lon1})) / 2), 2))))"
+    )
+
+
+def reduced(lat: str) -> str:
+    return f"atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians({lat})))"
+
+
+def lambert(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    """Metres on the ellipsoid as one expression."""
+    b1, b2 = reduced(lat1), reduced(lat2)
+    s = angle(b1, f"radians({lon1})", b2, f"radians({lon2})")
+    p, q = f"(({b1}) + ({b2})) / 2", f"(({b2}) - ({b1})) / 2"
+    x = f"(({s}) - sin({s})) * pow(sin({p}), 2) * pow(cos({q}), 2) / pow(cos(({s}) / 2), 2)"
+    y = f"(({s}) + sin({s})) * pow(cos({p}), 2) * pow(sin({q}), 2) / pow(sin(({s}) / 2), 2)"
+    return (
+        f"CASE WHEN ({s}) < 1e-12 THEN 0.0::DOUBLE"
+        f" ELSE 6378137.0::DOUBLE * (({s}) - 1 / (2 * 298.257223563::DOUBLE) * (({x}) + ({y}))) END"
+    )
+
+
+KM = lambert("u.latitude", "u.longitude", "d.latitude", "d.longitude")
+
+SQL["user_logistics"] = f"""WITH {HEADS}, {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_RAW}
+SELECT u.id AS user_id, d.id AS dc_id, u.longitude AS user_geom_lon, u.latitude AS user_geom_lat,
+  d.longitude AS distribution_center_geom_lon, d.latitude AS distribution_center_geom_lat,
+  round(({KM}) / 1000, 3) AS distance_km
+FROM lineitem l JOIN heads h ON l.l_orderkey = h.order_id JOIN users_raw u ON h.user_id = u.id
+  JOIN products_raw p ON l.l_partkey = p.id JOIN centers_raw d ON p.distribution_center_id = d.id"""
+
+SQL["hotspots"] = f"""WITH {USERS_RAW}
+SELECT round_even(longitude / 5.0::DOUBLE, 0)::BIGINT AS cell_x, round_even(latitude / 5.0::DOUBLE, 0)::BIGINT AS cell_y,
+  count(*) AS density, round_even(avg(age), 0)::INT AS avg_user_age,
+  round_even(longitude / 5.0::DOUBLE, 0)::BIGINT * 5.0::DOUBLE AS grid_geom_lon,
+  round_even(latitude / 5.0::DOUBLE, 0)::BIGINT * 5.0::DOUBLE AS grid_geom_lat
+FROM users_raw GROUP BY ALL"""
+
+SQL["within_radius"] = f"""WITH {CENTERS_RAW}, {USERS_RAW}, d AS (
+  SELECT u.id AS user_id, d.id AS center_id, {KM} AS m FROM users_raw u, centers_raw d)
+SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM d WHERE m <= 2500000"""
+
+SQL["nearest_dc"] = f"""WITH {CENTERS_RAW}, {USERS_RAW}, d AS (
+  SELECT u.id AS user_id, d.id AS center_id, {KM} AS m FROM users_raw u, centers_raw d)
+SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM d
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m, center_id) = 1"""
+
+# --- texts and vectors ---------------------------------------------------------------------------
+
+SQL["product_documents"] = f"""WITH {PRODUCTS_RAW}
+SELECT id AS source_id, concat_ws(' ', brand, name, category, department) AS chunk_text, brand, category, department,
+  retail_price::DOUBLE AS retail_price FROM products_raw"""
+
+PROFILE_TEXT = (
+    "'User profile: ' || gender || ', ' || age || ' years old, located_in ' || city || ', ' || state || ', ' || country"
+    " || '. Acquired via ' || traffic_source || '.'"
+)
+PROFILES = f"""{ITEMS_RAW}, {USERS_RAW}, spend AS (
+  SELECT user_id, sum(sale_price)::DOUBLE / count(sale_price) AS avg_spend FROM items_raw GROUP BY 1),
+profiles AS (
+  SELECT u.id AS user_id, city, country, latitude, longitude, {PROFILE_TEXT} AS chunk_text,
+    longitude AS user_geom_lon, latitude AS user_geom_lat, avg_spend
+  FROM users_raw u LEFT JOIN spend s ON u.id = s.user_id)"""
+SQL["user_profiles"] = f"""WITH {PROFILES} SELECT * REPLACE (round(avg_spend, 6) AS avg_spend) FROM profiles"""
+
+
+def hashed_words(source: str, key: str, text: str) -> str:
+    """CTEs giving the unit vector of a text as rows (key, cell, weight)."""
+    return f"""
+words AS (SELECT {key}, lower(unnest(regexp_extract_all({text}, '[A-Za-z0-9]+'))) AS word FROM {source}),
+cells AS (SELECT {key}, (('0x' || substr(md5(word), 1, 8))::BIGINT % 384)::INT AS cell, count(*) AS n
+  FROM words GROUP BY ALL),
+weights AS (SELECT {key}, cell, (n / sqrt(sum(n * n) OVER (PARTITION BY {key})))::DOUBLE AS weight FROM cells)"""
+
+
+SQL["embed"] = f"""WITH {hashed_words('documents', 'doc_id', 'text')}
+SELECT doc_id, cell, round(weight::FLOAT::DOUBLE, 5) AS weight FROM weights"""
+
+SQL["similar"] = """
+WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label),
+p AS (
+  SELECT q.query_id, e.vec_id AS id,
+    round(1 - list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 10) AS distance
+  FROM q JOIN embeddings s ON s.vec_id = q.query_id JOIN embeddings e ON e.vec_id <> q.query_id)
+SELECT query_id, id, round(distance, 6) AS distance,
+  row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank
+FROM p QUALIFY rank <= 10"""
+
+QUESTION = "young female shopper from ASIA acquired via FURNITURE"
+HYBRID_LAT, HYBRID_LON, HYBRID_METRES, HYBRID_SPEND, HYBRID_K = 10.0, 20.0, 6_000_000.0, 30_000.0, 20
+SQL["hybrid_search"] = f"""WITH {PROFILES}, near AS (
+  SELECT user_id, chunk_text FROM profiles WHERE avg_spend >= {HYBRID_SPEND}
+    AND {lambert('latitude', 'longitude', f'{HYBRID_LAT}::DOUBLE', f'{HYBRID_LON}::DOUBLE')} <= {HYBRID_METRES}
+  UNION ALL SELECT -1, '{QUESTION}'), {hashed_words('near', 'user_id', 'chunk_text')},
+found AS (
+  SELECT n.user_id, 1 - coalesce(sum(w.weight * q.weight), 0) AS d
+  FROM near n LEFT JOIN weights w ON w.user_id = n.user_id
+    LEFT JOIN weights q ON q.user_id = -1 AND q.cell = w.cell
+  WHERE n.user_id <> -1 GROUP BY 1)
+SELECT user_id, round(d, 5) AS distance, row_number() OVER (ORDER BY round(d, 6), user_id)::INT AS rank
+FROM found QUALIFY rank <= {HYBRID_K}"""
+
+NAME_QUERY = "Smal wigdet"
+NAME_LIMIT = 0.3
+
+
+def grams(text: str) -> str:
+    return f"""list_distinct(flatten(list_transform(
+    list_filter(string_split_regex(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''),
+    lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
+
+
+def alike(column: str) -> str:
+    a, b = grams(column), grams(f"'{NAME_QUERY}'")
+    shared = f"length(list_intersect({a}, {b}))"
+    return f"({shared}::DOUBLE / (length({a}) + length({b}) - {shared}))"
+
+
+SQL["name_search"] = f"""WITH {PRODUCTS_RAW}, s AS (
+  SELECT id, name, brand, category, greatest({alike('name')}, {alike('brand')}, {alike('category')}) AS score,
+    contains(lower(name), lower('{NAME_QUERY}')) OR contains(lower(brand), lower('{NAME_QUERY}'))
+      OR contains(lower(category), lower('{NAME_QUERY}')) AS contains_text FROM products_raw)
+SELECT id, name, brand, category, round(score, 6) AS score, contains_text FROM s
+WHERE score >= {NAME_LIMIT} OR contains_text"""
+
+SQL["ci_match"] = f"""WITH {USERS_RAW}
+SELECT lower(city) AS city, count(*) AS rows FROM users_raw GROUP BY 1"""

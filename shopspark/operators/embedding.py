@@ -71,7 +71,8 @@ def embed(
                     vectors.at[position] = vector
             yield vectors
 
-    return df.withColumn(output, encode(F.col(text)))
+    # Marked so that a later filter on the vector does not run the model again.
+    return df.withColumn(output, encode.asNondeterministic()(F.col(text)))
 
 
 def embed_query(text: str, make_encoder: Callable[[], Encoder] = HashedWords) -> list[float]:

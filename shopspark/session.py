@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import shopspark
+
 # Runtime settings. Partition counts stay with the cluster: adaptive execution
 # coalesces or splits shuffle partitions from their measured size.
 RUNTIME = {
@@ -16,7 +19,11 @@ RUNTIME = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere."""
+    """Apply the runtime settings to a session made elsewhere.
+
+    Task functions travel by value, so workers need not have the package installed.
+    """
+    cloudpickle.register_pickle_by_value(shopspark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark
@@ -36,4 +43,4 @@ def local_session(cores: str = "*", app: str = "shopspark", **extra: str) -> Spa
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
