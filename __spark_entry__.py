@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from shopspark.domain import FAULTS, RAW, faulty, order_heads, shop
+from shopspark.domain import FAULTS, RAW, faulty, item_columns, order_heads, product_columns, shop, with_faults
 from shopspark.operators import embedding, knn
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
@@ -27,8 +27,10 @@ from shopspark.operators.transforms import clean
 from shopspark.plans import customers, products, sales, search, web
 from shopspark.plans.load import load_all
 from shopspark.session import configure
-from shopspark.sources.raw import scan
+from shopspark.sources.raw import scan, scan_stream
+from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import materialize, scratch_path
+from shopspark.streaming import ingest, metrics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,10 +242,9 @@ def lookback_load(spark, root):
     return within_lookback(order_heads(spark, root), datetime(2001, 7, 1), 180)
 
 
-def product_batch(spark, root):
+def product_batch(given):
     """A later delivery of products: new keys, changed prices and lost names."""
-    given = shop(spark, root, "products").filter(F.col("distribution_center_id") < 10)
-    return given.select(
+    return given.filter(F.col("distribution_center_id") < 10).select(
         F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("id"),
         F.when(F.col("id") % 3 != 0, F.col("name")).alias("name"),
         F.when(F.col("id") % 7 == 0, F.col("retail_price") + 1).otherwise(F.col("retail_price")).alias("retail_price"),
@@ -258,20 +259,20 @@ def stored_products(spark, root):
 
 @query
 def upsert_merge(spark, root):
-    merged = merge(stored_products(spark, root), product_batch(spark, root), MergeSpec(frozen=("brand", "sku")))
+    merged = merge(stored_products(spark, root), product_batch(shop(spark, root, "products")), MergeSpec(frozen=("brand", "sku")))
     return merged.withColumnRenamed("_action", "action")
 
 
 @query
 def upsert_actions(spark, root):
-    merged = merge(stored_products(spark, root), product_batch(spark, root), MergeSpec(frozen=("brand", "sku")))
+    merged = merge(stored_products(spark, root), product_batch(shop(spark, root, "products")), MergeSpec(frozen=("brand", "sku")))
     return merged.groupBy(F.col("_action").alias("action")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query
 def upsert_insert_only(spark, root):
     every = MergeSpec(frozen=("name", "retail_price", "brand", "sku"))
-    merged = merge(stored_products(spark, root), product_batch(spark, root), every)
+    merged = merge(stored_products(spark, root), product_batch(shop(spark, root, "products")), every)
     return merged.select("id", "brand", F.col("_action").alias("action"))
 
 
@@ -398,6 +399,61 @@ def ci_match(spark, root):
     return search.ci_groups(shop(spark, root, "users").withColumn("city", mixed), "city")
 
 
+# --- streams -------------------------------------------------------------------------------------
+
+
+@query
+def stream_daily_sales(spark, root):
+    lines = scan_stream(spark, root, "lineitem")
+    items = clean(item_columns(lines, order_heads(spark, root)), "order_items")
+    sums = metrics.daily_sales_stream(items, shop(spark, root, "products"), shop(spark, root, "users"))
+    table = VersionedTable(spark, scratch_path(spark, "stream-sales"), "daily_sales", sums.schema)
+    ingest.upsert_stream(
+        sums, table, MergeSpec(keys=("day", "country")), scratch_path(spark, "checkpoint"), mode="update"
+    )
+    return table.read()
+
+
+@query
+def stream_sessions(spark, root):
+    closed = metrics.session_stream(scan_stream(spark, root, "events"))
+    path = scratch_path(spark, "stream-sessions")
+    ingest.append_to(closed, path, scratch_path(spark, "checkpoint"))
+    return spark.read.schema(closed.schema).parquet(path)
+
+
+@query
+def stream_dedup(spark, root):
+    """The click stream delivered twice, cut back to one row per (event, time)."""
+    twice = scan_stream(spark, root, "events").unionByName(scan_stream(spark, root, "events"))
+    once = ingest.without_repeats(twice, ["event_id", "ts"], "ts").select("event_id", "ts", "user_id", "event_type")
+    path = scratch_path(spark, "stream-events")
+    ingest.append_to(once, path, scratch_path(spark, "checkpoint"))
+    return spark.read.schema(once.schema).parquet(path)
+
+
+@query
+def stream_upsert(spark, root):
+    """A stream of deliveries merged into stored products."""
+    stored = stored_products(spark, root)
+    table = VersionedTable(spark, scratch_path(spark, "stream-products"), "catalogue", stored.schema)
+    table.replace(stored)
+    deliveries = product_batch(clean(product_columns(scan_stream(spark, root, "part")), "products"))
+    ingest.upsert_stream(deliveries, table, MergeSpec(frozen=("brand", "sku")), scratch_path(spark, "checkpoint"))
+    return table.read()
+
+
+@query
+def stream_quarantine(spark, root):
+    """Faulty products from a stream: those of known warehouses that break a row rule."""
+    incoming = clean(with_faults(product_columns(scan_stream(spark, root, "part")), "products"), "products")
+    good, bad = scratch_path(spark, "stream-good"), scratch_path(spark, "stream-bad")
+    ingest.quarantine_stream(
+        incoming, CONTRACTS["products"], [center_key(spark, root)], good, bad, scratch_path(spark, "checkpoint")
+    )
+    return spark.read.parquet(bad).select("id", F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
 # --- driver contract -----------------------------------------------------------------------------
 
 

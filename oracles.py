@@ -737,3 +737,32 @@ WHERE score >= {NAME_LIMIT} OR contains_text"""
 
 SQL["ci_match"] = f"""WITH {USERS_RAW}
 SELECT lower(city) AS city, count(*) AS rows FROM users_raw GROUP BY 1"""
+
+# --- streams -------------------------------------------------------------------------------------
+
+SQL["stream_daily_sales"] = f"""WITH {ITEMS_RAW}, {PRODUCTS_RAW}, {USERS_RAW}
+SELECT i.created_at::DATE AS day, u.country,
+  {dollars("coalesce(sum(i.sale_price) FILTER (WHERE i.status <> 'Cancelled'), 0)")} AS gmv,
+  {dollars(f"coalesce(sum(i.sale_price) FILTER (WHERE i.{SOLD}), 0)")} AS net_revenue,
+  {dollars(f"coalesce(sum(p.cost) FILTER (WHERE i.{SOLD}), 0)")} AS cost_sold, count(*) AS items
+FROM items_raw i JOIN products_raw p ON i.product_id = p.id JOIN users_raw u ON i.user_id = u.id GROUP BY 1, 2"""
+
+# A session is closed when the watermark, here the last click of all, is a gap past its last click.
+SQL["stream_sessions"] = f"""WITH {EVENTS_RAW}, s AS (
+  SELECT user_id, sn, min(ts) AS started_at, max(ts) AS last_at, count(*) AS clicks,
+    max((event_type = 'click')::INT) AS has_cart, max((event_type = 'purchase')::INT) AS has_purchase,
+    max((event_type = 'view')::INT) AS has_product_view FROM numbered_sessions GROUP BY 1, 2)
+SELECT user_id, started_at, last_at, clicks, has_cart, has_purchase, has_product_view FROM s
+WHERE last_at + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
+
+SQL["stream_dedup"] = "SELECT event_id, ts, user_id, event_type FROM events"
+
+SQL["stream_upsert"] = f"""WITH {MERGE_INPUT}
+SELECT id, name, retail_price::DOUBLE AS retail_price, brand, sku FROM m"""
+
+_PRODUCT_RULES = ROW_RULES["products"]
+SQL["stream_quarantine"] = f"""WITH {PRODUCTS_FIXED}, {CENTERS_RAW}, marked AS (
+  SELECT id, concat_ws(',', {', '.join(f"CASE WHEN {_PRODUCT_RULES[n]} THEN '{n}' END" for n in (
+      'id_missing', 'cost_missing', 'price_missing', 'sku_missing', 'cost_negative', 'price_negative'))}) AS failed_rules
+  FROM products WHERE distribution_center_id IN (SELECT id FROM centers_raw))
+SELECT * FROM marked WHERE failed_rules <> ''"""

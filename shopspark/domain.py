@@ -65,10 +65,10 @@ def raw_distribution_centers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_products(spark: SparkSession, root: str) -> DataFrame:
+def product_columns(part: DataFrame) -> DataFrame:
     """Warehouses 10 and 11 do not exist: their products are orphans."""
     price = F.col("p_retailprice").cast("decimal(18,4)")
-    return scan(spark, root, "part").select(
+    return part.select(
         F.col("p_partkey").alias("id"),
         F.round(price * F.lit("0.55").cast("decimal(2,2)"), 2).cast("decimal(10,2)").alias("cost"),
         F.col("p_type").alias("category"),
@@ -81,6 +81,10 @@ def raw_products(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def raw_products(spark: SparkSession, root: str) -> DataFrame:
+    return product_columns(scan(spark, root, "part"))
+
+
 def order_heads(spark: SparkSession, root: str) -> DataFrame:
     """Orders without their item roll-up; buyers ending in 3 have none."""
     state, key = F.col("o_orderstatus"), F.col("o_orderkey")
@@ -324,8 +328,11 @@ FAULTS: dict[str, dict[str, str]] = {
 }
 
 
-def faulty(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A raw business table with the faults above worked in."""
-    raw = RAW[table](spark, root)
+def with_faults(raw: DataFrame, table: str) -> DataFrame:
     faults = FAULTS[table]
     return raw.select(*[F.expr(faults[c]).alias(c) if c in faults else F.col(c) for c in raw.columns])
+
+
+def faulty(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A raw business table with the faults above worked in."""
+    return with_faults(RAW[table](spark, root), table)
