@@ -118,8 +118,11 @@ def item_columns(lines: DataFrame, heads: DataFrame) -> DataFrame:
         .otherwise(F.col("_status"))
     )
     quantity = F.col("l_quantity").cast("int")
-    price = F.col("l_extendedprice").cast("decimal(12,2)") * (
-        F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)")
+    # Cents and percent are whole numbers, so the price is exact in integers.
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+    kept = F.lit(100) - F.rint(F.col("l_discount") * 100).cast("bigint")
+    price = F.call_function("div", cents * kept + 50, F.lit(100)).cast("decimal(12,0)") * F.lit("0.01").cast(
+        "decimal(2,2)"
     )
     return lines.join(head, F.col("l_orderkey") == F.col("order_id")).withColumns(
         {
@@ -128,7 +131,7 @@ def item_columns(lines: DataFrame, heads: DataFrame) -> DataFrame:
             "shipped_at": F.when(delivered | (F.col("_status") == "Shipped"), F.col("l_shipdate")),
             "delivered_at": F.when(delivered, _plus_days("l_shipdate", quantity % 7 - 2)),
             "returned_at": F.when(returned, _plus_days("l_shipdate", quantity % 11 - 3)),
-            "sale_price": F.round(price, 2).cast("decimal(10,2)"),
+            "sale_price": price.cast("decimal(10,2)"),
         }
     )
 

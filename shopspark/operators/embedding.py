@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopspark.storage import spread
+
 # Texts per model call and vector width.
 BATCH_SIZE = 256
 WIDTH = 384
@@ -72,7 +74,7 @@ def embed(
             yield vectors
 
     # Marked so that a later filter on the vector does not run the model again.
-    return df.withColumn(output, encode.asNondeterministic()(F.col(text)))
+    return spread(df).withColumn(output, encode.asNondeterministic()(F.col(text)))
 
 
 def embed_query(text: str, make_encoder: Callable[[], Encoder] = HashedWords) -> list[float]:

@@ -7,8 +7,8 @@ plain comparisons, without sort or shuffle.
 The boundary rows are found exactly by narrowing: an interval known to hold the
 wanted rank is cut into equal cells, the rows per cell are counted (map-side
 combined), and the cell holding the rank is cut again. Ties on the value are
-resolved the same way on the id. The driver sees only cell counts, whose number
-is bounded by ``FAN_OUT`` per boundary.
+resolved the same way on the id. Once a cell holds few rows they are looked at
+directly. The driver sees at most ``FAN_OUT`` counts or rows per boundary.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ class _Search:
     rank: int
     low: int
     high: int
+    rows: int  # rows inside the interval
     tie: int | None = None  # the boundary value once known; then ids are searched
 
     @property
@@ -44,14 +45,15 @@ class _Search:
     def scope(self) -> tuple:
         return (self.value, self.low, self.high, self.tie)
 
+    def inside(self, id_column: str) -> Column:
+        if self.tie is None:
+            return F.col(self.value).between(self.low, self.high)
+        return (F.col(self.value) == self.tie) & F.col(id_column).between(self.low, self.high)
+
     def cell(self, id_column: str) -> Column:
         """Number of the cell a row falls into, null outside the interval."""
-        searched = self.value if self.tie is None else id_column
-        inside = F.col(searched).between(self.low, self.high)
-        if self.tie is not None:
-            inside = inside & (F.col(self.value) == self.tie)
-        offset = F.col(searched) - F.lit(self.low)
-        return F.when(inside, F.call_function("div", offset, F.lit(self.width)))
+        offset = F.col(self.value if self.tie is None else id_column) - F.lit(self.low)
+        return F.when(self.inside(id_column), F.call_function("div", offset, F.lit(self.width)))
 
 
 def bucket_ends(total: int, buckets: int) -> list[int]:
@@ -81,12 +83,30 @@ def _narrow(df: DataFrame, searches: list[_Search], id_column: str, ids: tuple[i
             if search.rank <= rows:
                 search.low = low + cell * width
                 search.high = min(high, search.low + width - 1)
+                search.rows = rows
                 break
             search.rank -= rows
         if search.tie is None and search.low == search.high:
             search.tie, (search.low, search.high) = search.low, ids
 
 
+def _finish(df: DataFrame, searches: list[_Search], id_column: str) -> None:
+    """One job that fetches the few rows left in each interval and picks the ranks."""
+    scopes = list({s.scope: s for s in searches}.values())
+    hits = [
+        F.when(s.inside(id_column), F.struct(F.lit(i).alias("scope"), F.col(s.value).cast("bigint").alias("value")))
+        for i, s in enumerate(scopes)
+    ]
+    found = df.select(F.col(id_column).alias("_id"), F.explode(F.array(*hits)).alias("hit")).filter("hit is not null")
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for row in found.select("hit.scope", "hit.value", "_id").collect():  # at most FAN_OUT rows per scope
+        rows.setdefault(row["scope"], []).append((row["value"], row["_id"]))
+    numbers = {s.scope: i for i, s in enumerate(scopes)}
+    picked = [sorted(rows[numbers[s.scope]])[s.rank - 1] for s in searches]
+    for search, (value, key) in zip(searches, picked):
+        search.tie, search.low, search.high = value, key, key
+
+
 def boundaries(
     df: DataFrame, values: list[str], id_column: str, buckets: int
 ) -> dict[str, list[tuple[int, int]]]:
@@ -99,13 +119,18 @@ def boundaries(
     ).first()
     ends = bucket_ends(stats["n"], buckets)
     ids = (stats[f"min_{id_column}"], stats[f"max_{id_column}"])
-    found = {v: [_Search(v, r, stats[f"min_{v}"], stats[f"max_{v}"]) for r in ends if r > 0] for v in values}
+    found = {
+        v: [_Search(v, r, stats[f"min_{v}"], stats[f"max_{v}"], stats["n"]) for r in ends if r > 0] for v in values
+    }
     searches = [s for group in found.values() for s in group]
     for search in searches:
         if search.low == search.high:
             search.tie, (search.low, search.high) = search.low, ids
-    while open_searches := [s for s in searches if not s.done]:
-        _narrow(df, open_searches, id_column, ids)
+    while wide := [s for s in searches if not s.done and s.rows > FAN_OUT]:
+        _narrow(df, wide, id_column, ids)
+    few = [s for s in searches if not s.done]
+    if few:
+        _finish(df, few, id_column)
     return {v: [(s.tie, s.low) for s in group] for v, group in found.items()}
 
 

@@ -52,6 +52,9 @@ def _degrees_or_zero(limit: float) -> Cleaner:
 
 _PLACE = {name: _fill(UNKNOWN) for name in ("city", "state", "country")}
 
+# Money that arrives in cents needs no rounding.
+ALREADY_CENTS: dict[Cleaner | None, Cleaner] = {magnitude: F.abs, money: lambda c: c}
+
 CLEANERS: dict[str, dict[str, Cleaner]] = {
     "users": {
         **_PLACE,
@@ -152,9 +155,12 @@ def clean(df: DataFrame, table: str) -> DataFrame:
     spec = TABLES[table]
     cleaners = CLEANERS[table]
     typed = []
+    given = dict(df.dtypes)
     for name, kind, _ in spec.columns:
-        if name in df.columns:
+        if name in given:
             cleaner = cleaners.get(name)
+            if given[name] == kind:
+                cleaner = ALREADY_CENTS.get(cleaner, cleaner)
             value = cleaner(F.col(name)) if cleaner else F.col(name)
             typed.append(value.cast(kind).alias(name))
     out = FINISHERS.get(table, lambda x: x)(df.select(*typed))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,25 +52,18 @@ def cohort_retention(order_items: DataFrame, users: DataFrame, months: int = COH
     )
 
 
-def customer_stats(order_items: DataFrame, users: DataFrame) -> DataFrame:
-    """Recency, frequency and value per buyer with at least one kept sale."""
-    kept = order_items.filter(sold())
-    snapshot = kept.agg(F.date_add(F.to_date(F.max("created_at")), 1).alias("d"))
-    per_order = kept.groupBy("user_id", "order_id").agg(
-        F.max("created_at").alias("placed_at"), F.sum("sale_price").alias("spend")
+def customer_stats(order_items: DataFrame) -> DataFrame:
+    """Last purchase, frequency and value per buyer of kept items."""
+    per_order = (
+        order_items.filter(sold())
+        .groupBy("user_id", "order_id")
+        .agg(F.max("created_at").alias("placed_at"), F.sum("sale_price").alias("spend"))
     )
-    per_user = per_order.groupBy("user_id").agg(
+    return per_order.groupBy("user_id").agg(
         F.max("placed_at").alias("last_at"),
         F.count("order_id").alias("frequency_count"),
         F.sum("spend").cast("decimal(20,2)").alias("ltv"),
     )
-    known = users.select(F.col("id").alias("user_id"))
-    return per_user.join(known, "user_id", "left_semi").select(
-        "user_id",
-        F.datediff(snapshot.scalar(), F.to_date("last_at")).alias("recency_days"),
-        "frequency_count",
-        "ltv",
-    )
 
 
 def segment():
@@ -90,11 +83,18 @@ def segment():
 
 def customer_rfm_ltv(order_items: DataFrame, users: DataFrame) -> DataFrame:
     """Quintile scores and segment per buyer; ties go by user id."""
-    stats = materialize(
-        customer_stats(order_items, users)
-        .withColumn("_age", -F.col("recency_days"))
-        .withColumn("_cents", F.coalesce((F.col("ltv") * 100).cast("bigint"), F.lit(2**62))),
-        "customer-stats",
+    # The snapshot is the day after the latest kept item, known buyer or not. It is
+    # observed while the statistics are written, before buyers are matched.
+    latest = Observation()
+    observed = customer_stats(order_items).observe(latest, F.max(F.unix_micros("last_at")).alias("at"))
+    known = users.select(F.col("id").alias("user_id"))
+    stored = materialize(observed.join(known, "user_id", "left_semi"), "customer-stats")
+    snapshot = F.date_add(F.to_date(F.timestamp_micros(F.lit(latest.get["at"]).cast("bigint"))), 1)
+    stats = stored.withColumn("recency_days", F.datediff(snapshot, F.to_date("last_at"))).withColumns(
+        {
+            "_age": -F.col("recency_days"),
+            "_cents": F.coalesce((F.col("ltv") * 100).cast("bigint"), F.lit(2**62)),
+        }
     )
     scored = with_ntiles(
         stats, {"r_score": "_age", "f_score": "frequency_count", "m_score": "_cents"}, "user_id", 5

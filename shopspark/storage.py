@@ -42,6 +42,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before costly work on each row.
+
+    A file with one row group is read by one task. Inputs whose estimated size
+    already gives every core a split are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores * 4) if size < cores * SPLIT_BYTES else df
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables; call it when the job is over."""
     jvm = spark.sparkContext._jvm
