@@ -607,39 +607,51 @@ SELECT 2, table_name, CASE WHEN table_name = 'inventory_items' THEN 0 ELSE rows_
 # --- maps ----------------------------------------------------------------------------------------
 
 
-def angle(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """Haversine angle of points in radians."""
-    return (
-        f"2.0 * asin(sqrt(least(1.0::DOUBLE, pow(sin((({lat2}) - ({lat1})) / 2), 2)"
-        f" + cos({lat1}) * cos({lat2}) * pow(sin((({lon2}) - ({lon1})) / 2), 2))))"
-    )
-
-
-def reduced(lat: str) -> str:
-    return f"atan((1 - 1 / 298.257223563::DOUBLE) * tan(radians({lat})))"
-
-
-def lambert(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    """Metres on the ellipsoid as one expression."""
-    b1, b2 = reduced(lat1), reduced(lat2)
-    s = angle(b1, f"radians({lon1})", b2, f"radians({lon2})")
-    p, q = f"(({b1}) + ({b2})) / 2", f"(({b2}) - ({b1})) / 2"
-    x = f"(({s}) - sin({s})) * pow(sin({p}), 2) * pow(cos({q}), 2) / pow(cos(({s}) / 2), 2)"
-    y = f"(({s}) + sin({s})) * pow(cos({p}), 2) * pow(sin({q}), 2) / pow(sin(({s}) / 2), 2)"
-    return (
-        f"CASE WHEN ({s}) < 1e-12 THEN 0.0::DOUBLE"
-        f" ELSE 6378137.0::DOUBLE * (({s}) - 1 / (2 * 298.257223563::DOUBLE) * (({x}) + ({y}))) END"
-    )
-
+def geodesic(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 8) -> str:
+    """CTEs that add the Vincenty distance in metres (column ``m``) to the rows of ``source``."""
+    f, a = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
+    ctes = [
+        f"""g0 AS (SELECT *, radians(({lon2}) - ({lon1})) AS gl, radians(({lon2}) - ({lon1})) AS gspan,
+    atan((1 - {f}) * tan(radians({lat1}))) AS gu1, atan((1 - {f}) * tan(radians({lat2}))) AS gu2 FROM {source})""",
+        """g1 AS (SELECT * REPLACE (gl - 2 * pi() * round_even(gl / (2 * pi()), 0) AS gl,
+    gspan - 2 * pi() * round_even(gspan / (2 * pi()), 0) AS gspan) FROM g0)""",
+    ]
+    last = "g1"
+    for i in range(rounds):
+        extra = " EXCLUDE (gss, gcs, gs, gsa, gm)" if i else ""
+        ctes += [
+            f"""h{i} AS (SELECT *{extra}, sqrt(pow(cos(gu2) * sin(gl), 2)
+    + pow(cos(gu1) * sin(gu2) - sin(gu1) * cos(gu2) * cos(gl), 2)) AS gss,
+    sin(gu1) * sin(gu2) + cos(gu1) * cos(gu2) * cos(gl) AS gcs FROM {last})""",
+            f"""i{i} AS (SELECT *, atan2(gss, gcs) AS gs,
+    CASE WHEN gss = 0 THEN 0 ELSE cos(gu1) * cos(gu2) * sin(gl) / gss END AS gsa FROM h{i})""",
+            f"""j{i} AS (SELECT *, CASE WHEN 1 - gsa * gsa < 1e-15 THEN 0
+    ELSE gcs - 2 * sin(gu1) * sin(gu2) / (1 - gsa * gsa) END AS gm,
+    {f} / 16 * (1 - gsa * gsa) * (4 + {f} * (4 - 3 * (1 - gsa * gsa))) AS gc FROM i{i})""",
+            f"""k{i} AS (SELECT * EXCLUDE (gc) REPLACE (gspan + (1 - gc) * {f} * gsa
+    * (gs + gc * gss * (gm + gc * gcs * (2 * gm * gm - 1))) AS gl) FROM j{i})""",
+        ]
+        last = f"k{i}"
+    b = f"({a} * (1 - {f}))"
+    ctes += [
+        f"g2 AS (SELECT *, (1 - gsa * gsa) * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS gk FROM {last})",
+        """g3 AS (SELECT *, 1 + gk / 16384 * (4096 + gk * (-768 + gk * (320 - 175 * gk))) AS ga,
+    gk / 1024 * (256 + gk * (-128 + gk * (74 - 47 * gk))) AS gb FROM g2)""",
+        f"""{name} AS (SELECT *, {b} * ga * (gs - gb * gss * (gm + gb / 4 * (gcs * (2 * gm * gm - 1)
+    - gb / 6 * gm * (4 * gss * gss - 3) * (4 * gm * gm - 3)))) AS m FROM g3)""",
+    ]
+    return ",\n".join(ctes)
 
-KM = lambert("u.latitude", "u.longitude", "d.latitude", "d.longitude")
 
-SQL["user_logistics"] = f"""WITH {HEADS}, {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_RAW}
-SELECT u.id AS user_id, d.id AS dc_id, u.longitude AS user_geom_lon, u.latitude AS user_geom_lat,
-  d.longitude AS distribution_center_geom_lon, d.latitude AS distribution_center_geom_lat,
-  round(({KM}) / 1000, 3) AS distance_km
-FROM lineitem l JOIN heads h ON l.l_orderkey = h.order_id JOIN users_raw u ON h.user_id = u.id
-  JOIN products_raw p ON l.l_partkey = p.id JOIN centers_raw d ON p.distribution_center_id = d.id"""
+SQL["user_logistics"] = f"""WITH {HEADS}, {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_RAW}, pairs AS (
+  SELECT u.id AS user_id, d.id AS dc_id, u.longitude AS user_geom_lon, u.latitude AS user_geom_lat,
+    d.longitude AS distribution_center_geom_lon, d.latitude AS distribution_center_geom_lat
+  FROM lineitem l JOIN heads h ON l.l_orderkey = h.order_id JOIN users_raw u ON h.user_id = u.id
+    JOIN products_raw p ON l.l_partkey = p.id JOIN centers_raw d ON p.distribution_center_id = d.id),
+{geodesic("pairs", "measured", "user_geom_lat", "user_geom_lon", "distribution_center_geom_lat",
+          "distribution_center_geom_lon")}
+SELECT user_id, dc_id, user_geom_lon, user_geom_lat, distribution_center_geom_lon, distribution_center_geom_lat,
+  round(m / 1000, 3) AS distance_km FROM measured"""
 
 SQL["hotspots"] = f"""WITH {USERS_RAW}
 SELECT round_even(longitude / 5.0::DOUBLE, 0)::BIGINT AS cell_x, round_even(latitude / 5.0::DOUBLE, 0)::BIGINT AS cell_y,
@@ -648,13 +660,15 @@ SELECT round_even(longitude / 5.0::DOUBLE, 0)::BIGINT AS cell_x, round_even(lati
   round_even(latitude / 5.0::DOUBLE, 0)::BIGINT * 5.0::DOUBLE AS grid_geom_lat
 FROM users_raw GROUP BY ALL"""
 
-SQL["within_radius"] = f"""WITH {CENTERS_RAW}, {USERS_RAW}, d AS (
-  SELECT u.id AS user_id, d.id AS center_id, {KM} AS m FROM users_raw u, centers_raw d)
-SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM d WHERE m <= 2500000"""
+USER_CENTER_PAIRS = f"""{CENTERS_RAW}, {USERS_RAW}, pairs AS (
+  SELECT u.id AS user_id, d.id AS center_id, u.latitude AS ulat, u.longitude AS ulon, d.latitude AS dlat,
+    d.longitude AS dlon FROM users_raw u, centers_raw d),
+{geodesic("pairs", "measured", "ulat", "ulon", "dlat", "dlon")}"""
+SQL["within_radius"] = f"""WITH {USER_CENTER_PAIRS}
+SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM measured WHERE m <= 2500000"""
 
-SQL["nearest_dc"] = f"""WITH {CENTERS_RAW}, {USERS_RAW}, d AS (
-  SELECT u.id AS user_id, d.id AS center_id, {KM} AS m FROM users_raw u, centers_raw d)
-SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM d
+SQL["nearest_dc"] = f"""WITH {USER_CENTER_PAIRS}
+SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM measured
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m, center_id) = 1"""
 
 # --- texts and vectors ---------------------------------------------------------------------------
@@ -700,9 +714,10 @@ FROM p QUALIFY rank <= 10"""
 
 QUESTION = "young female shopper from ASIA acquired via FURNITURE"
 HYBRID_LAT, HYBRID_LON, HYBRID_METRES, HYBRID_SPEND, HYBRID_K = 10.0, 20.0, 6_000_000.0, 30_000.0, 20
-SQL["hybrid_search"] = f"""WITH {PROFILES}, near AS (
-  SELECT user_id, chunk_text FROM profiles WHERE avg_spend >= {HYBRID_SPEND}
-    AND {lambert('latitude', 'longitude', f'{HYBRID_LAT}::DOUBLE', f'{HYBRID_LON}::DOUBLE')} <= {HYBRID_METRES}
+SQL["hybrid_search"] = f"""WITH {PROFILES},
+{geodesic("profiles", "placed", "latitude", "longitude", f"{HYBRID_LAT}::DOUBLE", f"{HYBRID_LON}::DOUBLE")},
+near AS (
+  SELECT user_id, chunk_text FROM placed WHERE avg_spend >= {HYBRID_SPEND} AND m <= {HYBRID_METRES}
   UNION ALL SELECT -1, '{QUESTION}'), {hashed_words('near', 'user_id', 'chunk_text')},
 found AS (
   SELECT n.user_id, 1 - coalesce(sum(w.weight * q.weight), 0) AS d

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopspark.functions.cleaning import point
-from shopspark.functions.geo import metres, snap
+from shopspark.functions.geo import snap, with_geodesic
 from shopspark.functions.text import ALIKE, case_blind, contains, similarity, trigrams
 from shopspark.operators.embedding import Encoder, HashedWords, embed, embed_query
 from shopspark.operators.knn import similar
@@ -26,30 +26,29 @@ def user_logistics(
     order_items: DataFrame,
     products: DataFrame,
     centers: DataFrame,
-    method: str = "ellipsoid",
 ) -> DataFrame:
     """Buyer, warehouse and distance for every order item.
 
-    The distance is a plain expression on the joined row: cheaper than a second
-    shuffle to compute it once per pair.
+    The distance is computed on the joined row: cheaper than a second shuffle to
+    compute it once per pair.
     """
     buyers = users.select(F.col("id").alias("user_id"), F.col("latitude").alias("_ulat"), F.col("longitude").alias("_ulon"))
     places = centers.select(F.col("id").alias("dc_id"), F.col("latitude").alias("_dlat"), F.col("longitude").alias("_dlon"))
     stocked = products.select(F.col("id").alias("product_id"), F.col("distribution_center_id").cast("bigint").alias("dc_id"))
-    km = F.round(metres(F.col("_ulat"), F.col("_ulon"), F.col("_dlat"), F.col("_dlon"), method) / 1000, 3)
-    return (
+    located = (
         order_items.select("order_id", "product_id")
         .join(stocked.join(places, "dc_id"), "product_id")
         .join(orders.select("order_id", "user_id"), "order_id")
         .join(buyers, "user_id")
-        .select(
-            "user_id",
-            "dc_id",
-            point(F.col("_ulon"), F.col("_ulat")).alias("user_geom"),
-            point(F.col("_dlon"), F.col("_dlat")).alias("distribution_center_geom"),
-            km.alias("distance_km"),
-        )
-    )
+    )
+    measured = with_geodesic(located, F.col("_ulat"), F.col("_ulon"), F.col("_dlat"), F.col("_dlon"))
+    return measured.select(
+        "user_id",
+        "dc_id",
+        point(F.col("_ulon"), F.col("_ulat")).alias("user_geom"),
+        point(F.col("_dlon"), F.col("_dlat")).alias("distribution_center_geom"),
+        F.round(F.col("distance_m") / 1000, 3).alias("distance_km"),
+    )
 
 
 def hotspots(users: DataFrame, cell_degrees: float = CELL_DEGREES) -> DataFrame:
