@@ -160,12 +160,12 @@ def build_index(
     key: str = "id",
     vector: str = "embedding",
     seed: int = 7,
-    writers: int = 8,
 ) -> CellIndex:
     """Place centroids with k-means, assign all vectors, write them by cell.
 
     Centroids come from about ``TRAINING_ROWS`` vectors per cell; assignment and
-    index cover the whole corpus. A crowded cell is written by several tasks.
+    index cover the whole corpus. Rebalancing
+    lets several tasks write a crowded cell.
     """
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
     total = rows.count()
@@ -181,8 +181,7 @@ def build_index(
             yield pd.Series(np.argmax(unit(_stack(batch)) @ centroids.T, axis=1) if len(batch) else [], dtype="int32")
 
     assigned = rows.withColumn("cell", nearest_cell("v"))
-    spread = assigned.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(writers)))
-    spread.repartition("cell", "_salt").drop("_salt").write.partitionBy("cell").parquet(path)
+    assigned.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path)
     return CellIndex(path, centroids)
 
 

@@ -1,11 +1,11 @@
 """Visits from clicks: a new session starts after ``gap`` without an event.
 
-Time is cut into bins as long as the gap. Two events of one bin are always less
+Time is cut into bins shorter than the gap. Two events of one bin are always less
 than a gap apart, so a session can only start with the first event of a bin.
 The work on single events is then a (user, bin) aggregation with map-side
 combine; only the bins of a user, whose number is bounded by the calendar and
 not by the clicks, meet in one window. A user with a third of all clicks is
-spread over all bins.
+spread over all bins: 256 per gap, some 15,000 in a month with a gap of 12 hours.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_GAP_SECONDS = 12 * 3600
+BINS_PER_GAP = 256
 
 
 def _bin(ts: str, gap_seconds: int):
     """Start of the bin holding ``ts``, in microseconds."""
     micros = F.unix_micros(ts)
-    return micros - F.pmod(micros, F.lit(gap_seconds * 1_000_000))
+    return micros - F.pmod(micros, F.lit(max(1, gap_seconds * 1_000_000 // BINS_PER_GAP)))
 
 
 def session_bins(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:

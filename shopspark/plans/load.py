@@ -12,6 +12,7 @@ import logging
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -126,8 +127,12 @@ def stage(df: DataFrame, contract: Contract, fks: Sequence[ForeignKey] = ()) ->
     counts = {rule: found[rule] for rule in contract.rows}
     batch = spark.read.schema(df.schema).parquet(path)
     if staged.rows_out:
-        for rule, keys in contract.unique.items():
-            counts[rule] = surplus_keys(batch, [k(batch) for k in keys], rule).first()[0]
+        doubles = [
+            surplus_keys(batch, [k(batch) for k in keys], "n").select(F.lit(rule), "n")
+            for rule, keys in contract.unique.items()
+        ]
+        if doubles:
+            counts.update(reduce(DataFrame.unionAll, doubles).collect())  # one row per rule
         if contract.totals:
             totals = batch.agg(*[rule(batch).alias(n) for n, rule in contract.totals.items()]).first()
             counts.update({n: v or 0 for n, v in totals.asDict().items()})
@@ -144,14 +149,17 @@ def _observed(merged: DataFrame) -> tuple[DataFrame, Observation]:
     return merged.observe(seen, *counters).drop(ACTION), seen
 
 
+NOTHING = {INSERT: 0, UPDATE: 0, UNCHANGED: 0, KEEP: 0}
+
+
 def upsert(table: VersionedTable, batch: DataFrame, spec: MergeSpec, checked: bool = False) -> dict[str, int]:
     """Merge ``batch`` into the stored table; returns rows per action.
 
-    ``checked`` says the batch's keys are known to be unique. The pointer moves
-    only if something was inserted or updated.
+    ``checked`` says the batch has rows and its keys are known to be unique. The
+    pointer moves only if something was inserted or updated.
     """
-    if batch.isEmpty():
-        return {INSERT: 0, UPDATE: 0, UNCHANGED: 0, KEEP: 0}
+    if not checked and batch.isEmpty():
+        return dict(NOTHING)
     if not checked:
         require_unique(batch, spec.keys)
     table.create()
@@ -168,8 +176,8 @@ def upsert_months(table: VersionedTable, batch: DataFrame, spec: MergeSpec, chec
 
     The time is part of the key, so a row never changes its month.
     """
-    if batch.isEmpty():
-        return {INSERT: 0, UPDATE: 0, UNCHANGED: 0, KEEP: 0}
+    if not checked and batch.isEmpty():
+        return dict(NOTHING)
     if not checked:
         require_unique(batch, spec.keys)
     # One row per month of data.
@@ -207,7 +215,7 @@ def load_table(
     if staged.rows_in > staged.rows_out:
         log.warning("%s: rows left out for missing references: %s", table, staged.losses)
     write = upsert_months if table in MONTHLY else upsert
-    step.actions = write(target, batch, spec_for(table, TABLES), checked=True)
+    step.actions = write(target, batch, spec_for(table, TABLES), checked=True) if staged.rows_out else dict(NOTHING)
     step.status = "loaded" if step.rows_out else "empty"
     return step.actions
 
@@ -249,7 +257,7 @@ def finish_layout(spark: SparkSession, target_root: str, tables: Iterable[str] =
         spec = TABLES[name]
         table = VersionedTable(spark, target_root, name, spec.schema)
         if name not in MONTHLY and spec.order_by and table.exists():
-            table.replace(clustered(table.read(), spec.order_by))
+            table.replace(clustered(table.read(), [*spec.order_by, *spec.keys]))
 
 
 def set_up(spark: SparkSession, target_root: str, tables: Iterable[str] = ORDER) -> None:

@@ -7,14 +7,17 @@ from pyspark.sql import SparkSession
 
 import shopspark
 
-# Runtime settings. Partition counts stay with the cluster: adaptive execution
-# coalesces or splits shuffle partitions from their measured size.
+# Runtime settings. Adaptive execution joins or splits shuffle partitions from
+# their measured size.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Whole texts go to Python in batches limited by size, not only by row count.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
@@ -26,6 +29,12 @@ def configure(spark: SparkSession) -> SparkSession:
     cloudpickle.register_pickle_by_value(shopspark)
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        # Start shuffles with several partitions per core; adaptive execution joins small ones.
+        spark.conf.set(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(4 * context.defaultParallelism)
+        )
     return spark
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,8 +55,9 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def latest_per_key(batch: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
     """The newest row of every key; a batch of files may hold several versions."""
-    order = W.partitionBy(*keys).orderBy(F.desc_nulls_last(newest))
-    return batch.withColumn("_newest", F.row_number().over(order)).filter(F.col("_newest") == 1).drop("_newest")
+    # The order is a struct, so a row without a time loses but is not dropped.
+    row = F.max_by(F.struct(*batch.columns), F.struct(newest)).alias("_row")
+    return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row).select("_row.*")
 
 
 def upsert_stream(
@@ -75,6 +75,8 @@ def upsert_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         rows = latest_per_key(batch, spec.keys, newest) if newest else batch
         upsert(table, rows, spec, checked=newest is not None or mode == "update")
 
