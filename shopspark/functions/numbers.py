@@ -1,8 +1,7 @@
 """Exact ratios on decimals.
 
-Numerators and denominators stay within 18 digits (16 for money), so Spark keeps
-19 fractional digits in the quotient and the final rounding is half up on the
-true value.
+Types are chosen so that totals of a whole 100 TB table fit and Spark keeps at
+least 14 fractional digits in the quotient; the final rounding is half up.
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ def share(part: Column, whole: Column, digits: int = 2) -> Column:
 
 
 def mean_money(total: Column, count: Column) -> Column:
-    """Unrounded mean of money with 19 fractional digits; null when count is 0."""
-    return F.try_divide(total.cast("decimal(18,2)"), count.cast("decimal(16,0)"))
+    """Unrounded mean of money with 18 fractional digits; null when count is 0."""
+    return F.try_divide(total.cast("decimal(22,2)"), count.cast("decimal(16,0)"))
 
 
 def micros_between(later: Column, earlier: Column) -> Column:

@@ -46,8 +46,8 @@ def product_360(
     )
     mean_price = mean_money(F.col("sales"), F.col("priced"))
     margin = F.try_divide(
-        ((F.col("sales") - F.col("cost") * F.col("priced")) * 100).cast("decimal(20,2)"),
-        F.col("sales").cast("decimal(15,2)"),
+        ((F.col("sales") - F.col("cost") * F.col("priced")) * 100).cast("decimal(24,2)"),
+        F.col("sales").cast("decimal(20,2)"),
     )
     mean_age = F.try_divide(F.col("age_days").cast("decimal(18,0)"), F.col("aged").cast("decimal(18,0)"))
     return (

@@ -105,5 +105,5 @@ def new_vs_recurring(order_items: DataFrame) -> DataFrame:
         count_rows("buyers"),
         count_if(F.col("orders") > 1).alias("repeat_buyers"),
     ).withColumn(
-        "new_share", F.round(F.try_divide(first * 100, everything.cast("decimal(18,2)")), 2).cast("decimal(5,2)")
+        "new_share", F.round(F.try_divide(first * 100, everything.cast("decimal(22,2)")), 2).cast("decimal(5,2)")
     )
