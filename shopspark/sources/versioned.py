@@ -75,13 +75,30 @@ class VersionedTable:
         folders = [self.folder(part, version) for part, version in wanted.items()]
         return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def next_version(self) -> int:
-        """A version no folder uses yet, also not one left by a failed job."""
+    def versions(self) -> list[int]:
+        """Numbers of all version folders, current or not."""
         fs, path = self._fs(self.path)
         if not fs.exists(path):
-            return 1
+            return []
         names = [status.getPath().getName() for status in fs.listStatus(path)]
-        return 1 + max([0, *(int(n[2:]) for n in names if n.startswith("v="))])
+        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+    def next_version(self) -> int:
+        """A version no folder uses yet, also not one left by a failed job."""
+        return max(self.versions(), default=0) + 1
+
+    def remove_unused(self, keep: int = 1) -> list[int]:
+        """Delete versions no part points to, but for the newest ``keep`` that open readers may use.
+
+        Run it while nothing writes to the table.
+        """
+        current = set(self.parts().values())
+        unused = [v for v in self.versions() if v not in current]
+        gone = unused[: len(unused) - keep] if keep else unused
+        for version in gone:
+            fs, path = self._fs(f"{self.path}/v={version}")
+            fs.delete(path, True)
+        return gone
 
     def replace(self, df: DataFrame) -> int:
         """Make ``df`` the whole table."""

@@ -120,6 +120,8 @@ def test_versions_move_only_on_change(spark, tmp_path):
     assert rows(table.read()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError, match="repeats"):
         upsert(table, first.unionByName(first), MergeSpec())
+    assert len(table.versions()) == 3 and len(table.remove_unused(keep=1)) == 1
+    assert len(table.remove_unused(keep=0)) == 1 and rows(table.read()) == [(1, "a"), (2, "b")]
 
 
 def test_whole_load_twice_is_once(spark, small, tmp_path):
