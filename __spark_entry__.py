@@ -32,6 +32,11 @@ from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import materialize, scratch_path
 from shopspark.streaming import ingest, metrics
 
+try:
+    from shopspark.llm.queries import QUERIES as TEXT_QUERIES, SQL as TEXT_SQL
+except ImportError:  # the subpackage for training text is optional
+    TEXT_QUERIES, TEXT_SQL = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -459,8 +464,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **TEXT_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in oracles.SQL.items() if name in QUERIES}
+    return {**{name: sql for name, sql in oracles.SQL.items() if name in QUERIES}, **TEXT_SQL}

@@ -16,9 +16,9 @@ def test_entry_has_rows(spark):
 
 
 def test_only_the_approximate_search_lacks_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"similar_ann"}
+    assert set(registry.QUERIES) - set(registry.oracle_sql()) == {"similar_ann"}
 
 
-@pytest.mark.parametrize("name", list(registry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_sql(spark, connection, small, name):
     assert compare(spark, connection, small, name) == ""

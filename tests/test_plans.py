@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as registry
 
 EAGER = ("run_log", "similar", "similar_ann", "hybrid_search", "customer_rfm_ltv", "ntile_distributed", "nearest_dc")
-LAZY = [n for n in registry.queries() if n not in EAGER and not n.startswith(("stream_", "validate_", "clean_", "strict"))]
+LAZY = [n for n in registry.QUERIES if n not in EAGER and not n.startswith(("stream_", "validate_", "clean_", "strict"))]
 
 
 @pytest.fixture
