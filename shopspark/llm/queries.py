@@ -57,7 +57,7 @@ SQL: dict[str, str] = {
         )
         SELECT page_id,
                strlen(body)::BIGINT AS payload_bytes,
-               list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (5 * (7 - i % 8))) & 31)::INT + 1, 1)),
                    'string_agg', '') AS payload_digest,
                CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
