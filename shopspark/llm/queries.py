@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopspark.llm import exact_dedup, mixing, warc
+from shopspark.llm import exact_dedup, jaccard, mixing, warc
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,11 @@ def op2_warc(spark, root):
     return warc.page_records(table(spark, root, "pages"))
 
 
+@query
+def op4_ngram_jaccard(spark, root):
+    return jaccard.similar_groups(table(spark, root, "documents"))
+
+
 @query
 def op5_mixing(spark, root):
     return mixing.mix_report(table(spark, root, "documents"))

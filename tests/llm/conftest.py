@@ -1,0 +1,26 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from shopspark.session import local_session
+
+SMALL = "/root/testdata/sf0.001"
+MIDDLE = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return local_session("4", **{"spark.sql.shuffle.partitions": "4"})
+
+
+@pytest.fixture(scope="session")
+def small():
+    return SMALL
+
+
+@pytest.fixture(scope="session")
+def middle():
+    return MIDDLE
