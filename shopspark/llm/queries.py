@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopspark.llm import exact_dedup, jaccard, mixing, warc
+from shopspark.llm import exact_dedup, jaccard, mixing, packing, warc
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,13 @@ def op5_mixing(spark, root):
     return mixing.mix_report(table(spark, root, "documents"))
 
 
+@query
+def op6_packing(spark, root):
+    return packing.pack_documents(
+        table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
         SELECT doc_id,
