@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopspark.llm import exact_dedup, jaccard, mixing, packing, warc
+from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, topk, warc
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +53,29 @@ def op6_packing(spark, root):
     )
 
 
+@query
+def op8_license_scan(spark, root):
+    return licenses.license_report(table(spark, root, "documents"))
+
+
+@query
+def op9_exact_topk(spark, root):
+    return topk.exact_top_k(table(spark, root, "embeddings"))
+
+
 SQL: dict[str, str] = {
+    "op9_exact_topk": """
+        WITH whole AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS parts
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.parts, v.parts)::BIGINT AS score
+            FROM whole q JOIN whole v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.parts) = len(v.parts)
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
