@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, topk, warc
+from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, resampling, topk, toxicity, warc
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def op2_warc(spark, root):
     return warc.page_records(table(spark, root, "pages"))
 
 
+@query
+def op3_toxicity(spark, root):
+    return toxicity.toxicity_report(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 @query
 def op4_ngram_jaccard(spark, root):
     return jaccard.similar_groups(table(spark, root, "documents"))
@@ -63,6 +68,11 @@ def op9_exact_topk(spark, root):
     return topk.exact_top_k(table(spark, root, "embeddings"))
 
 
+@query
+def op10_quality_resampling(spark, root):
+    return resampling.importance_sample(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
 SQL: dict[str, str] = {
     "op9_exact_topk": """
         WITH whole AS (
