@@ -24,10 +24,14 @@ band as well.
 shuffled: a batch sends one row of fingerprints per bucket and one owner for each
 fingerprint. Fingerprints travel packed in buckets whose number follows the input,
 so a bucket's memory does not grow with the corpus. Owners of a fingerprint are
-tied to its smallest owner only, never to each other. Ties are verified exactly;
-only where a fingerprint is held by different components after that are the pairs
-between those components formed, each document leaving out as many of its most
-frequent fingerprints as the bound allows.
+tied to its smallest owner only, never to each other. The best tie of each document
+is verified exactly and gives first components. What those leave open is settled on
+the shingles themselves: only shingles held by different components count, and a
+document stays only if enough of its own are held by documents of one size class
+(:data:`CLASS` apart) to reach the threshold with a partner of that size. The rest
+is compared with the member of its group that shares most, and only between the
+components still apart are pairs formed, each document leaving out as many of its
+most frequent shingles as its overlap with any partner allows.
 
 The chance that a set's parts collapse so far that the bound has no parts to work
 with is below 1e-9 a document at these part counts; 64-bit hashes stand for
@@ -57,6 +61,8 @@ BAND = 8
 FLUSH_WORDS = 1_500_000
 BUCKET_CHARS = 16_000_000
 NO_ID = np.iinfo(np.int64).min
+#: Size classes of the last step: ratio of neighbours, and how many on either side can hold partners.
+CLASS, REACH = 1.05, 7
 
 
 class Sketch:
@@ -115,13 +121,13 @@ def _counted(owners: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owners[fresh], heads[fresh], np.diff(np.append(fresh, len(owners)))
 
 
-PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-PACKED_DDL = "bucket long, kind int, a binary, b binary, c binary"
+PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+PACKED_DDL = "bucket long, kind int, a binary, b binary, c binary, d binary"
 DOC, TIE, SAME, PRINT = 0, 1, 2, 3
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    data = [(b, k, *(x.tobytes() for x in cols)) for b, k, *cols in rows]
+    data = [(b, k, *(x.tobytes() for x in cols), *[b""] * (4 - len(cols))) for b, k, *cols in rows]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data), PACKED)], schema=PACKED)
 
 
@@ -171,7 +177,7 @@ def _scan(sketch: Sketch, words: int, buckets: int):
             tied = sizes_ > 1
             if tied.any():
                 rows.append(((turn + 1) % buckets, TIE, *_counted(owners[tied], first[tied])))
-            rows += [(*r, np.empty(0, np.uint8)) for r in _by_bucket(prints[fresh], owners[fresh], buckets, PRINT)]
+            rows += _by_bucket(prints[fresh], owners[fresh], buckets, PRINT)
         for at in range(0, len(rows), 64):
             yield _packed(rows[at : at + 64])
 
@@ -225,41 +231,59 @@ def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "a": [], "b": [], "c": []})
 
 
-def _mixed(sketch: Sketch, buckets: int):
-    """Task function: fingerprints of stored sets with the component of their owner."""
+def _spread(buckets: int):
+    """Task function: the shingles of stored sets with their owner's component and size, packed by bucket."""
 
     def scan(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             labels = batch.column(1).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
-            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            found = [sketch.fingerprints(np.sort(values[low:high])) for low, high in zip(cuts[:-1], cuts[1:])]
-            sizes = [len(f) for f in found]
-            prints = np.concatenate(found)
-            order = np.argsort(prints, kind="stable")
-            rows = list(_by_bucket(prints[order], np.repeat(ids, sizes)[order], buckets, PRINT, np.repeat(labels, sizes)[order]))
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values = mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            order = np.argsort(values, kind="stable")
+            owner = np.repeat(np.arange(len(ids)), sizes)[order]
+            rows = list(_by_bucket(values[order], ids[owner], buckets, PRINT, labels[owner], sizes[owner]))
             for at in range(0, len(rows), 64):
                 yield _packed(rows[at : at + 64])
 
     return scan
 
 
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(sizes) / np.log(CLASS)).astype(np.int64)
+
+
 def _between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: owners of the parts that are held by more than one component."""
-    ids, labels = _column(rows["a"], np.int64), _column(rows["c"], np.int64)
+    """One bucket: owners of the shingles that more than one component holds.
+
+    ``mask`` has a bit for each size class around the owner's in which another
+    component holds the shingle.
+    """
+    ids, labels, sizes = _column(rows["a"], np.int64), _column(rows["c"], np.int64), _column(rows["d"], np.int64)
     prints = _column(rows["b"], np.uint32)
     order = np.lexsort((labels, prints))
-    ids, labels, prints = ids[order], labels[order], prints[order]
-    fresh, heads, _ = _ties(prints, labels)
+    ids, labels, sizes, prints = ids[order], labels[order], sizes[order], prints[order]
+    fresh, heads, owners = _ties(prints, labels)
     starts = np.flatnonzero(fresh)
-    differs = np.add.reduceat((heads != labels).astype(np.int64), starts) > 0
-    sizes = np.diff(np.append(starts, len(prints)))
-    held = np.repeat(differs, sizes)
-    many = np.repeat(sizes, sizes)
+    differs = np.add.reduceat((heads != labels).astype(np.int64), starts) > 0 if len(starts) else np.empty(0, bool)
+    held = np.repeat(differs, np.diff(np.append(starts, len(prints))))
+    ids, labels, sizes, prints, owners = ids[held], labels[held], sizes[held], prints[held], owners[held]
+    classes = size_class(sizes)
+    place = prints.astype(np.int64) << np.int64(16) | classes
+    order = np.lexsort((labels, place))
+    spots, first, last = place[order], labels[order], labels[order]
+    edge = np.concatenate([[True], spots[1:] != spots[:-1]]) if len(spots) else np.empty(0, bool)
+    cut = np.flatnonzero(edge)
+    spots, first, last = spots[edge], first[edge], last[np.append(cut[1:], len(last)) - 1] if len(cut) else last
+    mask = np.zeros(len(ids), np.int64)
+    for step in range(-REACH, REACH + 1):
+        want = place + step
+        at = np.minimum(np.searchsorted(spots, want), len(spots) - 1)
+        other = (spots[at] == want) & ((first[at] != labels) | (last[at] != labels)) if len(spots) else np.empty(0, bool)
+        mask |= other.astype(np.int64) << (step + REACH)
     full = (np.int64(key[0]) << np.int64(32)) | prints.astype(np.int64)
-    return pd.DataFrame({"print": full[held], "owners": many[held], "id": ids[held], "label": labels[held]})
+    return pd.DataFrame({"print": full, "owners": owners, "id": ids, "label": labels, "n": sizes, "class": classes, "mask": mask})
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -290,6 +314,57 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """Links between components, found by counting shared shingles."""
+    labelled = sets.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "hashes")
+    packed = labelled.mapInArrow(_spread(buckets), PACKED_DDL)
+    schema = "print long, owners long, id long, label long, n long, class long, mask long"
+    between = materialize(packed.groupBy("bucket").applyInPandas(_between, schema), "jaccard-between")
+
+    # A partner of size b shares at least percent / (100 + percent) * (a + b) shingles.
+    bits = range(2 * REACH + 1)
+    counted = between.groupBy("id", "n", "class").agg(
+        *[F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))).alias(f"shared{k}") for k in bits]
+    )
+
+    def overlap(k: int):
+        smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("class") + k - REACH)) - 1, F.ceil(F.col("n") * percent / 100) - 1)
+        return F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
+
+    reached = [F.col(f"shared{k}") >= overlap(k) for k in bits]
+    open_ = sum((F.when(r, F.lit(1 << k)).otherwise(0) for k, r in zip(bits, reached)), F.lit(0)).cast("long")
+    need = F.least(*[F.when(r, overlap(k)) for k, r in zip(bits, reached)])
+    close = F.greatest(*[F.when(r, F.col(f"shared{k}")) for k, r in zip(bits, reached)]) / F.col("n")
+    known = counted.select("id", open_.alias("open"), need.alias("need"), close.alias("close")).where("open <> 0")
+    rows = between.join(materialize(known, "jaccard-open"), "id").where(F.col("mask").bitwiseAND(F.col("open")) != 0)
+    rows = materialize(rows.select("print", "owners", "id", "label", "class", "open", "need", "close"), "jaccard-rows")
+
+    # The member that shares most is next to what a group of copies was made from.
+    centre = rows.groupBy("print").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("label").alias("other")), F.struct("close", -F.col("id"))).alias("c"))
+    stars = rows.join(centre, "print").where(F.col("label") != F.col("c.other"))
+    stars = stars.groupBy(F.col("id").alias("a"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    found = materialize(_verified(stars, sets, percent), "jaccard-links")
+    labels = materialize(components(links.union(found)), "jaccard-labels")
+
+    rows = rows.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    rows = materialize(rows, "jaccard-rows")
+    mixed = rows.groupBy("print").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("print")
+    rows = materialize(rows.join(materialize(mixed, "jaccard-mixed"), "print"), "jaccard-rows")
+    enough = rows.groupBy("id").agg(F.count("*").alias("held"), F.min("need").alias("least")).where("held >= least").select("id")
+    order = Window.partitionBy("id").orderBy(F.desc("owners"), "print")
+    rare = rows.join(enough, "id", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank >= need")
+    rare = materialize(rare.select("print", F.col("id").alias("a"), "label", "class", "open"), "jaccard-rare")
+    far = rare.select("print", F.col("a").alias("b"), F.col("label").alias("other"), F.col("class").alias("class_b"), F.col("open").alias("open_b"))
+    apart = F.col("class_b") - F.col("class")
+    allowed = lambda mask, step: F.expr(f"shiftright({mask}, cast(greatest(0, {step} + {REACH}) as int)) & 1") == 1
+    pairs = rare.join(far, "print").where(
+        (F.col("label") != F.col("other")) & (F.col("a") < F.col("b")) & (F.abs(apart) <= REACH)
+        & allowed("open", "(class_b - class)") & allowed("open_b", "(class - class_b)")
+    )
+    return found.union(materialize(_verified(pairs.select("a", "b").distinct(), sets, percent), "jaccard-links"))
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75
 ) -> DataFrame:
@@ -329,21 +404,7 @@ def similar_groups(
     links = materialize(_verified(best, sets, percent), "jaccard-links")
 
     labels = materialize(components(links), "jaccard-labels")
-    labelled = sets.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "hashes")
-    packed = labelled.mapInArrow(_mixed(sketch, buckets), PACKED_DDL)
-    between = packed.groupBy("bucket").applyInPandas(_between, "print long, owners long, id long, label long")
-    between = materialize(between, "jaccard-between")
-    need = sets.groupBy("id").agg(F.min("n").alias("n"))
-    need = need.select("id", (1 + F.floor(F.lit(sketch.margin) * least)).alias("need"))
-    held = between.groupBy("id").agg(F.count("*").alias("held")).join(need, "id").where("held >= need").drop("held")
-    ranked = between.join(held, "id").withColumn(
-        "rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("owners"), "print"))
-    )
-    rare = materialize(ranked.where("rank >= need").select("print", "id", "label"), "jaccard-rare")
-    far = rare.select("print", F.col("id").alias("b"), F.col("label").alias("other"))
-    pairs = rare.withColumnRenamed("id", "a").join(far, "print").where("label <> other and a < b").select("a", "b").distinct()
-    late = materialize(_verified(pairs, sets, percent), "jaccard-links")
-
+    late = _late_links(sets, labels, links, percent, buckets)
     labels = materialize(components(links.union(late)), "jaccard-labels").withColumnRenamed("id", "class_id")
     result = classed(members, "head").join(labels, F.col("head") == F.col("class_id"), "left")
     known = F.when(F.col("id") != F.lit(int(NO_ID)), F.col("id"))
