@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, resampling, topk, toxicity, warc
+import corpus_pipeline
+from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, resampling, tool_calls, topk, toxicity, warc
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +59,11 @@ def op6_packing(spark, root):
     )
 
 
+@query
+def op7_chat_formatting(spark, root):
+    return tool_calls.conversation_frames(table(spark, root, "conversations"))
+
+
 @query
 def op8_license_scan(spark, root):
     return licenses.license_report(table(spark, root, "documents"))
@@ -73,7 +79,35 @@ def op10_quality_resampling(spark, root):
     return resampling.importance_sample(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def pipeline(spark, root):
+    return corpus_pipeline.run(spark, root)
+
+
 SQL: dict[str, str] = {
+    "op7_chat_formatting": """
+        WITH calls AS (
+            SELECT conv_id, turn, conv_id || ':' || turn AS call_id,
+                   CASE WHEN role = 'system' THEN 'instruct' ELSE 'ask' END AS tool,
+                   json_object('text', text, 'turn', turn)::VARCHAR AS arguments,
+                   turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island
+            FROM conversations WHERE coalesce(role, '') <> 'assistant'
+        ), ordered AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM calls
+        ), answers AS (
+            SELECT conv_id || ':' || (turn - 1) AS call_id, max(text) AS content, count(*) AS results
+            FROM conversations WHERE role = 'assistant' GROUP BY 1
+        )
+        SELECT coalesce(o.call_id, a.call_id) AS call_id, tool, level,
+               CASE WHEN o.call_id IS NULL THEN 'no call' ELSE '' END AS errors,
+               CASE WHEN o.call_id IS NULL THEN 1 ELSE 0 END::INTEGER AS n_errors,
+               o.call_id IS NOT NULL AS has_call, a.call_id IS NOT NULL AS has_result, coalesce(results, 0) AS results,
+               CASE WHEN o.call_id IS NULL THEN json_object('result', content)
+                    WHEN content IS NULL THEN json_object('call', json_object('arguments', arguments, 'id', o.call_id, 'name', tool),
+                                                          'level', level)
+                    ELSE json_object('call', json_object('arguments', arguments, 'id', o.call_id, 'name', tool),
+                                     'level', level, 'result', content) END::VARCHAR AS json
+        FROM ordered o FULL JOIN answers a ON o.call_id = a.call_id""",
     "op9_exact_topk": """
         WITH whole AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS parts

@@ -15,20 +15,20 @@ types and says which are required; unknown, missing and mistyped keys are listed
 
 *Canonical JSON.* Keys sorted at every depth, no blanks between tokens.
 
-Everything is built of DataFrame operations. The table of schemas has one row a
-tool, and Spark broadcasts it if its measured size allows; a tool with a third of
-all calls is otherwise split by adaptive execution. Calls and results have one row
-per identifier, so no key of those joins is hot.
+Everything is built of DataFrame operations. Schemas are literals of the plan, so
+validation shuffles nothing however many calls one tool has. Results fold by
+identifier before they are shuffled, so no key of a join is hot.
 
 Defined cases: a null identifier links with nothing and has level 0. A null or
 broken arguments text is the error "not an object". A tool without a schema is the
-error "unknown tool". Of calls with equal identifiers one takes part in linking.
+error "unknown tool". Calls with equal identifiers share a place in the order and
+their results.
 Empty tables give empty results. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopspark.storage import materialize
@@ -64,21 +64,30 @@ def levels(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
 
 
-def schema_table(spark: SparkSession, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row per tool from {tool: {key: (type, required)}}: tool, kinds, required."""
-    rows = [
-        (tool, {k: TYPES[kind] for k, (kind, _) in keys.items()}, sorted(k for k, (_, needed) in keys.items() if needed))
-        for tool, keys in schemas.items()
-    ]
-    return spark.createDataFrame(rows, "tool string, kinds map<string,string>, required array<string>")
+def _per_tool(schemas: dict, value) -> Column:
+    """A literal for each tool, null for tools without a schema."""
+    found = F.lit(None)
+    for tool, keys in schemas.items():
+        found = F.when(F.col("tool") == tool, value(keys)).otherwise(found)
+    return found
 
 
-def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """``calls`` (with tool, arguments) and: errors (array), canonical arguments."""
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def validated(calls: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """``calls`` (with tool, arguments) and: errors (array), canonical arguments.
+
+    schemas: {tool: {key: (type, required)}}.
+    """
     parsed = calls.withColumn("variant", F.try_parse_json("arguments"))
     parsed = parsed.withColumn("is_object", F.coalesce(F.schema_of_variant("variant").startswith("OBJECT"), F.lit(False)))
     members = F.when(F.col("is_object"), F.col("variant").cast("map<string,variant>"))
-    met = parsed.withColumn("members", members).join(schemas, "tool", "left")
+    met = parsed.withColumn("members", members)
+    met = met.withColumn(
+        "kinds", _per_tool(schemas, lambda keys: F.map_from_arrays(_strings(list(keys)), _strings([TYPES[kind] for kind, _ in keys.values()])))
+    ).withColumn("required", _per_tool(schemas, lambda keys: _strings(sorted(k for k, (_, needed) in keys.items() if needed))))
     kinds = F.transform_values("members", lambda _, v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")))
     keys = F.map_keys("members")
     missing = F.transform(F.array_except("required", keys), lambda k: F.concat(F.lit("missing "), k))
@@ -95,30 +104,56 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return checked.drop("variant", "is_object", "members", "kinds", "required", "found")
 
 
-def linked_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call and per unclaimed result.
+def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """One row per call and per identifier with results only.
 
     calls: call_id, tool, arguments, follows. results: call_id, content.
-    Result: call_id, tool, level, errors, has_call, has_result, json.
+    Result: call_id, tool, level, errors, has_call, has_result, results, json.
     """
-    numbered = calls.withColumn("row", F.monotonically_increasing_id())
-    checked = materialize(validated(numbered, schemas), "calls-checked")
-    one = checked.groupBy("call_id").agg(F.max("row").alias("row"))
-    linking = checked.join(one.select("row"), "row", "left_semi") if calls.columns else checked
-    order = levels(linking.select("call_id", "follows"))
+    calls = calls.select("call_id", "tool", "arguments", "follows")
+    checked = validated(calls, schemas).withColumn("has_call", F.lit(True))
     answers = results.groupBy("call_id").agg(F.max("content").alias("content"), F.count("*").alias("results"))
-    met = checked.withColumn("has_call", F.lit(True)).join(answers.withColumn("has_result", F.lit(True)), "call_id", "full")
-    met = met.join(order, "call_id", "left")
+    met = checked.join(answers.withColumn("has_result", F.lit(True)), "call_id", "full").join(levels(calls), "call_id", "left")
+    met = met.withColumn("level", F.when(F.col("has_call"), F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level"))))
     call = F.struct(F.col("canonical").alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"))
-    # Parsing and writing back sorts the keys of the frame as well.
     frame = F.to_json(F.struct(F.when(F.col("has_call"), call).alias("call"), "level", F.col("content").alias("result")))
     return met.select(
         "call_id",
         "tool",
-        F.when(F.col("has_call"), F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level"))).alias("level"),
+        "level",
         F.coalesce("errors", F.array(F.lit("no call"))).alias("errors"),
         F.coalesce("has_call", F.lit(False)).alias("has_call"),
         F.coalesce("has_result", F.lit(False)).alias("has_result"),
         F.coalesce("results", F.lit(0)).alias("results"),
         canonical(frame).alias("json"),
     )
+
+
+#: Tools that stand for the turns of plain conversations.
+TURN_SCHEMAS = {
+    "ask": {"text": ("string", True), "turn": ("integer", True)},
+    "instruct": {"text": ("string", True), "turn": ("integer", True)},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of conversations (conv_id, turn, role, text).
+
+    A user's or system turn is a call that follows the call two turns before, an
+    assistant's turn the result of the call one turn before.
+    """
+    name = lambda back: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - back).cast("string"))
+    asked = turns.where(F.coalesce(F.col("role"), F.lit("")) != "assistant")
+    calls = asked.select(
+        name(0).alias("call_id"),
+        F.when(F.col("role") == "system", "instruct").otherwise("ask").alias("tool"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"),
+        name(2).alias("follows"),
+    )
+    return calls, turns.where(F.col("role") == "assistant").select(name(1).alias("call_id"), F.col("text").alias("content"))
+
+
+def conversation_frames(turns: DataFrame) -> DataFrame:
+    """The linked calls of conversations with their errors as one text."""
+    linked = linked_calls(*conversation_calls(turns), TURN_SCHEMAS)
+    return linked.withColumn("n_errors", F.size("errors")).withColumn("errors", F.array_join("errors", "; "))
