@@ -24,8 +24,8 @@ are not looked at.
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -56,23 +56,33 @@ PIECES = pa.schema(
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the letters from
+    256 on, in order.
+    """
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of texts.
 
     Byte-level merges stay inside the words that ``pattern`` cuts, so a word's ids
-    are looked up once and reused; the table is emptied when it is full.
+    are merged once and reused; the table is emptied when it is full.
     """
 
     def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
         self.cut = regex.compile(pattern).findall
+        self.model, self.letters = tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
+        vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():  # "Ċ" stands for a line end
             self.ends[at] = token.endswith((".", "!", "?")) or "Ċ" in token
@@ -80,15 +90,11 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         words = self.cut(text)
         known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if fresh:
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                fresh = list(set(words))
-            for at in range(0, len(fresh), 10_000):
-                part = fresh[at : at + 10_000]
-                for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    known[word] = np.array(found.ids, "<u4").tobytes()
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        for word in set(words).difference(known):
+            merged = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            known[word] = array("I", [token.id for token in merged]).tobytes()
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
