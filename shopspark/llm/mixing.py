@@ -128,9 +128,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with all its columns."""
     _, plan = plan_mix(docs, id_col, text_col, source_col, **options)
-    plan = plan.select(F.col("source").alias("__s"), F.struct("copies", "fraction", "draw").alias("__plan"))
-    met = docs.select("*", F.struct(F.col(id_col).alias("id")).alias("__doc")).join(plan, F.col(source_col).eqNullSafe(F.col("__s")))
-    picked = met.select(*[F.col(c) for c in docs.columns], F.col("__doc.id").alias("__id"), "__plan.*")
-    times = picked.withColumn("__times", _copies(F.col("__id")))
-    repeated = times.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__times"))))
-    return repeated.select(*docs.columns)
+    # The document travels as one struct, so its columns may have any names.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    met = whole.join(plan, F.col(f"doc.`{source_col}`").eqNullSafe(F.col("source")))
+    taken = F.explode(F.array_repeat(F.lit(0), _copies(F.col(f"doc.`{id_col}`"))))
+    return met.select("doc", taken.alias("copy")).select("doc.*")

@@ -75,10 +75,13 @@ def slots(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _slots(held: list[tuple[int, str]], gap: str) -> tuple[np.ndarray, np.ndarray]:
-    joined = gap.join(["", *(t for _, t in held), ""])
+    """Every text begins with a blank and ends with a gap; no n-gram starts in a gap or reaches past it."""
+    joined = "".join(f" {t}{gap}" for _, t in held)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    numbers = np.repeat(np.array([n for n, _ in held], np.int64), [len(t) + len(gap) for _, t in held])
-    numbers = np.concatenate([np.full(len(gap), numbers[0]), numbers])
+    sizes = np.array([len(t) + 1 for _, t in held])
+    inside = np.repeat(np.tile([True, False], len(held)), np.stack([sizes, np.full(len(held), len(gap))], 1).ravel())
+    inside = inside[: len(codes) - max(SIZES) + 1]
+    numbers = np.repeat(np.array([n for n, _ in held], np.int64), sizes)
     factors = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
     total = np.zeros(len(codes), np.uint32)
     out = []
@@ -86,12 +89,11 @@ def _slots(held: list[tuple[int, str]], gap: str) -> tuple[np.ndarray, np.ndarra
         n = len(codes) - size + 1
         total = total[:n] + codes[size - 1 :] * np.uint32(factors[size - 1])
         if size in SIZES:
-            h = total ^ (total >> np.uint32(15))
-            h = h * np.uint32(0x2C1B3C6D)
-            h ^= h >> np.uint32(13)
-            h = h * np.uint32(0x297A2D39)
-            out.append((numbers[:n], h >> np.uint32(32 - BITS)))
-    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+            h = total[: len(inside)][inside]
+            h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            h = (h ^ (h >> np.uint32(13))) * np.uint32(0x297A2D39)
+            out.append(h >> np.uint32(32 - BITS))
+    return np.tile(numbers, len(SIZES)), np.concatenate(out)
 
 
 @dataclass
