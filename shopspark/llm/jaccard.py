@@ -63,6 +63,8 @@ BUCKET_CHARS = 16_000_000
 NO_ID = np.iinfo(np.int64).min
 #: Size classes of the last step: ratio of neighbours, and how many on either side can hold partners.
 CLASS, REACH = 1.05, 7
+#: Times that only each document's likeliest pair is verified before all pairs left are.
+BEST_ROUNDS = 3
 
 
 class Sketch:
@@ -362,7 +364,22 @@ def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: i
         (F.col("label") != F.col("other")) & (F.col("a") < F.col("b")) & (F.abs(apart) <= REACH)
         & allowed("open", "(class_b - class)") & allowed("open_b", "(class - class_b)")
     )
-    return found.union(materialize(_verified(pairs.select("a", "b").distinct(), sets, percent), "jaccard-links"))
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "jaccard-pairs")
+    for _ in range(BEST_ROUNDS):
+        # Each document's likeliest pair first: what it links makes other pairs needless.
+        ends = pairs.union(pairs.select("b", "a", "n"))
+        best = ends.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+        best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-best")
+        found = materialize(found.union(_verified(best, sets, percent)), "jaccard-links")
+        labels = materialize(components(links.union(found)), "jaccard-labels")
+        left = pairs.join(best, ["a", "b"], "left_anti")
+        left = left.join(labels.select(F.col("id").alias("a"), F.col("component").alias("la")), "a", "left")
+        left = left.join(labels.select(F.col("id").alias("b"), F.col("component").alias("lb")), "b", "left")
+        apart = F.coalesce("la", "a") != F.coalesce("lb", "b")
+        pairs = materialize(left.where(apart).select("a", "b", "n"), "jaccard-pairs")
+        if not pairs.count():
+            return found
+    return found.union(materialize(_verified(pairs.select("a", "b"), sets, percent), "jaccard-links"))
 
 
 def similar_groups(
