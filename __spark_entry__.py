@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import oracles
-from shopspark.domain import FAULTS, RAW, faulty, item_columns, order_heads, product_columns, shop, with_faults
+from shopspark.domain import FAULTS, RAW, center_span, faulty, item_columns, order_heads, product_columns, shop, with_faults
 from shopspark.operators import embedding, knn
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
@@ -418,10 +418,13 @@ def stream_daily_sales(spark, root):
 
 @query
 def stream_sessions(spark, root):
-    closed = metrics.session_stream(scan_stream(spark, root, "events"))
-    path = scratch_path(spark, "stream-sessions")
-    ingest.append_to(closed, path, scratch_path(spark, "checkpoint"))
-    return spark.read.schema(closed.schema).parquet(path)
+    clicks = scan_stream(spark, root, "events").select("user_id", "ts", "event_type")
+    empty = metrics.click_spans(scan(spark, root, "events").limit(0))
+    table = VersionedTable(spark, scratch_path(spark, "stream-sessions"), "sessions", empty.schema)
+    table.replace(empty)
+    fold = lambda stored, batch: metrics.fold_sessions(stored, metrics.click_spans(batch))
+    ingest.merge_stream(clicks, table, fold, scratch_path(spark, "checkpoint"))
+    return metrics.open_sessions(table.read())
 
 
 @query
@@ -440,15 +443,15 @@ def stream_upsert(spark, root):
     stored = stored_products(spark, root)
     table = VersionedTable(spark, scratch_path(spark, "stream-products"), "catalogue", stored.schema)
     table.replace(stored)
-    deliveries = product_batch(clean(product_columns(scan_stream(spark, root, "part")), "products"))
+    deliveries = product_batch(clean(product_columns(scan_stream(spark, root, "part"), center_span(spark, root)), "products"))
     ingest.upsert_stream(deliveries, table, MergeSpec(frozen=("brand", "sku")), scratch_path(spark, "checkpoint"))
     return table.read()
 
 
 @query
 def stream_quarantine(spark, root):
-    """Faulty products from a stream: those of known warehouses that break a row rule."""
-    incoming = clean(with_faults(product_columns(scan_stream(spark, root, "part")), "products"), "products")
+    """Faulty products from a stream: those of unknown warehouses or that break a row rule."""
+    incoming = clean(with_faults(product_columns(scan_stream(spark, root, "part"), center_span(spark, root)), "products"), "products")
     good, bad = scratch_path(spark, "stream-good"), scratch_path(spark, "stream-bad")
     ingest.quarantine_stream(
         incoming, CONTRACTS["products"], [center_key(spark, root)], good, bad, scratch_path(spark, "checkpoint")

@@ -15,7 +15,9 @@ users_raw AS (
     (c.c_custkey * 104729 % 36001)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE AS longitude,
     c.c_mktsegment AS traffic_source,
     TIMESTAMP '1994-01-01' + to_days((c.c_custkey % 365)::INT) AS created_at
-  FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
+  FROM (SELECT c_custkey, c_nationkey, c_mktsegment FROM customer
+        UNION ALL SELECT s_suppkey + 1000000000000, s_nationkey, 'BUILDING' FROM supplier) c
+    JOIN nation n ON c.c_nationkey = n.n_nationkey
     JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 CENTERS_RAW = """
@@ -23,14 +25,14 @@ centers_raw AS (
   SELECT s_suppkey AS id, s_name AS name,
     (s_suppkey * 6151 % 17001)::DOUBLE / 100.0::DOUBLE - 85.0::DOUBLE AS latitude,
     (s_suppkey * 49157 % 36001)::DOUBLE / 100.0::DOUBLE - 180.0::DOUBLE AS longitude
-  FROM supplier WHERE s_suppkey < 10)"""
+  FROM supplier)"""
 
 PRODUCTS_RAW = """
 products_raw AS (
   SELECT p_partkey AS id, round(p_retailprice::DECIMAL(18,4) * 0.55, 2)::DECIMAL(10,2) AS cost, p_type AS category,
     p_name AS name, p_brand AS brand, round(p_retailprice, 2)::DECIMAL(10,2) AS retail_price,
     CASE WHEN p_size % 2 = 0 THEN 'Women' ELSE 'Men' END AS department, 'SKU' || p_partkey AS sku,
-    p_partkey % 12 AS distribution_center_id
+    p_partkey % (SELECT count(*) * 12 // 10 FROM supplier) AS distribution_center_id
   FROM part)"""
 
 HEADS = """
@@ -40,7 +42,7 @@ heads AS (
       WHEN o_orderstatus = 'P' THEN 'Processing' WHEN o_orderstatus = 'O' THEN 'Shipped'
       WHEN o_orderkey % 4 = 0 THEN 'Returned' ELSE 'Complete' END AS status,
     o_orderdate AS created_at
-  FROM orders WHERE o_custkey % 10 <> 3)"""
+  FROM orders)"""
 
 ITEMS_RAW = (
     HEADS
@@ -162,17 +164,19 @@ SQL: dict[str, str] = {}
 # --- sales ---------------------------------------------------------------------------------------
 
 SQL["daily_sales"] = f"""
-WITH {ITEMS}, {PRODUCTS_RAW}, {USERS_RAW}, m AS (
-  SELECT i.created_at::DATE AS day, u.country,
-    coalesce(sum(i.sale_price) FILTER (WHERE i.status <> 'Cancelled'), 0) AS gmv,
-    coalesce(sum(i.sale_price) FILTER (WHERE i.{SOLD}), 0) AS net,
-    coalesce(sum(p.cost) FILTER (WHERE i.{SOLD}), 0) AS cost_sold,
-    coalesce(sum(p.cost) FILTER (WHERE i.status = 'Returned'), 0) AS cost_returned,
-    count(DISTINCT i.order_id) FILTER (WHERE i.{SOLD}) AS n_sold,
-    count(DISTINCT i.order_id) FILTER (WHERE i.status = 'Cancelled') AS n_cancelled,
-    count(DISTINCT i.order_id) FILTER (WHERE i.status = 'Returned') AS n_returned,
-    count(DISTINCT i.order_id) AS n
-  FROM items i JOIN products_raw p ON i.product_id = p.id JOIN users_raw u ON i.user_id = u.id GROUP BY 1, 2)
+WITH {ITEMS}, {PRODUCTS_RAW}, {USERS_RAW}, per_order AS (
+  -- One row per order, day and country: money by kind, and which kinds of items it has.
+  SELECT i.created_at::DATE AS day, u.country, i.order_id,
+    sum(CASE WHEN i.status <> 'Cancelled' THEN i.sale_price ELSE 0 END) AS paid,
+    sum(CASE WHEN i.{SOLD} THEN i.sale_price ELSE 0 END) AS kept,
+    sum(CASE WHEN i.{SOLD} THEN p.cost ELSE 0 END) AS kept_cost,
+    sum(CASE WHEN i.status = 'Returned' THEN p.cost ELSE 0 END) AS back_cost,
+    bool_or(i.{SOLD}) AS has_sold, bool_or(i.status = 'Cancelled') AS has_cancelled, bool_or(i.status = 'Returned') AS has_returned
+  FROM items i, products_raw p, users_raw u WHERE p.id = i.product_id AND u.id = i.user_id GROUP BY ALL),
+m AS (
+  SELECT day, country, sum(paid) AS gmv, sum(kept) AS net, sum(kept_cost) AS cost_sold, sum(back_cost) AS cost_returned,
+    count_if(has_sold) AS n_sold, count_if(has_cancelled) AS n_cancelled, count_if(has_returned) AS n_returned, count(*) AS n
+  FROM per_order GROUP BY ALL)
 SELECT day, country, {dollars('gmv')} AS gmv, {dollars('net')} AS net_revenue,
   {dollars('net - cost_sold')} AS gross_profit_optimistic,
   {dollars('(net - cost_sold - cost_returned * 0.10)::DECIMAL(24,4)')} AS gross_profit_realistic,
@@ -200,29 +204,34 @@ FROM r"""
 # --- customers -----------------------------------------------------------------------------------
 
 SQL["cohort_retention"] = f"""
-WITH {ITEMS}, {USERS_RAW}, uc AS (
-  SELECT i.user_id, u.country, date_trunc('month', min(i.created_at))::DATE AS cohort_month
-  FROM items i JOIN users_raw u ON i.user_id = u.id WHERE i.{SOLD} GROUP BY 1, 2),
-ua AS (SELECT DISTINCT user_id, date_trunc('month', created_at)::DATE AS activity_month FROM items WHERE {SOLD}),
-b AS (SELECT country, cohort_month, activity_month, count(DISTINCT uc.user_id) AS active_users,
-    date_diff('month', cohort_month, activity_month) AS month_number
-  FROM uc JOIN ua ON uc.user_id = ua.user_id GROUP BY 1, 2, 3),
-s AS (SELECT country, cohort_month, count(DISTINCT user_id) AS original_users FROM uc GROUP BY 1, 2)
-SELECT b.country, b.cohort_month, s.original_users, b.month_number::INT AS month_number, b.active_users,
-  {pct('b.active_users', 's.original_users')} AS retention_rate
-FROM b JOIN s ON b.cohort_month = s.cohort_month AND b.country = s.country WHERE b.month_number <= 12"""
+WITH {ITEMS}, {USERS_RAW}, buyers AS (
+  -- Every buyer with the sorted list of months that have a sale; the first is the cohort.
+  SELECT any_value(u.country) AS country, list_sort(list(DISTINCT date_trunc('month', i.created_at)::DATE)) AS months
+  FROM items i, users_raw u WHERE u.id = i.user_id AND i.{SOLD} GROUP BY u.id),
+seen AS (
+  SELECT country, months[1] AS cohort_month, date_diff('month', months[1], unnest(months))::INT AS month_number FROM buyers),
+counted AS (SELECT country, cohort_month, month_number, count(*) AS active_users FROM seen GROUP BY ALL),
+sized AS (
+  -- Month 0 of a cohort holds all its buyers.
+  SELECT *, max(active_users) FILTER (WHERE month_number = 0) OVER (PARTITION BY country, cohort_month) AS original_users
+  FROM counted)
+SELECT country, cohort_month, original_users, month_number, active_users,
+  {pct('active_users', 'original_users')} AS retention_rate
+FROM sized WHERE month_number <= 12"""
 
 SQL["customer_rfm_ltv"] = f"""
-WITH {ITEMS}, {USERS_RAW}, kept AS (SELECT * FROM items WHERE {SOLD}),
-stats AS (
-  SELECT u.id AS user_id, date_diff('day', max(k.created_at)::DATE,
-      (SELECT max(created_at)::DATE + 1 FROM kept)) AS recency_days,
-    count(DISTINCT k.order_id) AS frequency_count, sum(k.sale_price) AS ltv
-  FROM users_raw u JOIN kept k ON u.id = k.user_id GROUP BY 1),
+WITH {ITEMS}, {USERS_RAW}, orders_of AS (
+  -- Orders with a sale; the day after the latest of all is the day of the snapshot.
+  SELECT user_id, order_id, max(created_at)::DATE AS placed, sum(sale_price) AS spend
+  FROM items WHERE {SOLD} GROUP BY ALL),
+dated AS (SELECT *, max(placed) OVER () + 1 AS today FROM orders_of),
+buyers AS (
+  SELECT user_id, min(today - placed) AS recency_days, count(*) AS frequency_count, sum(spend) AS ltv
+  FROM dated WHERE user_id IN (SELECT id FROM users_raw) GROUP BY user_id),
 scored AS (
-  SELECT *, ntile(5) OVER (ORDER BY recency_days DESC, user_id) AS r_score,
-    ntile(5) OVER (ORDER BY frequency_count, user_id) AS f_score,
-    ntile(5) OVER (ORDER BY ltv, user_id) AS m_score FROM stats)
+  SELECT *, ntile(5) OVER old AS r_score, ntile(5) OVER often AS f_score, ntile(5) OVER rich AS m_score FROM buyers
+  WINDOW old AS (ORDER BY recency_days DESC, user_id), often AS (ORDER BY frequency_count, user_id),
+    rich AS (ORDER BY ltv, user_id))
 SELECT user_id, recency_days::INT AS recency_days, frequency_count, {dollars('ltv')} AS ltv_value,
   concat(r_score, f_score, m_score) AS rfm_score, r_score::INT AS r_score, f_score::INT AS f_score,
   m_score::INT AS m_score,
@@ -603,7 +612,10 @@ SELECT *, rows_in - rows_out AS rows_dropped, rows_out AS inserted, 0 AS updated
 
 
 def geodesic(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str, rounds: int = 8) -> str:
-    """CTEs that add the Vincenty distance in metres (column ``m``) to the rows of ``source``."""
+    """CTEs that add the Vincenty distance in metres (column ``m``) to the rows of ``source``.
+
+    Where the rounds do not settle (nearly opposite points) it is Lambert's closed form.
+    """
     f, a = "(1 / 298.257223563::DOUBLE)", "6378137.0::DOUBLE"
     ctes = [
         f"""g0 AS (SELECT *, radians(({lon2}) - ({lon1})) AS gl, radians(({lon2}) - ({lon1})) AS gspan,
@@ -624,7 +636,7 @@ def geodesic(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str,
     ELSE gcs - 2 * sin(gu1) * sin(gu2) / (1 - gsa * gsa) END AS gm,
     {f} / 16 * (1 - gsa * gsa) * (4 + {f} * (4 - 3 * (1 - gsa * gsa))) AS gc FROM i{i})""",
             f"""k{i} AS (SELECT * EXCLUDE (gc) REPLACE (gspan + (1 - gc) * {f} * gsa
-    * (gs + gc * gss * (gm + gc * gcs * (2 * gm * gm - 1))) AS gl) FROM j{i})""",
+    * (gs + gc * gss * (gm + gc * gcs * (2 * gm * gm - 1))) AS gl){", gl AS gbefore" if i == rounds - 1 else ""} FROM j{i})""",
         ]
         last = f"k{i}"
     b = f"({a} * (1 - {f}))"
@@ -632,8 +644,13 @@ def geodesic(source: str, name: str, lat1: str, lon1: str, lat2: str, lon2: str,
         f"g2 AS (SELECT *, (1 - gsa * gsa) * ({a} * {a} - {b} * {b}) / ({b} * {b}) AS gk FROM {last})",
         """g3 AS (SELECT *, 1 + gk / 16384 * (4096 + gk * (-768 + gk * (320 - 175 * gk))) AS ga,
     gk / 1024 * (256 + gk * (-128 + gk * (74 - 47 * gk))) AS gb FROM g2)""",
-        f"""{name} AS (SELECT *, {b} * ga * (gs - gb * gss * (gm + gb / 4 * (gcs * (2 * gm * gm - 1)
-    - gb / 6 * gm * (4 * gss * gss - 3) * (4 * gm * gm - 3)))) AS m FROM g3)""",
+        f"""g4 AS (SELECT *, 2 * asin(sqrt(least(1.0, pow(sin((gu2 - gu1) / 2), 2)
+    + cos(gu1) * cos(gu2) * pow(sin(gspan / 2), 2)))) AS gfar FROM g3)""",
+        f"""{name} AS (SELECT *, CASE WHEN NOT abs(gl - gbefore) < 1e-9 THEN {a} * (gfar - {f} / 2 * (
+      (gfar - sin(gfar)) * pow(sin((gu1 + gu2) / 2), 2) * pow(cos((gu2 - gu1) / 2), 2) / pow(cos(gfar / 2), 2)
+      + (gfar + sin(gfar)) * pow(cos((gu1 + gu2) / 2), 2) * pow(sin((gu2 - gu1) / 2), 2) / pow(sin(gfar / 2), 2)))
+    ELSE {b} * ga * (gs - gb * gss * (gm + gb / 4 * (gcs * (2 * gm * gm - 1)
+    - gb / 6 * gm * (4 * gss * gss - 3) * (4 * gm * gm - 3)))) END AS m FROM g4)""",
     ]
     return ",\n".join(ctes)
 
@@ -757,13 +774,13 @@ SELECT i.created_at::DATE AS day, u.country,
   {dollars(f"coalesce(sum(p.cost) FILTER (WHERE i.{SOLD}), 0)")} AS cost_sold, count(*) AS items
 FROM items_raw i JOIN products_raw p ON i.product_id = p.id JOIN users_raw u ON i.user_id = u.id GROUP BY 1, 2"""
 
-# A session is closed when the watermark, here the last click of all, is a gap past its last click.
+# A session is open while a click within the gap after the last of all clicks could join it.
 SQL["stream_sessions"] = f"""WITH {EVENTS_RAW}, s AS (
   SELECT user_id, sn, min(ts) AS started_at, max(ts) AS last_at, count(*) AS clicks,
     max((event_type = 'click')::INT) AS has_cart, max((event_type = 'purchase')::INT) AS has_purchase,
-    max((event_type = 'view')::INT) AS has_product_view FROM numbered_sessions GROUP BY 1, 2)
-SELECT user_id, started_at, last_at, clicks, has_cart, has_purchase, has_product_view FROM s
-WHERE last_at + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)"""
+    max((event_type = 'view')::INT) AS has_product_view FROM numbered_sessions WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, started_at, last_at, clicks, has_cart, has_purchase, has_product_view,
+  epoch_us((SELECT max(ts) FROM events)) - epoch_us(last_at) < 43200000000 AS is_open FROM s"""
 
 SQL["stream_dedup"] = "SELECT event_id, ts, user_id, event_type FROM events"
 
@@ -772,7 +789,9 @@ SELECT id, name, retail_price::DOUBLE AS retail_price, brand, sku FROM m"""
 
 _PRODUCT_RULES = ROW_RULES["products"]
 SQL["stream_quarantine"] = f"""WITH {PRODUCTS_FIXED}, {CENTERS_RAW}, marked AS (
-  SELECT id, concat_ws(',', {', '.join(f"CASE WHEN {_PRODUCT_RULES[n]} THEN '{n}' END" for n in (
+  SELECT id, concat_ws(',', CASE WHEN distribution_center_id IN (SELECT id FROM centers_raw) THEN NULL
+        ELSE 'missing distribution_center_id' END,
+      {', '.join(f"CASE WHEN {_PRODUCT_RULES[n]} THEN '{n}' END" for n in (
       'id_missing', 'cost_missing', 'price_missing', 'sku_missing', 'cost_negative', 'price_negative'))}) AS failed_rules
-  FROM products WHERE distribution_center_id IN (SELECT id FROM centers_raw))
+  FROM products)
 SELECT * FROM marked WHERE failed_rules <> ''"""

@@ -34,8 +34,16 @@ def raw_users(spark: SparkSession, root: str) -> DataFrame:
     region = scan(spark, root, "region")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     key = F.col("c_custkey")
+    # Suppliers are users as well; they have no orders.
+    others = scan(spark, root, "supplier").select(
+        (F.col("s_suppkey") + SUPPLIER_USERS).alias("c_custkey"),
+        F.col("s_nationkey").alias("c_nationkey"),
+        F.lit("BUILDING").alias("c_mktsegment"),
+    )
     return (
         scan(spark, root, "customer")
+        .select("c_custkey", "c_nationkey", "c_mktsegment")
+        .union(others)
         .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             key.alias("id"),
@@ -55,7 +63,6 @@ def raw_users(spark: SparkSession, root: str) -> DataFrame:
 def raw_distribution_centers(spark: SparkSession, root: str) -> DataFrame:
     return (
         scan(spark, root, "supplier")
-        .filter(F.col("s_suppkey") < 10)
         .select(
             F.col("s_suppkey").alias("id"),
             F.col("s_name").alias("name"),
@@ -65,8 +72,13 @@ def raw_distribution_centers(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def product_columns(part: DataFrame) -> DataFrame:
-    """Warehouses 10 and 11 do not exist: their products are orphans."""
+def center_span(spark: SparkSession, root: str) -> int:
+    """Warehouse numbers that products use; a sixth of them do not exist."""
+    return scan(spark, root, "supplier").count() * 12 // 10
+
+
+def product_columns(part: DataFrame, centers: int) -> DataFrame:
+    """Products of warehouses 0 to ``centers`` - 1; those of absent warehouses are orphans."""
     price = F.col("p_retailprice").cast("decimal(18,4)")
     return part.select(
         F.col("p_partkey").alias("id"),
@@ -77,16 +89,16 @@ def product_columns(part: DataFrame) -> DataFrame:
         F.round(price, 2).cast("decimal(10,2)").alias("retail_price"),
         F.when(F.col("p_size") % 2 == 0, "Women").otherwise("Men").alias("department"),
         F.concat(F.lit("SKU"), F.col("p_partkey").cast("string")).alias("sku"),
-        (F.col("p_partkey") % 12).cast("smallint").alias("distribution_center_id"),
+        (F.col("p_partkey") % centers).cast("bigint").alias("distribution_center_id"),
     )
 
 
 def raw_products(spark: SparkSession, root: str) -> DataFrame:
-    return product_columns(scan(spark, root, "part"))
+    return product_columns(scan(spark, root, "part"), center_span(spark, root))
 
 
 def order_heads(spark: SparkSession, root: str) -> DataFrame:
-    """Orders without their item roll-up; buyers ending in 3 have none."""
+    """Orders without their item roll-up."""
     state, key = F.col("o_orderstatus"), F.col("o_orderkey")
     status = (
         F.when((F.col("o_orderpriority") == "5-LOW") & (key % 2 == 0), "Cancelled")
@@ -97,7 +109,6 @@ def order_heads(spark: SparkSession, root: str) -> DataFrame:
     )
     return (
         scan(spark, root, "orders")
-        .filter(F.col("o_custkey") % 10 != 3)
         .select(
             key.alias("order_id"),
             F.col("o_custkey").alias("user_id"),
@@ -138,6 +149,8 @@ def item_columns(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
 # Item ids are built from order, dispatch day and rank within that day.
 _ID_ORDER, _ID_DAY = 10_000_000, 1_000
+# First number of the users that suppliers are.
+SUPPLIER_USERS = 1_000_000_000_000
 
 
 def raw_order_items(spark: SparkSession, root: str) -> DataFrame:
@@ -151,8 +164,11 @@ def raw_order_items(spark: SparkSession, root: str) -> DataFrame:
         "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
     )
-    number = F.col("l_orderkey") * _ID_ORDER + F.col("_day") * _ID_DAY + F.row_number().over(within_day)
-    lines = scan(spark, root, "lineitem").withColumn("_day", day).withColumn("id", number)
+    rank = F.row_number().over(within_day)
+    full = F.raise_error(F.lit("an order has too many lines of one day for its item ids")).cast("bigint")
+    number = F.col("l_orderkey") * _ID_ORDER + F.col("_day") * _ID_DAY
+    lines = scan(spark, root, "lineitem").withColumn("_day", day).withColumn("_rank", rank)
+    lines = lines.withColumn("id", F.when(F.col("_rank") < _ID_DAY, number + F.col("_rank")).otherwise(full)).drop("_rank")
     return item_columns(lines, order_heads(spark, root)).select(
         "id",
         "order_id",

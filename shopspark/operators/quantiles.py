@@ -117,6 +117,8 @@ def boundaries(
         *[F.min(c).alias(f"min_{c}") for c in columns],
         *[F.max(c).alias(f"max_{c}") for c in columns],
     ).first()
+    if not stats["n"]:
+        return {v: [] for v in values}
     ends = bucket_ends(stats["n"], buckets)
     ids = (stats[f"min_{id_column}"], stats[f"max_{id_column}"])
     found = {

@@ -18,7 +18,7 @@ DEFAULT_GAP_SECONDS = 12 * 3600
 BINS_PER_GAP = 256
 
 
-def _bin(ts: str, gap_seconds: int):
+def time_bin(ts: str, gap_seconds: int):
     """Start of the bin holding ``ts``, in microseconds."""
     micros = F.unix_micros(ts)
     return micros - F.pmod(micros, F.lit(max(1, gap_seconds * 1_000_000 // BINS_PER_GAP)))
@@ -27,7 +27,7 @@ def _bin(ts: str, gap_seconds: int):
 def session_bins(df: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
     """One row per (user, bin): session number, and events of the session before it."""
     bins = (
-        df.withColumn("_bin", _bin(ts, gap_seconds))
+        df.withColumn("_bin", time_bin(ts, gap_seconds))
         .groupBy(user, "_bin")
         .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_events"))
     )
@@ -50,14 +50,21 @@ def sessionize(
     order: str = "event_id",
     gap_seconds: int = DEFAULT_GAP_SECONDS,
 ) -> DataFrame:
-    """Add ``session_id`` and ``sequence_number`` to every event."""
+    """Add ``session_id`` and ``sequence_number`` to every event.
+
+    Events without a user or a time belong to no session: both columns are null.
+    """
+    known = F.col(user).isNotNull() & F.col(ts).isNotNull()
+    loose = df.where(~known).select("*", F.lit(None).cast("string").alias("session_id"), F.lit(None).cast("bigint").alias("sequence_number"))
+    df = df.where(known)
     bins = session_bins(df, user, ts, gap_seconds)
     in_bin = W.partitionBy(user, "_bin").orderBy(ts, order)
-    return (
-        df.withColumn("_bin", _bin(ts, gap_seconds))
+    numbered = (
+        df.withColumn("_bin", time_bin(ts, gap_seconds))
         .withColumn("_rank", F.row_number().over(in_bin))
         .join(bins, [user, "_bin"])
         .withColumn("session_id", F.concat_ws("-", F.col(user).cast("string"), F.col("_session").cast("string")))
         .withColumn("sequence_number", F.col("_before") + F.col("_rank"))
         .drop("_bin", "_rank", "_session", "_before")
     )
+    return numbered.unionByName(loose)

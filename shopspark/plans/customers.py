@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -83,13 +83,13 @@ def segment():
 
 def customer_rfm_ltv(order_items: DataFrame, users: DataFrame) -> DataFrame:
     """Quintile scores and segment per buyer; ties go by user id."""
-    # The snapshot is the day after the latest kept item, known buyer or not. It is
-    # observed while the statistics are written, before buyers are matched.
-    latest = Observation()
-    observed = customer_stats(order_items).observe(latest, F.max(F.unix_micros("last_at")).alias("at"))
+    # The snapshot is the day after the latest kept item, known buyer or not, so the
+    # statistics are stored before buyers are matched. Without items it is null.
+    every = materialize(customer_stats(order_items), "customer-stats")
+    latest = every.agg(F.max(F.unix_micros("last_at"))).first()[0]
     known = users.select(F.col("id").alias("user_id"))
-    stored = materialize(observed.join(known, "user_id", "left_semi"), "customer-stats")
-    snapshot = F.date_add(F.to_date(F.timestamp_micros(F.lit(latest.get["at"]).cast("bigint"))), 1)
+    stored = materialize(every.join(known, "user_id", "left_semi"), "customer-known")
+    snapshot = F.date_add(F.to_date(F.timestamp_micros(F.lit(latest).cast("bigint"))), 1)
     stats = stored.withColumn("recency_days", F.datediff(snapshot, F.to_date("last_at"))).withColumns(
         {
             "_age": -F.col("recency_days"),

@@ -92,7 +92,7 @@ PRODUCTS = TableSpec(
         ("retail_price", "decimal(10,2)", "Suggested selling price."),
         ("department", "string", "Department."),
         ("sku", "string", "Stock-keeping code."),
-        ("distribution_center_id", "smallint", "Warehouse that stocks the product."),
+        ("distribution_center_id", "bigint", "Warehouse that stocks the product."),
     ),
 )
 

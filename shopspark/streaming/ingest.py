@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopspark.operators.contracts import Contract, split_by_contract
-from shopspark.operators.integrity import ForeignKey, keep_valid
+from shopspark.operators.contracts import Contract, failed_rules
+from shopspark.operators.integrity import ForeignKey, mark_drops
 from shopspark.operators.merge import MergeSpec
 from shopspark.operators.transforms import clean
 from shopspark.plans.load import upsert
 from shopspark.schemas import TABLES
 from shopspark.sources.versioned import VersionedTable
+from shopspark.storage import materialize
 
 
 def stream_raw(spark: SparkSession, folder: str, table: str, **options: str) -> DataFrame:
@@ -75,6 +76,8 @@ def upsert_stream(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        # Checks and merge read the staged rows, so the batch is worked out once.
+        batch = materialize(batch, "merge-batch")
         if batch.isEmpty():
             return
         rows = latest_per_key(batch, spec.keys, newest) if newest else batch
@@ -93,17 +96,36 @@ def quarantine_stream(
 ) -> None:
     """Rows with valid references that keep the contract to one place, the others to quarantine.
 
-    A stream cannot stop for one bad row. Each batch writes its own folder, so a
-    repeated batch replaces its first attempt.
+    A stream cannot stop for one bad row. A quarantined row carries the rules it
+    breaks; a reference that is missing comes first, as ``missing <column>``. A batch
+    is worked out once, into a folder of its own that a repeated batch replaces, and
+    both places are cut from it.
     """
-    referenced = keep_valid(stream, fks)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_by_contract(batch, contract)
+        marked = mark_drops(batch, fks).withColumn("failed_rules", failed_rules(batch, contract))
+        lost = F.when(F.col("dropped_by").isNotNull(), F.array(F.concat(F.lit("missing "), "dropped_by")))
+        empty = F.array().cast("array<string>")
+        marked = marked.withColumn("failed_rules", F.concat(F.coalesce(lost, empty), F.coalesce("failed_rules", empty)))
+        staged = materialize(marked.drop("dropped_by"), "quarantine-batch")
+        good = staged.where(F.size("failed_rules") == 0).drop("failed_rules")
         good.write.mode("overwrite").parquet(f"{good_path}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
+        staged.where(F.size("failed_rules") > 0).write.mode("overwrite").parquet(f"{bad_path}/batch={batch_id}")
 
-    _work_off(referenced, checkpoint, handle)
+    _work_off(stream, checkpoint, handle)
+
+
+def merge_stream(
+    stream: DataFrame, table: VersionedTable, fold: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str
+) -> None:
+    """Replace the table by ``fold(stored rows, new rows)`` for every micro-batch."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = materialize(batch, "fold-batch")
+        if not batch.isEmpty():
+            table.replace(fold(table.read(), batch))
+
+    _work_off(stream, checkpoint, handle)
 
 
 def without_repeats(stream: DataFrame, keys: Sequence[str], time: str, late_by: str = "1 day") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopspark.operators.sessions import DEFAULT_GAP_SECONDS
+from shopspark.operators.sessions import DEFAULT_GAP_SECONDS, time_bin
 from shopspark.plans.common import any_of, count_rows, not_cancelled, sold, total_if
 
 
@@ -30,36 +30,49 @@ def daily_sales_stream(order_items: DataFrame, products: DataFrame, users: DataF
     )
 
 
-def session_stream(
-    clicks: DataFrame,
-    user: str = "user_id",
-    ts: str = "ts",
-    gap_seconds: int = DEFAULT_GAP_SECONDS,
-    late_by: str = "0 seconds",
-) -> DataFrame:
-    """Closed sessions with their funnel flags, for append mode.
+FLAGS = {"has_cart": "click", "has_purchase": "purchase", "has_product_view": "view"}
 
-    A session leaves the state once the watermark is a gap past its last click,
-    so each is written once and the state holds open sessions only.
-    """
-    sessions = F.session_window(ts, f"{gap_seconds} seconds")
+
+def click_spans(clicks: DataFrame, user: str = "user_id", ts: str = "ts", gap_seconds: int = DEFAULT_GAP_SECONDS) -> DataFrame:
+    """Clicks folded to one row per user and time bin shorter than the gap; clicks without a user or a time have none."""
+    known = clicks.where(F.col(user).isNotNull() & F.col(ts).isNotNull())
     return (
-        clicks.withWatermark(ts, late_by)
-        .groupBy(user, sessions)
+        known.groupBy(user, time_bin(ts, gap_seconds).alias("_bin"))
         .agg(
-            count_rows("clicks"),
+            F.min(ts).alias("started_at"),
             F.max(ts).alias("last_at"),
-            any_of(F.col("event_type") == "click").alias("has_cart"),
-            any_of(F.col("event_type") == "purchase").alias("has_purchase"),
-            any_of(F.col("event_type") == "view").alias("has_product_view"),
-        )
-        .select(
-            user,
-            F.col("session_window.start").alias("started_at"),
-            "last_at",
-            "clicks",
-            "has_cart",
-            "has_purchase",
-            "has_product_view",
+            count_rows("clicks"),
+            *[any_of(F.col("event_type") == kind).alias(flag) for flag, kind in FLAGS.items()],
         )
+        .drop("_bin")
+    )
+
+
+def fold_sessions(
+    stored: DataFrame, spans: DataFrame, user: str = "user_id", gap_seconds: int = DEFAULT_GAP_SECONDS
+) -> DataFrame:
+    """Stored sessions and new spans of clicks joined to sessions, however late the clicks are.
+
+    Only users with new clicks are worked on. A late click may lengthen a session or
+    join two; the rows of such a user are replaced. ``spans`` is read twice, so pass
+    stored rows.
+    """
+    touched = spans.select(user).distinct()
+    parts = stored.join(touched, user, "left_semi").unionByName(spans)
+    by_user = Window.partitionBy(user).orderBy("started_at", "last_at")
+    reached = F.max(F.unix_micros("last_at")).over(by_user.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce((F.unix_micros("started_at") - reached >= gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    numbered = parts.withColumn("_starts", starts).withColumn("_session", F.sum("_starts").over(by_user))
+    joined = numbered.groupBy(user, "_session").agg(
+        F.min("started_at").alias("started_at"),
+        F.max("last_at").alias("last_at"),
+        F.sum("clicks").alias("clicks"),
+        *[F.max(flag).alias(flag) for flag in FLAGS],
     )
+    return stored.join(touched, user, "left_anti").unionByName(joined.select(*stored.columns))
+
+
+def open_sessions(sessions: DataFrame, gap_seconds: int = DEFAULT_GAP_SECONDS) -> DataFrame:
+    """Add ``is_open``: a click within the gap after the latest of all could still join the session."""
+    latest = sessions.agg(F.max(F.unix_micros("last_at"))).first()[0]
+    return sessions.withColumn("is_open", F.lit(latest).cast("bigint") - F.unix_micros("last_at") < gap_seconds * 1_000_000)

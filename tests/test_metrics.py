@@ -112,3 +112,13 @@ def test_first_orders_and_order_value(spark):
     got = sales.new_vs_recurring(oi).first()
     assert (got["new_sales"], got["recurring_sales"], got["buyers"], got["repeat_buyers"]) == (25, 10, 1, 1)
     assert sales.aov(oi).first()["avg_order_value"] == Decimal("44.67")
+
+
+def test_rfm_of_empty_tables(spark, tmp_path):
+    some = items(spark, (1, 1, 1, "Complete", "2023-01-01", 100))
+    nobody = users(spark, (1, "BR", "x")).where("id < 0")
+    nobody.write.parquet(f"{tmp_path}/users")
+    assert customers.customer_rfm_ltv(some, spark.read.parquet(f"{tmp_path}/users")).collect() == []
+    assert customers.customer_rfm_ltv(some, nobody).collect() == []
+    assert customers.customer_rfm_ltv(some.limit(0), users(spark, (1, "BR", "x"))).collect() == []
+    assert customers.customer_rfm_ltv(items(spark, (1, 1, 1, "Cancelled", "2023-01-01", 9)), users(spark, (1, "BR", "x"))).collect() == []

@@ -40,3 +40,11 @@ def test_a_gap_of_exactly_the_limit_starts_a_session(spark):
     )
     got = {r["event_id"]: (r["session_id"], r["sequence_number"]) for r in sessionize(df, gap_seconds=GAP).collect()}
     assert got == {1: ("1-1", 1), 2: ("1-2", 1), 3: ("1-2", 2)}
+
+
+def test_events_without_a_user_stay_without_a_session(spark):
+    df = spark.createDataFrame(
+        [(1, ts("2024-01-01"), 1), (2, ts("2024-01-01"), None), (3, None, 1)], "event_id bigint, ts timestamp, user_id bigint"
+    )
+    got = {r["event_id"]: (r["session_id"], r["sequence_number"]) for r in sessionize(df, gap_seconds=GAP).collect()}
+    assert got == {1: ("1-1", 1), 2: (None, None), 3: (None, None)}

@@ -44,7 +44,9 @@ def test_bad_rows_are_set_aside(spark, tmp_path):
         ingest.stream_raw(spark, folder, "users"), CONTRACTS["users"], [known], good, bad, f"{tmp_path}/c"
     )
     assert rows(spark.read.parquet(good).select("id")) == [(1,)]
-    assert [(r["id"], r["failed_rules"]) for r in spark.read.parquet(bad).collect()] == [(2, ["created_missing"])]
+    assert sorted((r["id"], r["failed_rules"]) for r in spark.read.parquet(bad).collect()) == [
+        (2, ["created_missing"]), (3, ["missing id"]),
+    ]
 
 
 def test_repeats_are_dropped(spark, small, tmp_path):
@@ -54,26 +56,50 @@ def test_repeats_are_dropped(spark, small, tmp_path):
     assert out.count() == out.select("event_id").distinct().count() == scan(spark, small, "events").count()
 
 
-def test_closed_sessions_equal_the_batch(spark, small, tmp_path):
-    closed = metrics.session_stream(scan_stream(spark, small, "events"))
-    ingest.append_to(closed, f"{tmp_path}/o", f"{tmp_path}/c")
-    got = rows(spark.read.parquet(f"{tmp_path}/o").select("user_id", "started_at", "clicks", "has_purchase"))
-    events = scan(spark, small, "events")
-    end = events.agg(F.max("ts")).first()[0]
-    batch = (
-        sessionize(events)
-        .groupBy("user_id", "session_id")
-        .agg(
+def batch_sessions(events):
+    sessions = sessionize(events).where("session_id is not null").groupBy("user_id", "session_id")
+    return rows(
+        sessions.agg(
             F.min("ts").alias("started_at"),
             F.max("ts").alias("last_at"),
             F.count(F.lit(1)).alias("clicks"),
             F.max((F.col("event_type") == "purchase").cast("int")).alias("has_purchase"),
-        )
+        ).drop("session_id")
+    )
+
+
+def fold_files(spark, folder, tmp_path):
+    stream = scan_stream(spark, folder, "events").select("user_id", "ts", "event_type")
+    empty = metrics.click_spans(scan(spark, folder, "events").limit(0))
+    table = VersionedTable(spark, str(tmp_path), "sessions", empty.schema)
+    table.replace(empty)
+    fold = lambda stored, batch: metrics.fold_sessions(stored, metrics.click_spans(batch))
+    ingest.merge_stream(stream, table, fold, f"{tmp_path}/c")
+    return metrics.open_sessions(table.read())
+
+
+def test_all_sessions_equal_the_batch(spark, small, tmp_path):
+    got = fold_files(spark, small, tmp_path)
+    events = scan(spark, small, "events")
+    assert rows(got.select("user_id", "started_at", "last_at", "clicks", "has_purchase")) == batch_sessions(events)
+    end = events.agg(F.max("ts")).first()[0]
+    late = got.where(F.col("last_at") + F.expr("interval 12 hours") > F.lit(end))
+    assert rows(got.where("is_open").select("user_id", "started_at")) == rows(late.select("user_id", "started_at"))
+
+
+def test_late_clicks_join_sessions(spark, tmp_path):
+    span = lambda *r: spark.createDataFrame(
+        [(u, ts(a), ts(b), n, 0, 0, 0) for u, a, b, n in r],
+        "user_id bigint, started_at timestamp, last_at timestamp, clicks bigint, has_cart int, has_purchase int, has_product_view int",
     )
-    every = batch.count()
-    want = batch.filter(F.col("last_at") + F.expr("interval 12 hours") <= F.lit(end))
-    assert got == rows(want.select("user_id", "started_at", "clicks", "has_purchase"))
-    assert 0 < len(got) < every == 329
+    stored = span((1, "2024-01-01", "2024-01-01T01:00:00", 2), (1, "2024-01-01T14:00:00", "2024-01-01T15:00:00", 3), (2, "2024-01-01", "2024-01-01", 1))
+    late = span((1, "2024-01-01T08:00:00", "2024-01-01T08:00:00", 1), (3, "2023-12-31", "2023-12-31", 1))
+    got = metrics.fold_sessions(stored, late)
+    assert rows(got.select("user_id", "started_at", "last_at", "clicks")) == [
+        (1, ts("2024-01-01"), ts("2024-01-01T15:00:00"), 6), (2, ts("2024-01-01"), ts("2024-01-01"), 1), (3, ts("2023-12-31"), ts("2023-12-31"), 1),
+    ]
+    nobody = spark.createDataFrame([(None, ts("2024-01-01"), "click")], "user_id bigint, ts timestamp, event_type string")
+    assert metrics.click_spans(nobody).count() == 0
 
 
 def test_daily_sums_equal_the_batch(spark, small, tmp_path):
