@@ -19,13 +19,14 @@ from shopspark.operators import embedding, knn
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
-from shopspark.operators.merge import MergeSpec, merge
+from shopspark.operators.merge import MergeSpec, merge, spec_for
 from shopspark.operators.quantiles import with_ntiles
 from shopspark.operators.radius import nearest, radius_join
 from shopspark.operators.rulebook import CONTRACTS, strict_contract
 from shopspark.operators.transforms import clean
 from shopspark.plans import customers, products, sales, search, web
-from shopspark.plans.load import load_all
+from shopspark.plans.load import load_all, upsert_months
+from shopspark.schemas import TABLES
 from shopspark.session import configure
 from shopspark.sources.raw import scan, scan_stream
 from shopspark.sources.versioned import VersionedTable
@@ -309,6 +310,34 @@ def run_log(spark, root):
     )
 
 
+@query
+def append_parts(spark, root):
+    """Users appended to a stored table in two goes."""
+    users = shop(spark, root, "users")
+    table = VersionedTable(spark, scratch_path(spark, "append"), "users", users.schema)
+    for rest in (0, 1):
+        table.append(users.where(F.col("id") % 2 == rest))
+    return table.read().select("id", "country", "traffic_source")
+
+
+@query
+def month_range(spark, root):
+    """Clicks kept by month, read back for a span of days through the months it meets."""
+    clicks = shop(spark, root, "events")
+    table = VersionedTable(spark, scratch_path(spark, "months"), "events", clicks.schema)
+    upsert_months(table, clicks, spec_for("events", TABLES), checked=True)
+    return table.read_between("created_at", *oracles.CLICK_SPAN).select("id", "user_id", "created_at", "event_type")
+
+
+@query
+def load_twice(spark, root):
+    """A second load of the same stock tables: every row is found unchanged."""
+    target, tables = scratch_path(spark, "warehouse"), ("distribution_centers", "users", "products")
+    load = lambda: load_all(spark, lambda t: RAW[t](spark, root), target, datetime(2002, 1, 1), tables, lookback=None)
+    load()
+    return load().frame(spark).select("table_name", "rows_in", "rows_out", "inserted", "updated", "unchanged")
+
+
 # --- maps, texts and vectors ---------------------------------------------------------------------
 
 
@@ -323,6 +352,11 @@ def hotspots(spark, root):
     return search.hotspots(shop(spark, root, "users"), cell_degrees=5.0)
 
 
+@query
+def hotspots_fine(spark, root):
+    return search.hotspots(shop(spark, root, "users"), cell_degrees=0.05)
+
+
 @query
 def within_radius(spark, root):
     users = shop(spark, root, "users").select(F.col("id").alias("user_id"), "latitude", "longitude")

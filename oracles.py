@@ -665,12 +665,12 @@ SQL["user_logistics"] = f"""WITH {HEADS}, {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_
 SELECT user_id, dc_id, user_geom_lon, user_geom_lat, distribution_center_geom_lon, distribution_center_geom_lat,
   round(m / 1000, 3) AS distance_km FROM measured"""
 
-SQL["hotspots"] = f"""WITH {USERS_RAW}
-SELECT round_even(longitude / 5.0::DOUBLE, 0)::BIGINT AS cell_x, round_even(latitude / 5.0::DOUBLE, 0)::BIGINT AS cell_y,
-  count(*) AS density, round_even(avg(age), 0)::INT AS avg_user_age,
-  round_even(longitude / 5.0::DOUBLE, 0)::BIGINT * 5.0::DOUBLE AS grid_geom_lon,
-  round_even(latitude / 5.0::DOUBLE, 0)::BIGINT * 5.0::DOUBLE AS grid_geom_lat
-FROM users_raw GROUP BY ALL"""
+for _name, _size in (("hotspots", "5.0"), ("hotspots_fine", "0.05")):
+    SQL[_name] = f"""WITH {USERS_RAW}, cells AS (
+  SELECT age, round_even(longitude / {_size}::DOUBLE, 0)::BIGINT AS cell_x,
+    round_even(latitude / {_size}::DOUBLE, 0)::BIGINT AS cell_y FROM users_raw)
+SELECT cell_x, cell_y, count(*) AS density, round_even(avg(age), 0)::INT AS avg_user_age,
+  cell_x * {_size}::DOUBLE AS grid_geom_lon, cell_y * {_size}::DOUBLE AS grid_geom_lat FROM cells GROUP BY ALL"""
 
 USER_CENTER_PAIRS = f"""{CENTERS_RAW}, {USERS_RAW}, pairs AS (
   SELECT u.id AS user_id, d.id AS center_id, u.latitude AS ulat, u.longitude AS ulon, d.latitude AS dlat,
@@ -795,3 +795,17 @@ SQL["stream_quarantine"] = f"""WITH {PRODUCTS_FIXED}, {CENTERS_RAW}, marked AS (
       'id_missing', 'cost_missing', 'price_missing', 'sku_missing', 'cost_negative', 'price_negative'))}) AS failed_rules
   FROM products)
 SELECT * FROM marked WHERE failed_rules <> ''"""
+
+SQL["append_parts"] = f"WITH {USERS_RAW} SELECT id, country, traffic_source FROM users_raw"
+
+CLICK_SPAN = ("2024-01-10 00:00:00", "2024-01-20 12:00:00")
+SQL["month_range"] = f"""WITH {CLICKS}
+SELECT id, user_id, created_at, event_type FROM clicks
+WHERE created_at >= TIMESTAMP '{CLICK_SPAN[0]}' AND created_at < TIMESTAMP '{CLICK_SPAN[1]}'"""
+
+SQL["load_twice"] = f"""WITH {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_RAW}, counts AS (
+  SELECT 'distribution_centers' AS table_name, count(*) AS rows_in, count(*) AS rows_out FROM centers_raw
+  UNION ALL SELECT 'users', count(*), count(*) FROM users_raw
+  UNION ALL SELECT 'products', count(*), count(*) FILTER (WHERE distribution_center_id IN (SELECT id FROM centers_raw))
+    FROM products_raw)
+SELECT *, 0 AS inserted, 0 AS updated, rows_out AS unchanged FROM counts"""

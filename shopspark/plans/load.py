@@ -168,6 +168,8 @@ def upsert(table: VersionedTable, batch: DataFrame, spec: MergeSpec, checked: bo
     counts = dict(seen.get)
     if counts[INSERT] or counts[UPDATE]:
         table.publish(version)
+    else:
+        table.discard(version)
     return counts
 
 
@@ -187,6 +189,8 @@ def upsert_months(table: VersionedTable, batch: DataFrame, spec: MergeSpec, chec
     counts = dict(seen.get)
     if counts[INSERT] or counts[UPDATE]:
         table.publish_months(version, touched)
+    else:
+        table.discard(version)
     return counts
 
 

@@ -21,23 +21,36 @@ RUNTIME = {
 }
 
 
+# What results depend on; the rest is a default that a caller's own setting overrides.
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled")
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session made elsewhere.
+    """Apply the runtime settings to a session made elsewhere, without overriding the caller's.
 
     Task functions travel by value, so workers need not have the package installed.
     """
     cloudpickle.register_pickle_by_value(shopspark)
+    given = spark.conf.getAll
     for key, value in RUNTIME.items():
-        spark.conf.set(key, value)
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        # Start shuffles with several partitions per core; adaptive execution joins small ones.
-        spark.conf.set(
-            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(4 * context.defaultParallelism)
-        )
+        if key in NEEDED or key not in given:
+            spark.conf.set(key, value)
     return spark
 
 
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raise the number of shuffle partitions to one for each 128 MB of input, never lower it."""
+    context = spark.sparkContext
+    total = 0
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def local_session(cores: str = "*", app: str = "shopspark", **extra: str) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (

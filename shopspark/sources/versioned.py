@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WHOLE = ""
@@ -55,6 +56,21 @@ class VersionedTable:
 
     # --- reading and writing ---
 
+    def read_between(self, column: str, low, high) -> DataFrame:
+        """Rows with ``low <= column < high`` of a table kept by month of that time.
+
+        Only the months that the bound meets are listed and read.
+        """
+        months = [p for p in self.parts() if p and str(low)[:7] <= p[:7] <= str(high)[:7]]
+        time = F.col(column)
+        return self.read(months).where((time >= F.lit(low)) & (time < F.lit(high)))
+
+    def discard(self, version: int) -> None:
+        """Delete a staged version that was not published."""
+        if version not in self.parts().values():
+            fs, path = self._fs(f"{self.path}/v={version}")
+            fs.delete(path, True)
+
     def exists(self) -> bool:
         return bool(self.parts())
 
