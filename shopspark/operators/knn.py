@@ -1,16 +1,17 @@
 """Nearest vectors by cosine: exact, and approximate by cells.
 
-Queries are a counted block of vectors sent to every task. A task keeps only the
-best k per query of the rows it has seen, so it emits at most k rows per query;
-a small window then merges the tasks' lists. The corpus is never shuffled and no
-table of pairs is built. More queries than fit one block run block by block.
+Queries stay in Spark: they are packed into blocks of a fixed number of rows, the
+corpus into packs where it lies, and a block meets a pack in an equi join on the
+cell and the number of the block. Few queries are broadcast by Spark's own
+measure, so the corpus is not shuffled; many are joined by shuffle. A pack gives
+at most k rows per query, and a window with a limit merges them. Exact search is
+the same with a single cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,15 +24,9 @@ from pyspark.sql import functions as F
 from shopspark.storage import materialize
 
 QUERY_BLOCK = 2048
-
-
-@dataclass(frozen=True)
-class Block:
-    """Query ids, unit vectors, and the cells each query probes (None: all)."""
-
-    ids: np.ndarray
-    vectors: np.ndarray
-    cells: np.ndarray | None = None
+PACK_ROWS = 16384
+SCORED_QUERIES = 256
+DIGITS = 10
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -43,80 +38,92 @@ def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def query_blocks(queries: DataFrame, query_id: str, vector: str, block: int = QUERY_BLOCK) -> Iterator[Block]:
-    """Query vectors in id order, one block at a time on the driver."""
-    ordered = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).orderBy("q")
-    rows = []
-    for row in ordered.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            yield Block(np.array([r["q"] for r in rows]), unit(_stack([r["v"] for r in rows])))
-            rows = []
-    if rows:
-        yield Block(np.array([r["q"] for r in rows]), unit(_stack([r["v"] for r in rows])))
+def _pack(rows: pd.DataFrame) -> dict:
+    return {"ids": rows["id"].to_numpy(np.int64).tobytes(), "data": unit(_stack(rows["v"])).tobytes()}
 
 
-def _scorer(block: Block, k: int, skip_self: bool):
-    """Per task: batches of (id, vector[, cell]) to the task's best k per query."""
+def packs(corpus: DataFrame) -> DataFrame:
+    """(cell, ids, data): the rows of each task (id, v, cell) packed by cell."""
 
-    def best_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.empty(0), np.empty(0, dtype=np.int64)) for _ in block.ids
-        ]
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[pd.DataFrame]] = {}
+        counts: dict[int, int] = {}
         for batch in batches:
-            batch = batch[batch["v"].notna()]
-            if batch.empty:
-                continue
-            ids = batch["id"].to_numpy()
-            scores = unit(_stack(batch["v"])) @ block.vectors.T
-            for i, query in enumerate(block.ids):
-                usable = np.ones(len(ids), dtype=bool)
-                if skip_self:
-                    usable &= ids != query
-                if block.cells is not None:
-                    usable &= np.isin(batch["cell"].to_numpy(), block.cells[i])
-                if len(best[i][0]) == k:  # only rows that can still enter the list
-                    usable &= scores[:, i] >= best[i][0][-1] - 1e-9
-                found = np.concatenate([best[i][0], scores[usable, i]])
-                owners = np.concatenate([best[i][1], ids[usable]])
-                order = np.lexsort((owners, -np.round(found, 12)))[:k]
-                best[i] = (found[order], owners[order])
-        for query, (found, owners) in zip(block.ids, best):
-            if len(found):
-                yield pd.DataFrame({"query_id": query, "id": owners, "score": found})
-
-    return best_of_task
-
-
-MERGE_SLICES = 32
+            for cell, rows in batch.groupby("cell"):
+                held.setdefault(cell, []).append(rows)
+                counts[cell] = counts.get(cell, 0) + len(rows)
+                if counts[cell] >= PACK_ROWS:
+                    yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(held.pop(cell)))}])
+                    del counts[cell]
+            while sum(counts.values()) > 2 * PACK_ROWS:  # many cells in one task: let the largest go
+                cell = max(counts, key=counts.get)
+                yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(held.pop(cell)))}])
+                del counts[cell]
+        for cell, parts in held.items():
+            yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(parts))}])
+
+    given = corpus.where(F.col("v").isNotNull()).select("id", "v", "cell")
+    return given.mapInPandas(pack, "cell int, ids binary, data binary")
+
+
+def query_blocks(queries: DataFrame, size: int) -> DataFrame:
+    """(cell, block, blocks, query_ids, queries) from rows (id, v, cell); null vectors ask nothing."""
+    given = queries.where(F.col("v").isNotNull())
+    counts = given.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = given.join(counts, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        first, packed = rows.iloc[0], _pack(rows)
+        return pd.DataFrame(
+            [{"cell": first["cell"], "block": first["block"], "blocks": first["blocks"],
+              "query_ids": packed["ids"], "queries": packed["data"]}]
+        )
+
+    schema = "cell int, block int, blocks int, query_ids binary, queries binary"
+    return materialize(dealt.groupBy("cell", "block").applyInPandas(pack, schema), "query-blocks")
+
+
+def _best_of_pack(k: int, skip_self: bool):
+    """Per block and pack: the k nearest rows of every query, ties to the lower id."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples():
+                ids, asking = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
+                data = np.frombuffer(row.data, np.float64).reshape(len(ids), -1)
+                queries = np.frombuffer(row.queries, np.float64).reshape(len(asking), -1)
+                for at in range(0, len(asking), SCORED_QUERIES):
+                    part = asking[at : at + SCORED_QUERIES]
+                    # One rounded key decides here and in the merge.
+                    far = np.round(1.0 - queries[at : at + SCORED_QUERIES] @ data.T, DIGITS)
+                    if skip_self:
+                        far[part[:, None] == ids[None, :]] = np.inf
+                    last = min(k, len(ids)) - 1
+                    limit = np.partition(far, last, axis=1)[:, last : last + 1]
+                    q, i = np.nonzero((far <= limit) & np.isfinite(far))
+                    order = np.lexsort((ids[i], far[q, i], q))
+                    q, i = q[order], i[order]
+                    top = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+                    q, i = q[top], i[top]
+                    yield pd.DataFrame({"query_id": part[q], "id": ids[i], "distance": far[q, i]})
+
+    return best
 
 
 def top_k(candidates: DataFrame, k: int) -> DataFrame:
-    """Best k rows per query: lowest distance, then lowest id.
+    """Best k rows per query: lowest distance, then lowest id. Spark cuts each task's rows to k before it shuffles."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.asc("distance"), F.asc("id")))
+    return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
-    A query's candidates are first cut down in slices, so the lists of very many
-    tasks do not meet in one.
-    """
-    order = (F.asc("distance"), F.asc("id"))
-    sliced = candidates.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(MERGE_SLICES)))
-    first = F.row_number().over(W.partitionBy("query_id", "_slice").orderBy(*order))
-    kept = sliced.withColumn("_first", first).filter(F.col("_first") <= k).drop("_first", "_slice")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
-    return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def _search(corpus: DataFrame, blocks: Iterator[Block], k: int, skip_self: bool) -> DataFrame:
-    """Results of all blocks; a full block is stored before the next is read."""
-    parts = []
-    for block in blocks:
-        rows = corpus if block.cells is None else corpus.filter(F.col("cell").isin(*np.unique(block.cells).tolist()))
-        scored = rows.mapInPandas(_scorer(block, k, skip_self), "query_id bigint, id bigint, score double")
-        distance = F.round(F.lit(1.0) - F.col("score"), 10)
-        part = top_k(scored.select("query_id", "id", distance.alias("distance")), k)
-        parts.append(materialize(part, "similar") if len(block.ids) == QUERY_BLOCK else part)
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double, rank int")
-    return reduce(DataFrame.unionByName, parts)
+
+def _search(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    """Results for rows (id, v, cell) on both sides."""
+    blocks = query_blocks(queries, QUERY_BLOCK)
+    counts = blocks.select("cell", "blocks").distinct()
+    asked = packs(corpus.join(counts.select("cell"), "cell", "left_semi"))
+    met = asked.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = met.join(blocks.drop("blocks"), ["cell", "block"])
+    return top_k(met.mapInPandas(_best_of_pack(k, skip_self), "query_id bigint, id bigint, distance double"), k)
 
 
 def similar(
@@ -133,9 +140,10 @@ def similar(
 
     Filter the corpus first (brand, category, price) to search within a part of it.
     """
-    rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    blocks = query_blocks(queries, query_key or key, query_vector or vector)
-    return _search(rows, blocks, k, skip_self)
+    one = F.lit(0).alias("cell")
+    rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), one)
+    asking = queries.select(F.col(query_key or key).alias("id"), F.col(query_vector or vector).alias("v"), one)
+    return _search(rows, asking, k, skip_self)
 
 
 @dataclass(frozen=True)
@@ -149,30 +157,26 @@ class CellIndex:
         return spark.read.parquet(self.path)
 
 
-# Vectors used to place the centroids; every vector is then assigned to a cell.
-TRAINING_ROWS = 256
-
-
 def build_index(
     corpus: DataFrame,
     path: str,
-    cells: int,
+    cells: int | None = None,
     key: str = "id",
     vector: str = "embedding",
     seed: int = 7,
+    rounds: int = 10,
 ) -> CellIndex:
-    """Place centroids with k-means, assign all vectors, write them by cell.
+    """Place centroids with k-means over all vectors, assign every vector, write them by cell.
 
-    Centroids come from about ``TRAINING_ROWS`` vectors per cell; assignment and
-    index cover the whole corpus. Rebalancing
+    The number of cells is the root of the number of vectors unless given, so a
+    fixed number of probes reads a falling share of a growing corpus. Rebalancing
     lets several tasks write a crowded cell.
     """
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
     total = rows.count()
-    wanted = cells * TRAINING_ROWS
-    training = rows if total <= wanted else rows.sample(fraction=wanted / total, seed=seed)
-    features = training.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
-    model = KMeans(k=min(cells, max(1, total)), seed=seed, featuresCol="features").fit(features)
+    wanted = cells or round(total**0.5)
+    features = rows.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    model = KMeans(k=max(1, min(wanted, total)), seed=seed, maxIter=rounds, featuresCol="features").fit(features)
     centroids = unit(np.array(model.clusterCenters()))
 
     @F.pandas_udf("int")
@@ -195,14 +199,17 @@ def similar_ann(
     skip_self: bool = False,
 ) -> DataFrame:
     """As ``similar``, looking only into the ``probes`` cells nearest to each query."""
+    centroids = index.centroids
 
-    def probing() -> Iterator[Block]:
-        for block in query_blocks(queries, query_key, query_vector):
-            order = np.argsort(-(block.vectors @ index.centroids.T), axis=1)
-            yield Block(block.ids, block.vectors, order[:, :probes])
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vectors: pd.Series) -> pd.Series:
+        order = np.argsort(-(unit(_stack(vectors)) @ centroids.T), axis=1)[:, :probes] if len(vectors) else []
+        return pd.Series([list(map(int, row)) for row in order], dtype=object)
 
+    asking = queries.select(F.col(query_key).alias("id"), F.col(query_vector).alias("v")).where(F.col("v").isNotNull())
+    asking = asking.withColumn("cell", F.explode(nearest_cells("v")))
     stored = index.read(queries.sparkSession).select("id", "v", "cell")
-    return _search(stored, probing(), k, skip_self)
+    return _search(stored, asking, k, skip_self)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -76,6 +76,8 @@ def test_similar_handles_fewer_rows_than_k_and_no_queries(spark):
     corpus = vectors(spark, n=2)
     assert knn.similar(corpus, corpus.filter("id = 0"), 10).count() == 3
     assert knn.similar(corpus, corpus.filter("id < 0"), 10).count() == 0
+    # A null query vector asks nothing.
+    assert knn.similar(corpus, corpus.filter("embedding is null"), 10).count() == 0
 
 
 def test_cells_find_most_neighbours_and_all_with_all_cells(spark):
