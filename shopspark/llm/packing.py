@@ -24,10 +24,12 @@ are not looked at.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +100,14 @@ class Encoder:
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
+def worker_encoder(path: str, pattern: str) -> Encoder:
+    """The encoder of this Python worker; later tasks of the worker find its words merged."""
+    home = sys.modules.setdefault("shopspark_worker_encoders", ModuleType("shopspark_worker_encoders"))
+    if (path, pattern) not in home.__dict__:
+        home.__dict__[path, pattern] = Encoder(path, pattern)
+    return home.__dict__[path, pattern]
+
+
 def padding(length: int) -> int:
     return 0 if length & (length - 1) == 0 else SEQUENCE - length
 
@@ -222,7 +232,7 @@ def _pack(path: str, pattern: str, closing: int):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), PIECES)], schema=PIECES)
 
     def pack(batches):
-        encoder = Encoder(path, pattern)
+        encoder = worker_encoder(path, pattern)
         stream = Stream(TaskContext.get().partitionId() << 32, encoder.ends)
         end = np.array([closing], "<u4")
         found: list[tuple] = []
