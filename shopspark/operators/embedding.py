@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -31,9 +31,11 @@ class HashedWords:
     vectors are the same on every machine.
     """
 
-    def __init__(self, width: int = WIDTH):
+    def __init__(self, width: int = WIDTH, remembered: int = 1 << 18):
         self.width = width
         self.word = re.compile("[A-Za-z0-9]+")
+        # Most words come again, so their cells are looked up, not hashed.
+        self.known = lru_cache(remembered)(self.cell)
 
     def cell(self, word: str) -> int:
         return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.width
@@ -41,8 +43,8 @@ class HashedWords:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
         for row, text in zip(out, texts):
-            for word, times in Counter(w.lower() for w in self.word.findall(text)).items():
-                row[self.cell(word)] += times
+            cells = [self.known(w.lower()) for w in self.word.findall(text)]
+            row += np.bincount(np.array(cells, dtype=np.int64), minlength=self.width)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 

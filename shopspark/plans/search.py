@@ -135,14 +135,13 @@ def name_search(
     The query's trigrams are an array inside the expression: one pass, no join.
     """
     wanted = trigrams(F.lit(text))
-    scores = [similarity(trigrams(F.col(c)), wanted) for c in columns]
+    # Each column's trigrams are made once, in a projection of their own.
+    grams = {f"_grams{i}": trigrams(F.col(c)) for i, c in enumerate(columns)}
+    scores = [similarity(F.col(g), wanted) for g in grams]
     best = F.greatest(*scores) if len(scores) > 1 else scores[0]
     inside = contains(F.concat_ws("\n", *columns), text)
-    return (
-        products.withColumn("score", best)
-        .withColumn("contains_text", inside)
-        .filter((F.col("score") >= threshold) | F.col("contains_text"))
-    )
+    scored = products.withColumns(grams).withColumns({"score": best, "contains_text": inside}).drop(*grams)
+    return scored.filter((F.col("score") >= threshold) | F.col("contains_text"))
 
 
 def ci_match(df: DataFrame, column: str, value: str) -> DataFrame:
