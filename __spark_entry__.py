@@ -412,6 +412,18 @@ def cell_search(spark, root):
     return knn.similar_ann(index, label_heads(vectors), 10, probes=probes, skip_self=True)
 
 
+@query
+def similar_products(spark, root):
+    """The products most like the first of them, among those of some brands and prices."""
+    docs = search.product_documents(shop(spark, root, "products"))
+    low, high = oracles.PRICE_SPAN
+    wanted = docs.where(F.col("brand").isin(*oracles.BRANDS) & F.col("retail_price").between(low, high))
+    stored = materialize(embedding.embed(wanted, "chunk_text"), "product-vectors")
+    first = stored.agg(F.min_by(F.struct("source_id", "embedding"), "source_id").alias("q")).where("q is not null").select("q.*")
+    found = knn.similar(stored, first, 10, key="source_id", skip_self=True)
+    return found.withColumn("distance", F.round("distance", 5))
+
+
 @query
 def similar_ann(spark, root):
     return cell_search(spark, root).withColumn("distance", F.round("distance", 6))

@@ -812,3 +812,18 @@ SELECT *, 0 AS inserted, 0 AS updated, rows_out AS unchanged FROM counts"""
 
 # The approximate search has no rows that SQL could state, but a share of the exact ones that it must reach.
 SQL["similar_ann_recall"] = "SELECT true AS reached"
+
+BRANDS, PRICE_SPAN = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#31"), (900.0, 1500.0)
+SQL["similar_products"] = f"""WITH {PRODUCTS_RAW}, docs AS (
+  SELECT id, concat_ws(' ', brand, name, category, department) AS chunk_text FROM products_raw
+  WHERE brand IN {BRANDS} AND retail_price::DOUBLE BETWEEN {PRICE_SPAN[0]} AND {PRICE_SPAN[1]}),
+{hashed_words('docs', 'id', 'chunk_text')},
+w AS (SELECT id, cell, weight::FLOAT::DOUBLE AS weight FROM weights),
+norms AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM w GROUP BY id),
+q AS (SELECT w.id AS query_id, cell, weight, norm FROM w JOIN norms USING (id) WHERE id = (SELECT min(id) FROM docs)),
+p AS (
+  SELECT (SELECT min(id) FROM docs) AS query_id, d.id,
+    round(1 - coalesce(sum(w.weight * q.weight) / (any_value(n.norm) * any_value(q.norm)), 0), 10) AS far
+  FROM docs d LEFT JOIN w ON w.id = d.id LEFT JOIN q ON q.cell = w.cell LEFT JOIN norms n ON n.id = d.id
+  WHERE d.id <> (SELECT min(id) FROM docs) GROUP BY d.id)
+SELECT query_id, id, round(far, 5) AS distance, row_number() OVER (ORDER BY far, id)::INT AS rank FROM p QUALIFY rank <= 10"""

@@ -18,7 +18,3 @@ def norm(a: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 minus the cosine; null when either vector is zero."""
     return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
-
-
-def has_width(a: Column, width: int) -> Column:
-    return F.size(a) == width

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shopspark.operators.contracts import Contract, ContractViolation, row_counters, surplus_keys
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
-from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops
+from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, warn_orphans
 from shopspark.operators.merge import ACTION, INSERT, KEEP, UNCHANGED, UPDATE, MergeSpec, merge, require_unique, spec_for
 from shopspark.operators.rulebook import CONTRACTS
 from shopspark.operators.transforms import clean
@@ -88,6 +88,13 @@ def new_rows(
     return raw
 
 
+def chosen(
+    raw: DataFrame, table: str, target: DataFrame | None, as_of: datetime, lookback: int | None = LOOKBACK_DAYS
+) -> DataFrame:
+    """The rows of this run with the columns of the contract, cleaned."""
+    return clean(new_rows(allow_listed(raw, TABLES[table]), table, target, as_of, lookback), table)
+
+
 def extract(
     raw: DataFrame,
     table: str,
@@ -100,8 +107,8 @@ def extract(
 
     Without matching rows the result is empty and keeps the cleaned types.
     """
-    chosen = new_rows(allow_listed(raw, TABLES[table]), table, target, as_of or datetime.now(timezone.utc).replace(tzinfo=None), lookback)
-    return keep_valid(clean(chosen, table), foreign_keys(table, stored))
+    now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    return keep_valid(chosen(raw, table, target, now, lookback), foreign_keys(table, stored))
 
 
 def stage(df: DataFrame, contract: Contract, fks: Sequence[ForeignKey] = ()) -> tuple[DataFrame, Staged]:
@@ -212,12 +219,14 @@ def load_table(
 
     target = opened(table)
     before = target.read() if target.exists() else None
-    cleaned = clean(new_rows(allow_listed(raw, TABLES[table]), table, before, as_of, lookback), table)
+    cleaned = chosen(raw, table, before, as_of, lookback)
     fks = foreign_keys(table, lambda name: opened(name).read())
     batch, staged = stage(cleaned, contract or CONTRACTS[table], fks)
     step.rows_in, step.rows_out, step.losses = staged.rows_in, staged.rows_out, staged.losses
     if staged.rows_in > staged.rows_out:
         log.warning("%s: rows left out for missing references: %s", table, staged.losses)
+        for fk in (fk for fk in fks if staged.losses.get(fk.label)):
+            warn_orphans(cleaned, fk, show=TABLES[table].keys[0])
     write = upsert_months if table in MONTHLY else upsert
     step.actions = write(target, batch, spec_for(table, TABLES), checked=True) if staged.rows_out else dict(NOTHING)
     step.status = "loaded" if step.rows_out else "empty"

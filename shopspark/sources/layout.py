@@ -30,8 +30,3 @@ def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
         return df
     return df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-
-
-def bloom_options(columns: Sequence[str]) -> dict[str, str]:
-    """Parquet writer options for bloom filters on point-lookup columns."""
-    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
