@@ -476,14 +476,40 @@ def stream_daily_sales(spark, root):
 
 
 @query
-def stream_sessions(spark, root):
+def stream_daily_rates(spark, root):
+    """Daily sales with profits and rates from a stream: sums per order are folded, the rates follow from them."""
+    shown = shop(spark, root, "products"), shop(spark, root, "users")
+    empty = sales.order_sums(shop(spark, root, "order_items").limit(0), *shown)
+    table = VersionedTable(spark, scratch_path(spark, "stream-orders"), "order_sums", empty.schema)
+    table.replace(empty)
+    items = clean(item_columns(scan_stream(spark, root, "lineitem"), order_heads(spark, root)), "order_items")
+    fold = lambda stored, batch: sales.fold_order_sums(stored, sales.order_sums(batch, *shown))
+    ingest.merge_stream(items, table, fold, scratch_path(spark, "checkpoint"))
+    return sales.daily_rates(table.read())
+
+
+def folded_sessions(spark, root):
     clicks = scan_stream(spark, root, "events").select("user_id", "ts", "event_type")
     empty = metrics.click_spans(scan(spark, root, "events").limit(0))
     table = VersionedTable(spark, scratch_path(spark, "stream-sessions"), "sessions", empty.schema)
     table.replace(empty)
     fold = lambda stored, batch: metrics.fold_sessions(stored, metrics.click_spans(batch))
     ingest.merge_stream(clicks, table, fold, scratch_path(spark, "checkpoint"))
-    return metrics.open_sessions(table.read())
+    return table.read()
+
+
+@query
+def stream_sessions(spark, root):
+    return metrics.open_sessions(folded_sessions(spark, root))
+
+
+@query
+def stream_funnel(spark, root):
+    flags = {"cart": "has_cart", "purchase": "has_purchase", "viewed": "has_product_view"}
+    sessions = folded_sessions(spark, root).select(
+        F.year("started_at").alias("year"), *[F.col(flag).alias(name) for name, flag in flags.items()]
+    )
+    return web.funnel_rates(sessions)
 
 
 @query

@@ -827,3 +827,7 @@ p AS (
   FROM docs d LEFT JOIN w ON w.id = d.id LEFT JOIN q ON q.cell = w.cell LEFT JOIN norms n ON n.id = d.id
   WHERE d.id <> (SELECT min(id) FROM docs) GROUP BY d.id)
 SELECT query_id, id, round(far, 5) AS distance, row_number() OVER (ORDER BY far, id)::INT AS rank FROM p QUALIFY rank <= 10"""
+
+# The streams end in the same rows as the metrics over whole tables.
+SQL["stream_daily_rates"] = SQL["daily_sales"]
+SQL["stream_funnel"] = SQL["sales_funnel"]

@@ -12,21 +12,15 @@ from shopspark.plans.common import CANCELLED, RETURNED, any_of, count_if, count_
 RETURN_COST_RATE = "0.10"
 
 
-def daily_sales(
-    order_items: DataFrame, products: DataFrame, users: DataFrame, return_cost_rate: str = RETURN_COST_RATE
-) -> DataFrame:
-    """Revenue, profit and loss rates per day and country.
-
-    Distinct orders come from a first grouping by order, which also folds the
-    money, so no row is multiplied for the four distinct counts.
-    """
+def order_sums(order_items: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
+    """Money and kinds of items per order, day and country; sums and flags, so parts can be folded again."""
     priced = (
         order_items.join(products.select(F.col("id").alias("product_id"), "cost"), "product_id")
         .join(users.select(F.col("id").alias("user_id"), "country"), "user_id")
         .withColumn("day", F.to_date("created_at"))
     )
     returned, cancelled = F.col("status") == RETURNED, F.col("status") == CANCELLED
-    per_order = priced.groupBy("day", "country", "order_id").agg(
+    return priced.groupBy("day", "country", "order_id").agg(
         total_if(not_cancelled(), "sale_price").alias("gmv"),
         total_if(sold(), "sale_price").alias("net"),
         total_if(sold(), "cost").alias("cost_sold"),
@@ -35,6 +29,32 @@ def daily_sales(
         any_of(cancelled).alias("has_cancelled"),
         any_of(returned).alias("has_returned"),
     )
+
+
+def fold_order_sums(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Sums of both inputs; an order whose items come in several parts is one row."""
+    money, flags = ("gmv", "net", "cost_sold", "cost_returned"), ("has_sold", "has_cancelled", "has_returned")
+    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    return (
+        stored.unionByName(fresh)
+        .groupBy("day", "country", "order_id")
+        .agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in money], *[F.max(c).alias(c) for c in flags])
+    )
+
+
+def daily_sales(
+    order_items: DataFrame, products: DataFrame, users: DataFrame, return_cost_rate: str = RETURN_COST_RATE
+) -> DataFrame:
+    """Revenue, profit and loss rates per day and country.
+
+    Distinct orders come from a first grouping by order, which also folds the
+    money, so no row is multiplied for the four distinct counts.
+    """
+    return daily_rates(order_sums(order_items, products, users), return_cost_rate)
+
+
+def daily_rates(per_order: DataFrame, return_cost_rate: str = RETURN_COST_RATE) -> DataFrame:
+    """The daily figures from the sums per order."""
     # COUNT(DISTINCT order_id) skips null order ids, hence the extra conditions.
     named = F.col("order_id").isNotNull()
     per_day = per_order.groupBy("day", "country").agg(

@@ -20,6 +20,11 @@ def sales_funnel(events: DataFrame) -> DataFrame:
         _typed("purchase").alias("purchase"),
         any_of(F.col("extracted_product_id").isNotNull()).alias("viewed"),
     )
+    return funnel_rates(sessions)
+
+
+def funnel_rates(sessions: DataFrame) -> DataFrame:
+    """Funnel rates per year from the flags cart, purchase and viewed of sessions."""
     cart, bought, viewed = F.col("cart") == 1, F.col("purchase") == 1, F.col("viewed") == 1
     every = F.count(F.lit(1))
     return (
