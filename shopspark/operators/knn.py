@@ -116,13 +116,18 @@ def top_k(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _search(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """Results for rows (id, v, cell) on both sides."""
+def _search(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool, cells: bool) -> DataFrame:
+    """Results for rows (id, v, cell) on both sides; without ``cells`` all rows are in one."""
     blocks = query_blocks(queries, QUERY_BLOCK)
-    counts = blocks.select("cell", "blocks").distinct()
-    asked = packs(corpus.join(counts.select("cell"), "cell", "left_semi"))
-    met = asked.join(counts, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = met.join(blocks.drop("blocks"), ["cell", "block"])
+    if cells:
+        counts = blocks.select("cell", "blocks").distinct()
+        asked = packs(corpus.join(counts.select("cell"), "cell", "left_semi")).join(counts, "cell")
+        numbered, keys = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["cell", "block"]
+    else:
+        most = blocks.agg(F.max("blocks")).first()[0] or 0
+        numbers = F.array_repeat(F.lit(0), most) if not most else F.sequence(F.lit(0), F.lit(most - 1))
+        numbered, keys = packs(corpus).withColumn("block", F.explode(numbers)), ["block"]
+    met = numbered.select(*keys, "ids", "data").join(blocks.select(*keys, "query_ids", "queries"), keys)
     return top_k(met.mapInPandas(_best_of_pack(k, skip_self), "query_id bigint, id bigint, distance double"), k)
 
 
@@ -143,7 +148,7 @@ def similar(
     one = F.lit(0).alias("cell")
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v"), one)
     asking = queries.select(F.col(query_key or key).alias("id"), F.col(query_vector or vector).alias("v"), one)
-    return _search(rows, asking, k, skip_self)
+    return _search(rows, asking, k, skip_self, cells=False)
 
 
 @dataclass(frozen=True)
@@ -209,7 +214,7 @@ def similar_ann(
     asking = queries.select(F.col(query_key).alias("id"), F.col(query_vector).alias("v")).where(F.col("v").isNotNull())
     asking = asking.withColumn("cell", F.explode(nearest_cells("v")))
     stored = index.read(queries.sparkSession).select("id", "v", "cell")
-    return _search(stored, asking, k, skip_self)
+    return _search(stored, asking, k, skip_self, cells=True)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

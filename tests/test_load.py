@@ -120,7 +120,8 @@ def test_versions_move_only_on_change(spark, tmp_path):
     assert rows(table.read()) == [(1, "a"), (2, "b")]
     with pytest.raises(ValueError, match="repeats"):
         upsert(table, first.unionByName(first), MergeSpec())
-    assert len(table.versions()) == 3 and len(table.remove_unused(keep=1)) == 1
+    # The version that changed nothing is gone already.
+    assert len(table.versions()) == 2 and table.remove_unused(keep=1) == []
     assert len(table.remove_unused(keep=0)) == 1 and rows(table.read()) == [(1, "a"), (2, "b")]
 
 
@@ -131,7 +132,7 @@ def test_whole_load_twice_is_once(spark, small, tmp_path):
     assert stored_table(spark, target, "users").count() == 0
     first = load_all(spark, source, target, datetime(2002, 1, 1), lookback=None)
     counts = {s.table: (s.rows_in, s.rows_out) for s in first.steps}
-    assert counts["products"] == (200, 168) and counts["order_items"][0] == 5471
+    assert counts["products"] == (200, 168) and counts["order_items"][0] == 6000
     stored = {s.table: stored_table(spark, target, s.table).count() for s in first.steps}
     assert stored == {s.table: s.rows_out for s in first.steps}
     second = load_all(spark, source, target, datetime(2002, 1, 1), lookback=None)
