@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from shopspark.llm.jaccard import keep_one_of_each_group, similar_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MIDDLE = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, run int, class string"
 
 
@@ -46,8 +47,8 @@ def found(df):
     return sorted(tuple(r) for r in df.select("doc_id", "n_shingles", "component_id").collect())
 
 
-def test_equals_brute_force_on_the_table(spark, middle):
-    docs = spark.read.parquet(f"{middle}/documents.parquet")
+def test_equals_brute_force_on_the_table(spark):
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     assert found(similar_groups(docs)) == brute_force([(r.doc_id, r.text) for r in docs.collect()])
 
 

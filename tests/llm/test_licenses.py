@@ -5,6 +5,7 @@ import re
 from shopspark.llm.licenses import PHRASES, license_matches, license_report
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+MIDDLE = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, n_words int, base string"
 
 
@@ -30,8 +31,8 @@ def check(df):
     return {r.doc_id: r for r in rows}
 
 
-def test_the_table(spark, middle):
-    check(spark.read.parquet(f"{middle}/documents.parquet"))
+def test_the_table(spark):
+    check(spark.read.parquet(f"{MIDDLE}/documents.parquet"))
 
 
 def test_planted(spark):
