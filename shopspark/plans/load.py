@@ -25,6 +25,7 @@ from shopspark.operators.rulebook import CONTRACTS
 from shopspark.operators.transforms import clean
 from shopspark.plans.runlog import RunLog, Step
 from shopspark.schemas import TABLES
+from shopspark.session import size_shuffles
 from shopspark.sources.layout import by_month, clustered, with_month
 from shopspark.sources.raw import allow_listed, read_raw
 from shopspark.sources.versioned import VersionedTable
@@ -253,7 +254,11 @@ def load_all(
     unknown = wanted - set(ORDER)
     if unknown:
         raise ValueError(f"unknown tables: {sorted(unknown)}")
-    reader = source if callable(source) else lambda name: read_raw(spark, source, name)
+    if callable(source):
+        reader = source
+    else:
+        size_shuffles(spark, source)
+        reader = lambda name: read_raw(spark, source, name)
     for table in (t for t in ORDER if t in wanted):
         with run.step(table) as step:
             contract = (contracts or {}).get(table)
