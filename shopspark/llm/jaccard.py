@@ -62,7 +62,7 @@ FLUSH_WORDS = 1_500_000
 BUCKET_CHARS = 16_000_000
 NO_ID = np.iinfo(np.int64).min
 #: Size classes of the last step: ratio of neighbours, and how many on either side can hold partners.
-CLASS, REACH = 1.05, 7
+CLASS, REACH = 1.02, 18
 #: Times that only each document's likeliest pair is verified before all pairs left are.
 BEST_ROUNDS = 3
 
@@ -334,7 +334,7 @@ def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: i
         return F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
 
     reached = [F.col(f"shared{k}") >= overlap(k) for k in bits]
-    open_ = sum((F.when(r, F.lit(1 << k)).otherwise(0) for k, r in zip(bits, reached)), F.lit(0)).cast("long")
+    open_ = sum((F.when(r, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in zip(bits, reached)), F.lit(0)).cast("long")
     need = F.least(*[F.when(r, overlap(k)) for k, r in zip(bits, reached)])
     close = F.greatest(*[F.when(r, F.col(f"shared{k}")) for k, r in zip(bits, reached)]) / F.col("n")
     known = counted.select("id", open_.alias("open"), need.alias("need"), close.alias("close")).where("open <> 0")
