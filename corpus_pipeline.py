@@ -39,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
     configure(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(docs, path, public_tokenizers.PATTERN, encode_special_tokens=False)
 
 
 STAGES = [

@@ -18,8 +18,10 @@ pieces again.
 Defined cases: a null text is empty; an empty document is its closing token. A
 null identifier sorts first. Repeated rows are packed as often as they stand in
 the table, each with pieces of its own. Very long texts are tokenised whole and
-cut into as many windows as needed. An empty table gives no pieces. Other columns
-are not looked at.
+cut into as many windows as needed. Text that is an added token of the tokenizer
+becomes its id, and the texts between are encoded by themselves; with
+``encode_special_tokens``, special tokens are text like any other. An empty table
+gives no pieces. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -70,17 +72,28 @@ def byte_letters() -> dict[int, int]:
 
 
 class Encoder:
-    """Token ids of texts.
+    """Token ids of texts, equal to the tokenizer's without ``add_special_tokens``.
 
-    Byte-level merges stay inside the words that ``pattern`` cuts, so a word's ids
-    are merged once and reused; the table is emptied when it is full.
+    Added tokens are cut out first. Byte-level merges stay inside the words that
+    ``pattern`` cuts, so a word's ids are merged once and reused; the table is
+    emptied when it is full. Texts with an added token that takes blanks or word
+    limits into account go through the tokenizer whole.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, encode_special_tokens: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = encode_special_tokens
+        added = tokenizer.get_added_tokens_decoder().items()
+        added = {t.content: (at, t) for at, t in added if t.content and not (t.special and encode_special_tokens)}
+        self.added = {content: np.array([at], "<u4") for content, (at, _) in added.items()}
+        # Of tokens that begin at one place the longest counts.
+        longest = sorted(map(regex.escape, added), key=len, reverse=True)
+        self.split = regex.compile(f"({'|'.join(longest)})").split if added else None
+        self.plain = not any(t.single_word or t.lstrip or t.rstrip for _, t in added.values())
+        self.whole = tokenizer
         self.cut = regex.compile(pattern).findall
         self.model, self.letters = tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
@@ -90,6 +103,14 @@ class Encoder:
             self.ends[at] = token.endswith((".", "!", "?")) or "Ċ" in token
 
     def __call__(self, text: str) -> np.ndarray:
+        parts = self.split(text) if self.split else [text]
+        if len(parts) == 1:
+            return self._merged(text)
+        if not self.plain:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.concatenate([self.added[part] if i % 2 else self._merged(part) for i, part in enumerate(parts)])
+
+    def _merged(self, text: str) -> np.ndarray:
         words = self.cut(text)
         known = self.known
         if len(known) > CACHE_WORDS:
@@ -100,12 +121,13 @@ class Encoder:
         return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
 
 
-def worker_encoder(path: str, pattern: str) -> Encoder:
+def worker_encoder(path: str, pattern: str, encode_special_tokens: bool = True) -> Encoder:
     """The encoder of this Python worker; later tasks of the worker find its words merged."""
     home = sys.modules.setdefault("shopspark_worker_encoders", ModuleType("shopspark_worker_encoders"))
-    if (path, pattern) not in home.__dict__:
-        home.__dict__[path, pattern] = Encoder(path, pattern)
-    return home.__dict__[path, pattern]
+    key = path, pattern, encode_special_tokens
+    if key not in home.__dict__:
+        home.__dict__[key] = Encoder(*key)
+    return home.__dict__[key]
 
 
 def padding(length: int) -> int:
@@ -225,14 +247,14 @@ class Stream:
         self.parts, self.held = list(parts), sum(len(p[3]) for p in parts)
 
 
-def _pack(path: str, pattern: str, closing: int):
+def _pack(path: str, pattern: str, closing: int, encode_special_tokens: bool):
     """Task function: tokenise the rows of a sorted range and pack them."""
 
     def rows_of(pieces: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), PIECES)], schema=PIECES)
 
     def pack(batches):
-        encoder = worker_encoder(path, pattern)
+        encoder = worker_encoder(path, pattern, encode_special_tokens)
         stream = Stream(TaskContext.get().partitionId() << 32, encoder.ends)
         end = np.array([closing], "<u4")
         found: list[tuple] = []
@@ -252,14 +274,16 @@ def _pack(path: str, pattern: str, closing: int):
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", closing: int = CLOSING
+    docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", closing: int = CLOSING,
+    encode_special_tokens: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer_path`` is a byte-level tokenizer file that every executor can read
-    and ``pattern`` the expression by which it cuts texts into words.
+    and ``pattern`` the expression by which it cuts texts into words. A text's ids are
+    those of the tokenizer with that setting of ``encode_special_tokens``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ranges = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    packed = ranges.mapInArrow(_pack(tokenizer_path, pattern, closing), PIECES_DDL)
+    packed = ranges.mapInArrow(_pack(tokenizer_path, pattern, closing, encode_special_tokens), PIECES_DDL)
     return packed.withColumnRenamed("doc_id", id_col)

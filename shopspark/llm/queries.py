@@ -55,7 +55,8 @@ def op5_mixing(spark, root):
 @query
 def op6_packing(spark, root):
     return packing.pack_documents(
-        table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+        table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+        encode_special_tokens=False,
     )
 
 

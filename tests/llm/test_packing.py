@@ -5,9 +5,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
+import corpus_pipeline
 from shopspark.llm import packing
+from shopspark.llm.queries import QUERIES
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
@@ -62,6 +64,29 @@ def test_defined_cases(spark, tokenizer):
     assert packing.pack_documents(docs.limit(0), PATH, PATTERN).collect() == []
 
 
+def test_queries_encode_added_tokens(spark, tmp_path):
+    default = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y  ", "<|endoftext| >", "no marker", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (QUERIES["op6_packing"](spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+        rows = rows.collect()
+        assert [r.doc_tokens for r in rows if r.doc_id == 0] == [5]
+        check(rows, list(enumerate(texts)), default)
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_any_added_tokens(tmp_path, flags):
+    made = Tokenizer.from_file(PATH)
+    made.add_tokens([AddedToken("<x>", **flags), AddedToken("<x><y>", normalized=False)])
+    made.save(f"{tmp_path}/more.json")
+    for special in (False, True):
+        made.encode_special_tokens = special
+        encoder = packing.Encoder(f"{tmp_path}/more.json", PATTERN, special)
+        for text in ("a <x> b", "a <x><y><x>b", "<|endoftext|> <x>\n<y>", "  ", "q<x>w  <x><x>"):
+            assert encoder(text).tolist() == made.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cuts_are_the_cheapest(seed):
     rng = np.random.default_rng(seed)
