@@ -23,7 +23,8 @@ band as well.
 *Skew.* Equal sets and equal parts fold within each batch before anything is
 shuffled: a batch sends one row of fingerprints per bucket and one owner for each
 fingerprint. Fingerprints travel packed in buckets whose number follows the input,
-so a bucket's memory does not grow with the corpus. Owners of a fingerprint are
+so a bucket's memory does not grow with the corpus. Rows of documents and ties
+found in a batch are cut into slices and dealt over all buckets. Owners of a fingerprint are
 tied to its smallest owner only, never to each other. The best tie of each document
 is verified exactly and gives first components. What those leave open is settled on
 the shingles themselves: only shingles held by different components count, and a
@@ -50,6 +51,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +62,9 @@ from shopspark.storage import materialize
 BAND = 8
 FLUSH_WORDS = 1_500_000
 BUCKET_CHARS = 16_000_000
+BUCKET_ROWS = 1_000_000
+#: Rows of documents or ties that travel to one bucket together.
+SLICE_ROWS = 4096
 NO_ID = np.iinfo(np.int64).min
 #: Size classes of the last step: ratio of neighbours, and how many on either side can hold partners.
 CLASS, REACH = 1.02, 18
@@ -144,10 +149,24 @@ def _by_bucket(prints: np.ndarray, owners: np.ndarray, buckets: int, kind: int,
             yield (b, kind, owners[low:high], rest[low:high], *(x[low:high] for x in more))
 
 
+def _spots(buckets: int) -> Iterator[int]:
+    """Buckets in an order of its own for each task, the same when the task is repeated."""
+    at = TaskContext.get().partitionId() << 32
+    while True:
+        yield int(mix(np.array([at], np.uint64))[0] % np.uint64(buckets))
+        at += 1
+
+
+def _dealt(spots: Iterator[int], kind: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Rows that any bucket can take, in slices."""
+    for low in range(0, len(columns[0]), SLICE_ROWS):
+        yield (next(spots), kind, *(c[low : low + SLICE_ROWS] for c in columns))
+
+
 def _scan(sketch: Sketch, words: int, buckets: int):
     """Task function: shingle texts, fold equal sets and parts of a batch, pack the rest."""
 
-    def flush(ids: np.ndarray, sets: list[np.ndarray], turn: int) -> Iterator[pa.RecordBatch]:
+    def flush(ids: np.ndarray, sets: list[np.ndarray], spots: Iterator[int]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(s) for s in sets], np.int64)
         marks = np.array([[s.sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s))] for s in sets], np.uint64).reshape(-1, 2)
         marks = mix(marks + mix(sizes.astype(np.uint64))[:, None])
@@ -162,7 +181,7 @@ def _scan(sketch: Sketch, words: int, buckets: int):
                 kept[key] = int(ids[i])
                 reps.append(i)
             heads[i] = kept[key]
-        rows: list[tuple] = [(turn % buckets, DOC, ids, heads, sizes)]
+        rows: list[tuple] = list(_dealt(spots, DOC, ids, heads, sizes))
         reps = np.array(sorted(reps, key=lambda i: ids[i]), np.int64)
         if len(reps):
             firsts = reps[np.argsort(marks[reps, 0], kind="stable")]
@@ -178,13 +197,13 @@ def _scan(sketch: Sketch, words: int, buckets: int):
             fresh, first, sizes_ = _ties(prints, owners)
             tied = sizes_ > 1
             if tied.any():
-                rows.append(((turn + 1) % buckets, TIE, *_counted(owners[tied], first[tied])))
+                rows += _dealt(spots, TIE, *_counted(owners[tied], first[tied]))
             rows += _by_bucket(prints[fresh], owners[fresh], buckets, PRINT)
         for at in range(0, len(rows), 64):
             yield _packed(rows[at : at + 64])
 
     def scan(batches):
-        hasher, turn = WordHasher(), 0
+        hasher, spots = WordHasher(), _spots(buckets)
         ids: list[np.ndarray] = []
         sets: list[np.ndarray] = []
         held = 0
@@ -195,10 +214,10 @@ def _scan(sketch: Sketch, words: int, buckets: int):
                 ids.append(part.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
                 held += len(hashed)
                 if held >= FLUSH_WORDS:
-                    yield from flush(np.concatenate(ids), sets, turn)
-                    ids, sets, held, turn = [], [], 0, turn + 1
+                    yield from flush(np.concatenate(ids), sets, spots)
+                    ids, sets, held = [], [], 0
         if ids:
-            yield from flush(np.concatenate(ids), sets, turn)
+            yield from flush(np.concatenate(ids), sets, spots)
 
     return scan
 
@@ -389,8 +408,8 @@ def similar_groups(
     spark = docs.sparkSession
     sketch = Sketch(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS))
+    chars, total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // BUCKET_CHARS), -(-total // BUCKET_ROWS))
     packed = rows.mapInArrow(_scan(sketch, words, buckets), PACKED_DDL)
     met = materialize(packed.groupBy("bucket").applyInPandas(_meet, "kind int, a long, b long, c long"), "jaccard-ties")
 

@@ -4,6 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from shopspark.llm import jaccard
 from shopspark.llm.jaccard import keep_one_of_each_group, similar_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,3 +94,13 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 3, 5, 7, None]
     assert similar_groups(df.limit(0)).collect() == []
+
+
+def test_documents_and_ties_are_dealt_over_the_buckets(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = spark.range(4000).select("id", F.concat(F.lit(passage + " "), F.col("id").cast("string")).alias("text")).repartition(40)
+    packed = rows.mapInArrow(jaccard._scan(jaccard.Sketch(), 5, 64), jaccard.PACKED_DDL)
+    held = packed.groupBy("kind", "bucket").agg((F.sum(F.length("a")) / 8).alias("n")).collect()
+    for kind in (jaccard.DOC, jaccard.TIE):
+        sizes = [r.n for r in held if r.kind == kind]
+        assert sum(sizes) >= 3900 and max(sizes) < sum(sizes) / 4
