@@ -128,17 +128,17 @@ def _counted(owners: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owners[fresh], heads[fresh], np.diff(np.append(fresh, len(owners)))
 
 
-PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-PACKED_DDL = "bucket long, kind int, a binary, b binary, c binary, d binary"
+PACKED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+PACKED_DDL = "bucket long, kind int, a binary, b binary, c binary"
 DOC, TIE, SAME, PRINT = 0, 1, 2, 3
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    data = [(b, k, *(x.tobytes() for x in cols), *[b""] * (4 - len(cols))) for b, k, *cols in rows]
+    data = [(b, k, *(x.tobytes() for x in cols), *[b""] * (3 - len(cols))) for b, k, *cols in rows]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*data), PACKED)], schema=PACKED)
 
 
-def _by_bucket(prints: np.ndarray, owners: np.ndarray, buckets: int, kind: int, *more: np.ndarray) -> Iterator[tuple]:
+def _by_bucket(prints: np.ndarray, owners: np.ndarray, buckets: int, kind: int) -> Iterator[tuple]:
     """Sorted prints cut into buckets; the rest of the print travels as 32 bits."""
     top = ((prints >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
     cuts = np.searchsorted(top, np.arange(buckets + 1, dtype=np.uint64))
@@ -146,7 +146,7 @@ def _by_bucket(prints: np.ndarray, owners: np.ndarray, buckets: int, kind: int,
     for b in range(buckets):
         low, high = cuts[b], cuts[b + 1]
         if high > low:
-            yield (b, kind, owners[low:high], rest[low:high], *(x[low:high] for x in more))
+            yield (b, kind, owners[low:high], rest[low:high])
 
 
 def _spots(buckets: int) -> Iterator[int]:
@@ -252,59 +252,26 @@ def _meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(frames) if frames else pd.DataFrame({"kind": [], "a": [], "b": [], "c": []})
 
 
-def _spread(buckets: int):
-    """Task function: the shingles of stored sets with their owner's component and size, packed by bucket."""
+def _between(labelled: DataFrame) -> DataFrame:
+    """Owners of the shingles that more than one component holds.
 
-    def scan(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            values = mix(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-            order = np.argsort(values, kind="stable")
-            owner = np.repeat(np.arange(len(ids)), sizes)[order]
-            rows = list(_by_bucket(values[order], ids[owner], buckets, PRINT, labels[owner], sizes[owner]))
-            for at in range(0, len(rows), 64):
-                yield _packed(rows[at : at + 64])
-
-    return scan
-
-
-def size_class(sizes: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(sizes) / np.log(CLASS)).astype(np.int64)
-
-
-def _between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: owners of the shingles that more than one component holds.
-
-    ``mask`` has a bit for each size class around the owner's in which another
-    component holds the shingle.
+    ``labelled``: id, label, hashes. ``mask`` has a bit for each size class around the
+    owner's in which another component holds the shingle. Owners fold to size classes
+    before they meet, so a shingle brings its classes into a group, never its owners.
     """
-    ids, labels, sizes = _column(rows["a"], np.int64), _column(rows["c"], np.int64), _column(rows["d"], np.int64)
-    prints = _column(rows["b"], np.uint32)
-    order = np.lexsort((labels, prints))
-    ids, labels, sizes, prints = ids[order], labels[order], sizes[order], prints[order]
-    fresh, heads, owners = _ties(prints, labels)
-    starts = np.flatnonzero(fresh)
-    differs = np.add.reduceat((heads != labels).astype(np.int64), starts) > 0 if len(starts) else np.empty(0, bool)
-    held = np.repeat(differs, np.diff(np.append(starts, len(prints))))
-    ids, labels, sizes, prints, owners = ids[held], labels[held], sizes[held], prints[held], owners[held]
-    classes = size_class(sizes)
-    place = prints.astype(np.int64) << np.int64(16) | classes
-    order = np.lexsort((labels, place))
-    spots, first, last = place[order], labels[order], labels[order]
-    edge = np.concatenate([[True], spots[1:] != spots[:-1]]) if len(spots) else np.empty(0, bool)
-    cut = np.flatnonzero(edge)
-    spots, first, last = spots[edge], first[edge], last[np.append(cut[1:], len(last)) - 1] if len(cut) else last
-    mask = np.zeros(len(ids), np.int64)
-    for step in range(-REACH, REACH + 1):
-        want = place + step
-        at = np.minimum(np.searchsorted(spots, want), len(spots) - 1)
-        other = (spots[at] == want) & ((first[at] != labels) | (last[at] != labels)) if len(spots) else np.empty(0, bool)
-        mask |= other.astype(np.int64) << (step + REACH)
-    full = (np.int64(key[0]) << np.int64(32)) | prints.astype(np.int64)
-    return pd.DataFrame({"print": full, "owners": owners, "id": ids, "label": labels, "n": sizes, "class": classes, "mask": mask})
+    sized = labelled.withColumn("n", F.size("hashes").cast("long"))
+    sized = sized.withColumn("class", F.floor(F.log("n") / F.log(F.lit(CLASS))))
+    rows = sized.select("id", "label", "n", "class", F.explode("hashes").alias("print"))
+    folded = rows.groupBy("print", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("owners"))
+    prints = folded.groupBy("print").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("owners").alias("owners"),
+        F.collect_list(F.struct("class", "low", "high")).alias("spots"),
+    )
+    prints = materialize(prints.where("low <> high").select("print", "owners", "spots"), "jaccard-prints")
+    other = "filter(spots, s -> abs(s.class - class) <= {0} and (s.low <> label or s.high <> label))"
+    mask = "aggregate(%s, 0L, (m, s) -> m | shiftleft(1L, cast(s.class - class + {0} as int)))" % other
+    found = rows.join(prints, "print").withColumn("mask", F.expr(mask.format(REACH)))
+    return materialize(found.select("print", "owners", "id", "label", "n", "class", "mask"), "jaccard-between")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -335,12 +302,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between components, found by counting shared shingles."""
     labelled = sets.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "hashes")
-    packed = labelled.mapInArrow(_spread(buckets), PACKED_DDL)
-    schema = "print long, owners long, id long, label long, n long, class long, mask long"
-    between = materialize(packed.groupBy("bucket").applyInPandas(_between, schema), "jaccard-between")
+    between = _between(labelled)
 
     # A partner of size b shares at least percent / (100 + percent) * (a + b) shingles.
     bits = range(2 * REACH + 1)
@@ -440,7 +405,7 @@ def similar_groups(
     links = materialize(_verified(best, sets, percent), "jaccard-links")
 
     labels = materialize(components(links), "jaccard-labels")
-    late = _late_links(sets, labels, links, percent, buckets)
+    late = _late_links(sets, labels, links, percent)
     labels = materialize(components(links.union(late)), "jaccard-labels").withColumnRenamed("id", "class_id")
     result = classed(members, "head").join(labels, F.col("head") == F.col("class_id"), "left")
     known = F.when(F.col("id") != F.lit(int(NO_ID)), F.col("id"))

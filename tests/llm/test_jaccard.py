@@ -1,5 +1,7 @@
 """The similarity join against all pairs."""
 
+import inspect
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -104,3 +106,28 @@ def test_documents_and_ties_are_dealt_over_the_buckets(spark):
     for kind in (jaccard.DOC, jaccard.TIE):
         sizes = [r.n for r in held if r.kind == kind]
         assert sum(sizes) >= 3900 and max(sizes) < sum(sizes) / 4
+
+
+def test_shingles_between_components(spark):
+    rng = random.Random(2)
+    sets = [(i, rng.choice([0, 0, 1, 2]), rng.sample(range(-40, 40), rng.choice([3, 20, 21, 30]))) for i in range(60)]
+    sets += [(100 + i, 3, [1000, 1001, *range(2000, 2018)]) for i in range(300)] + [(900, 4, [1000])]
+    want, held = set(), defaultdict(list)
+    level = lambda n: math.floor(math.log(n) / math.log(jaccard.CLASS))
+    for i, label, values in sets:
+        for v in values:
+            held[v].append((i, label, len(values)))
+    for v, owners in held.items():
+        for i, label, n in owners:
+            steps = {level(m) - level(n) + jaccard.REACH for _, o, m in owners if o != label}
+            if steps:
+                want.add((v, len(owners), i, label, n, level(n), sum(1 << k for k in steps if 0 <= k <= 2 * jaccard.REACH)))
+    df = spark.createDataFrame(sets, "id long, label long, hashes array<long>").repartition(5)
+    got = jaccard._between(df)
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_no_group_holds_all_owners_of_a_shingle():
+    source = inspect.getsource(jaccard._between) + inspect.getsource(jaccard._late_links)
+    assert "applyIn" not in source and "mapIn" not in source
