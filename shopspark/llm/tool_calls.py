@@ -1,14 +1,17 @@
 """Tool calls in conversations: linking, order, validation, canonical JSON.
 
 *Linking.* Calls and results meet in a hash join by identifier. Several results
-for one call are numbered; results without a call and calls without a result are
-marked.
-
-*Order.* A call may follow another call, whose result it needs. Its level is the
-number of calls before it on that path, found by pointer doubling: each round
-doubles the reach of every pointer, so a chain of n calls takes log2(n) rounds of
-one join. A call on a cycle, or after one, has no level. Sorting by level puts
-every call after the one it follows.
+for one call are all kept: ``results`` in the JSON lists them in order of their
+contents, absent ones first, and a result's number is its place there; ``result`` is
+the last of them. Results without a call and calls without a result are marked.
+
+*Order.* A call may follow other calls, whose results it needs; rows with equal
+identifiers add up. Its level is the number of calls before it on the longest such
+path. Calls that follow one other call form trees, which pointer doubling climbs:
+each round doubles the reach of every pointer, so a chain of n calls takes log2(n)
+rounds of one join. Calls that follow several are settled after all those, in as many
+rounds as such calls stand one behind the other. A call on a cycle, or after one,
+has no level. Sorting by level puts every call after those it follows.
 
 *Validation.* Arguments are a JSON object. A schema lists a tool's keys with their
 types and says which are required; unknown, missing and mistyped keys are listed.
@@ -17,9 +20,11 @@ types and says which are required; unknown, missing and mistyped keys are listed
 
 Everything is built of DataFrame operations. Schemas are literals of the plan, so
 validation shuffles nothing however many calls one tool has. Results fold by
-identifier before they are shuffled, so no key of a join is hot.
+identifier before the join; the results of one call must fit a row. Rows without
+identifier take no part in grouping and join.
 
-Defined cases: a null identifier links with nothing and has level 0. A null or
+Defined cases: a null identifier links with nothing; such a call has level 0, such a
+result is a row of its own. A null or
 broken arguments text is the error "not an object". A tool without a schema is the
 error "unknown tool". Calls with equal identifiers share a place in the order and
 their results.
@@ -42,26 +47,59 @@ def canonical(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) for calls (call_id, follows); level is null on and behind a cycle."""
-    nodes = calls.where("call_id is not null").groupBy("call_id").agg(F.max("follows").alias("follows"))
-    known = nodes.select(F.col("call_id").alias("at"))
-    # A pointer to an absent call is none.
-    start = nodes.join(known, nodes["follows"] == known["at"], "left").select(
-        "call_id", F.col("at").alias("up"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("long").alias("steps")
-    )
-    state = materialize(start, "call-levels")
+def _climbed(state: DataFrame) -> DataFrame:
+    """Pointers (call_id, up, steps) carried on to where no pointer leads on; ``up`` stays null there.
+
+    Result: call_id, top, steps, with a null top on and behind a cycle.
+    """
+    state = materialize(state.withColumn("top", F.coalesce("up", "call_id")), "call-levels")
     total = state.count()
     reach, waiting = 1, state.where("up is not null").count()
     # A pointer that still leads on after as many steps as there are calls goes round a cycle.
     while waiting and reach <= total:
-        far = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        far = state.select(
+            F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("top").alias("higher")
+        )
         state = state.join(far, "up", "left").select(
-            "call_id", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+            "call_id",
+            F.col("next").alias("up"),
+            (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.coalesce("higher", "top").alias("top"),
         )
         state = materialize(state, "call-levels")
         reach, waiting = 2 * reach, state.where("up is not null").count()
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("steps")).alias("level"))
+    return state.select("call_id", F.when(F.col("up").isNull(), F.col("top")).alias("top"), "steps")
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """(call_id, level) for calls (call_id, follows); level is null on and behind a cycle."""
+    rows = calls.where("call_id is not null").select("call_id", "follows")
+    nodes = rows.select("call_id").distinct()
+    # A pointer to an absent call is none.
+    edges = rows.distinct().join(nodes.withColumnRenamed("call_id", "follows"), "follows", "left_semi")
+    edges = materialize(edges.select("call_id", "follows"), "call-edges")
+    parents = edges.groupBy("call_id").agg(F.count("*").alias("parents"), F.min("follows").alias("up"))
+    start = nodes.join(parents, "call_id", "left").select(
+        "call_id", F.when(F.col("parents") == 1, F.col("up")).alias("up"), F.when(F.col("parents") == 1, 1).otherwise(0).cast("long").alias("steps")
+    )
+    climbed = _climbed(start)
+    joints = parents.where("parents > 1").select("call_id")
+    # Tops that follow nothing have level 0; those that follow several wait for all of them.
+    waiting = edges.join(joints, "call_id", "left_semi").join(climbed.withColumnRenamed("call_id", "follows"), "follows")
+    waiting = materialize(waiting.select("call_id", "top", "steps"), "call-joints")
+    done = climbed.where("top = call_id").join(joints, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level"))
+    left = waiting.select("call_id").distinct().count()
+    while left:
+        met = waiting.join(done.select(F.col("call_id").alias("top"), "level"), "top", "left")
+        ready = met.groupBy("call_id").agg(F.count("*").alias("all"), F.count("level").alias("known"), F.max(F.col("level") + F.col("steps") + 1).alias("level"))
+        ready = materialize(ready.where(F.col("known") == F.col("all")).select("call_id", "level"), "call-ready")
+        if not ready.count():
+            break
+        done = materialize(done.union(ready), "call-done")
+        waiting = materialize(waiting.join(ready, "call_id", "left_anti"), "call-joints")
+        left = waiting.select("call_id").distinct().count()
+    tops = done.select(F.col("call_id").alias("top"), "level")
+    return climbed.join(tops, "top", "left").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
 
 
 def _per_tool(schemas: dict, value) -> Column:
@@ -105,18 +143,24 @@ def validated(calls: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]])
 
 
 def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
-    """One row per call and per identifier with results only.
+    """One row per call, per identifier with results only and per result without identifier.
 
     calls: call_id, tool, arguments, follows. results: call_id, content.
     Result: call_id, tool, level, errors, has_call, has_result, results, json.
     """
     calls = calls.select("call_id", "tool", "arguments", "follows")
     checked = validated(calls, schemas).withColumn("has_call", F.lit(True))
-    answers = results.groupBy("call_id").agg(F.max("content").alias("content"), F.count("*").alias("results"))
-    met = checked.join(answers.withColumn("has_result", F.lit(True)), "call_id", "full").join(levels(calls), "call_id", "left")
-    met = met.withColumn("level", F.when(F.col("has_call"), F.when(F.col("call_id").isNull(), 0).otherwise(F.col("level"))))
+    content = F.sort_array(F.collect_list(F.struct("content")))
+    named = results.where("call_id is not null").groupBy("call_id").agg(F.max("content").alias("content"), content.alias("every"))
+    named = named.withColumn("every", F.col("every.content")).withColumn("has_result", F.lit(True))
+    met = checked.where("call_id is not null").join(named, "call_id", "full").join(levels(calls), "call_id", "left")
+    lone = checked.where("call_id is null").withColumn("level", F.lit(0).cast("long"))
+    nameless = results.where("call_id is null").select("call_id", "content", F.array("content").alias("every"), F.lit(True).alias("has_result"))
+    met = met.unionByName(lone, allowMissingColumns=True).unionByName(nameless, allowMissingColumns=True)
+    met = met.withColumn("results", F.when(F.col("has_result"), F.size("every")).otherwise(0).cast("long"))
     call = F.struct(F.col("canonical").alias("arguments"), F.col("call_id").alias("id"), F.col("tool").alias("name"))
-    frame = F.to_json(F.struct(F.when(F.col("has_call"), call).alias("call"), "level", F.col("content").alias("result")))
+    several = F.when(F.col("results") > 1, F.col("every")).alias("results")
+    frame = F.to_json(F.struct(F.when(F.col("has_call"), call).alias("call"), "level", F.col("content").alias("result"), several))
     return met.select(
         "call_id",
         "tool",
@@ -124,7 +168,7 @@ def linked_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[s
         F.coalesce("errors", F.array(F.lit("no call"))).alias("errors"),
         F.coalesce("has_call", F.lit(False)).alias("has_call"),
         F.coalesce("has_result", F.lit(False)).alias("has_result"),
-        F.coalesce("results", F.lit(0)).alias("results"),
+        "results",
         canonical(frame).alias("json"),
     )
 

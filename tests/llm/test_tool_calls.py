@@ -1,6 +1,7 @@
 """Linking, order, validation and canonical JSON."""
 
 import json
+import random
 
 from shopspark.llm.tool_calls import conversation_frames, levels, linked_calls
 
@@ -62,3 +63,38 @@ def test_conversations(spark):
 def test_plan_has_no_python(spark, small):
     plan = conversation_frames(spark.read.parquet(f"{small}/conversations.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Window" not in plan and "ExistingRDD" not in plan
+
+
+def test_every_result_is_kept(spark):
+    calls = [("c1", "stop", "{}", None), ("c2", "stop", "{}", "c1"), (None, "stop", "{}", None)]
+    results = [("c1", "3"), ("c1", "30"), ("c1", "3"), ("c1", None), ("lost", "b"), ("lost", "a"), ("c2", "one"), (None, "x"), (None, "x"), (None, "y"), (None, None)]
+    rows = linked(spark, calls, results)
+    named = {r.call_id: r for r in rows if r.call_id}
+    assert json.loads(named["c1"].json)["results"] == [None, "3", "3", "30"] and named["c1"].results == 4
+    assert json.loads(named["lost"].json) == {"result": "b", "results": ["a", "b"]}
+    assert json.loads(named["c2"].json)["result"] == "one" and "results" not in json.loads(named["c2"].json)
+    lone = [r for r in rows if r.call_id is None and not r.has_call]
+    assert sorted(json.loads(r.json).get("result", "") for r in lone) == ["", "x", "x", "y"]
+    assert all(r.results == 1 and r.has_result and r.errors == ["no call"] and r.level is None for r in lone)
+    assert len(rows) == 3 + 1 + 4
+
+
+def test_levels_by_the_longest_path(spark):
+    rng = random.Random(4)
+    edges = [("c", "a"), ("c", "b"), ("b", "a"), ("z", "a"), ("z", "c"), ("a", None), ("a", "gone"), ("t", "z"), ("p", "q"), ("q", "p"), ("q", "a"), ("r", "a"), ("r", "p"), ("s", "r"), ("w", "w"), ("w", "a")]
+    edges += [(f"n{i}", f"n{rng.randrange(max(0, i - 6), i)}") for i in range(1, 40) for _ in range(rng.choice([1, 1, 3]))] + [("n0", None)] * 2
+    parents = {k: {p for c, p in edges if c == k} & {c for c, _ in edges} for k, _ in edges}
+    want = {}
+    while ready := [k for k in parents if k not in want and all(p in want for p in parents[k])]:
+        want |= {k: max((want[p] + 1 for p in parents[k]), default=0) for k in ready}
+    df = spark.createDataFrame(edges, "call_id string, follows string").repartition(3)
+    got = [tuple(r) for r in levels(df).collect()]
+    assert len(got) == len(parents) and dict(got) == {k: want.get(k) for k in parents}
+    assert dict(got)["c"] == 2 and dict(got)["t"] == 4 and dict(got)["s"] is None
+
+
+def test_repeated_assistant_turns(spark):
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 1, "assistant", "again"), (None, 1, "assistant", "x"), (1, None, "assistant", "y")]
+    rows = conversation_frames(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert [json.loads(r.json)["results"] for r in rows if r.call_id] == [["again", "first"]]
+    assert sorted(json.loads(r.json)["result"] for r in rows if r.call_id is None) == ["x", "y"]
