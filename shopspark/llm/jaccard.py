@@ -1,4 +1,4 @@
-"""N-gram Jaccard join by parity sketches.
+"""N-gram Jaccard join: documents chosen by parity sketches, pairs by shared shingles.
 
 A document is the set of its distinct word shingles, each a 64-bit hash. The
 sketch has one bit per hash value and a shingle flips its bit, so the Hamming
@@ -16,6 +16,10 @@ ones cannot lie behind more than d others). So a document emits d(a) + m(a) part
 with m growing with a, and a document that finds fewer than m of them elsewhere
 has no partner. That keeps out documents which share a passage or a line only.
 
+The parts choose the documents that can have a partner and give first links. No
+Hamming distance is computed, and below 512 shingles a part is nearly always one
+shingle. All other pairs come from a count of shared shingles with a prefix filter.
+
 *Size bands.* The number of parts follows the size by bands, each ``BAND`` times
 the one before. A document whose partners may be in the next band emits for that
 band as well.
