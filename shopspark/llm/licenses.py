@@ -17,6 +17,7 @@ not looked at.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -80,17 +81,21 @@ class Notice:
         exact = {s for s in windows if s > 0 and text.startswith(self.body, s) and text[s - 1] == 32 and text[s + size] == 32}
         for start in sorted(exact):
             yield start, start + size, 0
-        covered = -1
+        covered = 0
         taken = sorted(exact)
         for start in sorted(windows - exact):
-            if any(abs(start - s) <= size for s in taken):
-                continue
             low, high = max(0, start - self.edits), min(len(text), start + size + self.edits)
             low, high = text.rfind(b" ", 0, low + 1), text.find(b" ", high - 1)
-            found = self.pattern.search(text, max(low, 0), len(text) if high < 0 else high + 1)
-            if found and found.start() > covered:
-                covered = found.end()
-                yield found.start(), found.end(), sum(found.fuzzy_counts)
+            low, high = max(low, 0), len(text) - 1 if high < 0 else high
+            # What lies between exact places is searched, from the space before to the one after.
+            at = bisect(taken, low)
+            inside = taken[max(at - 1, 0) : bisect(taken, high)]
+            for left, right in zip([low, *(s + size for s in inside)], [*(s - 1 for s in inside), high]):
+                left, right = max(low, left, covered), min(right, high)
+                found = self.pattern.search(text, left + 1, right) if left + 1 < right else None
+                if found:
+                    covered = found.end()
+                    yield found.start(), found.end(), sum(found.fuzzy_counts)
 
 
 def scan_text(raw: bytes, notices: list[Notice]) -> tuple[int, list[Match]]:

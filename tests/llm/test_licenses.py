@@ -2,7 +2,7 @@
 
 import re
 
-from shopspark.llm.licenses import PHRASES, license_matches, license_report
+from shopspark.llm.licenses import PHRASES, Notice, license_matches, license_report
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIDDLE = "/root/testdata/sf0.01"
@@ -56,3 +56,17 @@ def test_planted(spark):
 def test_clean_texts_get_no_labels(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").where("not lower(text) rlike 'licen|general|permission|copyright'")
     assert {r.labels for r in license_report(docs).collect()} == {""}
+
+
+def test_places_next_to_exact_ones():
+    notice = Notice("mit license", "mit", 11)
+
+    def spans(words):
+        text = f" {words} ".encode()
+        return sorted((text[a:b].decode(), edits) for a, b, edits in notice.places(text))
+
+    assert spans("mit license mt license") == [("mit license", 0), ("mt license", 1)]
+    assert spans("mt license mit license") == [("mit license", 0), ("mt license", 1)]
+    assert spans("mit license mitt license mit license mit licens") == [("mit licens", 1), ("mit license", 0), ("mit license", 0), ("mitt license", 1)]
+    assert spans("mit license mit license") == [("mit license", 0)] * 2
+    assert spans("mit licens mt license") == [("mit licens", 1), ("mt license", 1)]
