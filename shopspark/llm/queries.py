@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from shopspark.llm import exact_dedup, jaccard, licenses, mixing, packing, resampling, tool_calls, topk, toxicity, warc
+from shopspark.llm import (
+    exact_dedup, grouped_packing, hard_negatives, jaccard, licenses, mixing, packing, prefix_trie, resampling, tool_calls, topk,
+    toxicity, warc,
+)
 from shopspark.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +83,21 @@ def op10_quality_resampling(spark, root):
     return resampling.importance_sample(table(spark, root, "documents"), table(spark, root, "labels"))
 
 
+@query
+def op11_best_fit_packing(spark, root):
+    return grouped_packing.pack_best_fit(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op12_hard_negatives(spark, root):
+    return hard_negatives.mined_report(table(spark, root, "embeddings"))
+
+
+@query
+def op13_prefix_trie(spark, root):
+    return prefix_trie.conversation_trie(table(spark, root, "conversations"))
+
+
 @query
 def pipeline(spark, root):
     return corpus_pipeline.run(spark, root)
@@ -186,4 +204,61 @@ SQL: dict[str, str] = {
         FROM sizes d
         JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
         JOIN best b ON d.source IS NOT DISTINCT FROM b.source""",
+    "op12_hard_negatives": """
+        WITH whole AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.parts, v.parts)::BIGINT AS score
+            FROM whole a JOIN whole v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id AND len(a.parts) = len(v.parts)
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT p.anchor_id, positive_id,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same
+             AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        QUALIFY rank <= 10""",
+    "op13_prefix_trie": r"""
+        WITH numbered AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                       sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), convs AS (
+            SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS own,
+                   -- crc32 of the decimal digits: eight shifts for each byte.
+                   (xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+                       lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                       lambda acc, x: xor(xor(acc, x) >> 1, 3988292384::BIGINT * (xor(acc, x) & 1))), 4294967295::BIGINT) % 4)::INT AS h
+            FROM numbered GROUP BY conv_id
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS turns
+            FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20
+        ), paths AS (
+            SELECT conv_id, d AS depth, turns[1:d] AS node, CASE WHEN d > 0 THEN turns[1:d - 1] END AS parent,
+                   d = len(turns) AS ends, turns[d].text AS last_text
+            FROM rebuilt, unnest(range(len(turns) + 1)) AS t(d)
+        ), nodes AS (
+            SELECT node, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs,
+                   (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(last_text), '[^\x20\x09-\x0D]+')), 0) AS saved,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ended
+            FROM paths GROUP BY node
+        ), children AS (
+            SELECT parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+        ), valued AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.node = c.node
+        ), sums AS (
+            -- A node's smallest member passes all nodes above it.
+            SELECT p.node, sum((v.n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+            FROM valued v JOIN paths p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY p.node
+        )
+        SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens,
+               sha256(v.ended) AS ends_sha256
+        FROM valued v JOIN sums s ON s.node = v.node LEFT JOIN nodes u ON u.node = v.parent""",
 }

@@ -10,7 +10,7 @@ from shopspark.llm.queries import QUERIES, SQL
 
 def test_all_are_registered():
     assert set(QUERIES) <= set(registry.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
