@@ -570,7 +570,7 @@ batch AS (
   SELECT CASE WHEN id % 5 = 0 THEN -id - 1 ELSE id END AS id,
     cost, category, CASE WHEN id % 3 = 0 THEN NULL ELSE name END AS name, 'new ' || brand AS brand,
     CASE WHEN id % 7 = 0 THEN retail_price + 1 ELSE retail_price END AS retail_price, department, sku,
-    distribution_center_id FROM products_raw WHERE distribution_center_id < 10),
+    distribution_center_id FROM products_raw WHERE id % 2 = 0),
 m AS (
   SELECT t.id AS t_id, s.id AS s_id, coalesce(t.id, s.id) AS id,
     CASE WHEN s.id IS NULL THEN 'keep' WHEN t.id IS NULL THEN 'insert'
@@ -594,7 +594,7 @@ FROM orders"""
 
 SQL["sessionize"] = f"WITH {EVENTS_RAW} SELECT id, session_id, sequence_number FROM clicks_raw"
 
-SQL["run_log"] = f"""WITH {STOCK_RAW}, {repaired('items_raw', 'items', ITEM_OTHERS)}, {CENTERS_RAW}, {USERS_RAW},
+LOAD_COUNTS = f"""{STOCK_RAW}, {repaired('items_raw', 'items', ITEM_OTHERS)}, {CENTERS_RAW}, {USERS_RAW},
 kept_products AS (SELECT * FROM products_raw WHERE distribution_center_id IN (SELECT id FROM centers_raw)),
 kept_stock AS (SELECT * FROM stock_raw WHERE product_distribution_center_id IN (SELECT id FROM centers_raw)),
 counts AS (
@@ -605,8 +605,68 @@ counts AS (
   UNION ALL SELECT 'orders', count(*), count(*) FROM heads
   UNION ALL SELECT 'order_items', count(*), count(*) FILTER (WHERE product_id IN (SELECT id FROM kept_products)
     AND inventory_item_id IN (SELECT id FROM kept_stock)) FROM items
-  UNION ALL SELECT 'events', count(*), count(*) FROM events)
+  UNION ALL SELECT 'events', count(*), count(*) FROM events)"""
+SQL["run_log"] = f"""WITH {LOAD_COUNTS}
 SELECT *, rows_in - rows_out AS rows_dropped, rows_out AS inserted, 0 AS updated, 0 AS unchanged FROM counts"""
+# Stock is loaded past its high watermark only.
+SQL["load_twice"] = f"""WITH {LOAD_COUNTS}
+SELECT table_name, rows_in * looked AS rows_in, rows_out * looked AS rows_out, 0 AS inserted, 0 AS updated, rows_out * looked AS unchanged
+FROM (SELECT *, (table_name <> 'inventory_items')::INT AS looked FROM counts)"""
+
+DELIVERED_SINCE = "2001-01-01"
+
+
+def delivery(name: str, source: str, key: str, number: str, value: str) -> str:
+    """CTEs of a later delivery ``{name}_d`` matched with the table, ``{name}_j``: its rows with what they were."""
+    return f"""
+{name}_t AS (SELECT *, {key} AS k, {value} AS v FROM {source}),
+{name}_d AS (
+  SELECT CASE WHEN ({number}) % 5 = 0 THEN -k - 1 ELSE k END AS k, CASE WHEN ({number}) % 11 = 0 THEN v + 1 ELSE v END AS v,
+    CASE WHEN ({number}) % 7 = 0 THEN created_at + INTERVAL 31 DAY ELSE created_at END AS created_at, k AS from_k
+  FROM {name}_t WHERE created_at >= TIMESTAMP '{DELIVERED_SINCE}' AND ({number}) % 3 = 0),
+{name}_j AS (
+  SELECT d.*, t.created_at AS was, t.k IS NULL AS fresh,
+    t.k IS NOT NULL AND (t.created_at IS DISTINCT FROM d.created_at OR t.v IS DISTINCT FROM d.v) AS changed
+  FROM {name}_d d LEFT JOIN {name}_t t ON t.k = d.k)"""
+
+
+def month_counts(name: str, label: str) -> str:
+    month = "date_trunc('month', {})"
+    return f"""
+SELECT '{label}' AS table_name, run::INT AS run, CASE run WHEN 1 THEN inserted ELSE 0 END AS inserted,
+  CASE run WHEN 1 THEN updated ELSE 0 END AS updated, CASE run WHEN 1 THEN n - inserted - updated ELSE n END AS unchanged,
+  CASE run WHEN 1 THEN moved ELSE 0 END AS moved, CASE run WHEN 1 THEN months ELSE 0 END AS months,
+  CASE run WHEN 1 THEN rows_written ELSE 0 END AS rows_written, months_stored
+FROM (SELECT unnest([1, 2]) AS run), (
+  SELECT count(*) FILTER (WHERE fresh) AS inserted, count(*) FILTER (WHERE changed) AS updated, count(*) AS n,
+    count(*) FILTER (WHERE changed AND {month.format('was')} <> {month.format('created_at')}) AS moved FROM {name}_j), (
+  SELECT count(*) AS months FROM {name}_m), (
+  SELECT count(*) FILTER (WHERE month IN (SELECT month FROM {name}_m)) AS rows_written, count(DISTINCT month) AS months_stored FROM {name}_f)"""
+
+
+def month_ctes(name: str) -> str:
+    """``{name}_m``: months that change; ``{name}_f``: months of all rows afterwards."""
+    return f"""
+{name}_m AS (SELECT date_trunc('month', created_at) AS month FROM {name}_j WHERE fresh OR changed
+  UNION SELECT date_trunc('month', was) FROM {name}_j WHERE changed),
+{name}_f AS (SELECT date_trunc('month', created_at) AS month FROM {name}_t WHERE k NOT IN (SELECT k FROM {name}_j WHERE changed)
+  UNION ALL SELECT date_trunc('month', created_at) FROM {name}_j WHERE fresh OR changed)"""
+
+
+_MONTHLY = {
+    "o": ("orders", "orders_r", "order_id", "order_id", "num_of_item"),
+    "i": ("order_items", "items", "id", "id // 1000", "sale_price"),
+    "s": ("inventory_items", "stock_raw", "id", "id // 1000", "cost"),
+}
+_MONTHLY_CTES = ",".join(delivery(n, *given[1:]) + "," + month_ctes(n) for n, given in _MONTHLY.items())
+_ORDERS_ROLLED = ORDERS_RAW[len(ITEMS_RAW) :]
+SQL["month_merges"] = (
+    f"WITH {STOCK_RAW}{_ORDERS_ROLLED}, {repaired('items_raw', 'items', ITEM_OTHERS)}, orders_r AS (SELECT * FROM orders_raw), {_MONTHLY_CTES} "
+    + " UNION ALL ".join(month_counts(n, given[0]) for n, given in _MONTHLY.items())
+)
+SQL["merged_items"] = f"""WITH {ITEMS}, {delivery("i", "items", "id", "id // 1000", "sale_price")}
+SELECT t.k AS id, t.order_id, t.created_at, t.status, t.v::DOUBLE AS sale_price FROM i_t t WHERE k NOT IN (SELECT k FROM i_j WHERE changed)
+UNION ALL SELECT j.k, t.order_id, j.created_at, t.status, j.v::DOUBLE FROM i_j j JOIN i_t t ON t.k = j.from_k WHERE fresh OR changed"""
 
 # --- maps ----------------------------------------------------------------------------------------
 
@@ -803,13 +863,6 @@ SQL["month_range"] = f"""WITH {CLICKS}
 SELECT id, user_id, created_at, event_type FROM clicks
 WHERE created_at >= TIMESTAMP '{CLICK_SPAN[0]}' AND created_at < TIMESTAMP '{CLICK_SPAN[1]}'"""
 
-SQL["load_twice"] = f"""WITH {PRODUCTS_RAW}, {CENTERS_RAW}, {USERS_RAW}, counts AS (
-  SELECT 'distribution_centers' AS table_name, count(*) AS rows_in, count(*) AS rows_out FROM centers_raw
-  UNION ALL SELECT 'users', count(*), count(*) FROM users_raw
-  UNION ALL SELECT 'products', count(*), count(*) FILTER (WHERE distribution_center_id IN (SELECT id FROM centers_raw))
-    FROM products_raw)
-SELECT *, 0 AS inserted, 0 AS updated, rows_out AS unchanged FROM counts"""
-
 # The approximate search has no rows that SQL could state, but a share of the exact ones that it must reach.
 SQL["similar_ann_recall"] = "SELECT true AS reached"
 

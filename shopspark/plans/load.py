@@ -2,8 +2,9 @@
 
 One step per table: choose new rows, clean, drop broken references, stage, check,
 merge. The batch is staged once as Parquet; counts and row rules are observed
-while it is written, and uniqueness then reads only its key columns. The merge
-writes the next version of the table and counts its actions on the way.
+while it is written, and uniqueness then reads only its key columns. Tables with a
+history are kept by month and a merge rewrites the months it changes; of the others it
+writes the next version. Actions are counted on the way.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import functions as F
 from shopspark.operators.contracts import Contract, ContractViolation, row_counters, surplus_keys
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, warn_orphans
-from shopspark.operators.merge import ACTION, INSERT, KEEP, UNCHANGED, UPDATE, MergeSpec, merge, require_unique, spec_for
+from shopspark.operators.merge import ACTION, INSERT, UPDATE, MergeSpec, merge, require_unique, spec_for
 from shopspark.operators.rulebook import CONTRACTS
 from shopspark.operators.transforms import clean
+from shopspark.plans.monthly import NOTHING, merge_months, observed_changes
 from shopspark.plans.runlog import RunLog, Step
 from shopspark.schemas import TABLES
 from shopspark.session import size_shuffles
-from shopspark.sources.layout import by_month, clustered, with_month
+from shopspark.sources.layout import clustered
+from shopspark.sources.monthly import MonthlyTable
 from shopspark.sources.raw import allow_listed, read_raw
 from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import scratch_path
@@ -35,7 +38,13 @@ log = logging.getLogger(__name__)
 
 ORDER = ("distribution_centers", "users", "products", "inventory_items", "orders", "order_items", "events")
 LOOKBACK_DAYS = 180
-MONTHLY = ("events",)
+# Tables kept by month of their creation, with the columns that get a bloom filter.
+MONTHLY: dict[str, tuple[str, ...]] = {
+    "inventory_items": ("id",),
+    "orders": ("order_id",),
+    "order_items": ("id", "order_id"),
+    "events": ("id",),
+}
 
 # Foreign keys: (column, referenced table, referenced column).
 REFERENCES: dict[str, tuple[tuple[str, str, str], ...]] = {
@@ -150,55 +159,30 @@ def stage(df: DataFrame, contract: Contract, fks: Sequence[ForeignKey] = ()) ->
     return batch, staged
 
 
-def _observed(merged: DataFrame) -> tuple[DataFrame, Observation]:
-    """Count actions in the tasks that write, so a repeated earlier stage is not counted twice."""
-    seen = Observation()
-    counters = [F.count(F.when(F.col(ACTION) == a, 1)).alias(a) for a in (INSERT, UPDATE, UNCHANGED, KEEP)]
-    return merged.observe(seen, *counters).drop(ACTION), seen
-
-
-NOTHING = {INSERT: 0, UPDATE: 0, UNCHANGED: 0, KEEP: 0}
+def open_table(spark: SparkSession, target_root: str, name: str) -> VersionedTable | MonthlyTable:
+    """The stored form of a business table."""
+    spec = TABLES[name]
+    if name in MONTHLY:
+        return MonthlyTable(spark, target_root, name, spec.schema, sort=spec.order_by, lookup=MONTHLY[name])
+    return VersionedTable(spark, target_root, name, spec.schema)
 
 
 def upsert(table: VersionedTable, batch: DataFrame, spec: MergeSpec, checked: bool = False) -> dict[str, int]:
     """Merge ``batch`` into the stored table; returns rows per action.
 
-    ``checked`` says the batch has rows and its keys are known to be unique. The
-    pointer moves only if something was inserted or updated.
+    ``checked`` says the batch has rows and its keys are known to be unique. What is
+    new or differs is found first, so a batch that changes nothing writes nothing.
     """
     if not checked and batch.isEmpty():
         return dict(NOTHING)
     if not checked:
         require_unique(batch, spec.keys)
     table.create()
-    merged, seen = _observed(merge(table.read(), batch, spec))
-    version = table.stage(merged)
-    counts = dict(seen.get)
+    changed, counts = observed_changes(merge(table.read(), batch, spec), table.name)
     if counts[INSERT] or counts[UPDATE]:
-        table.publish(version)
-    else:
-        table.discard(version)
-    return counts
-
-
-def upsert_months(table: VersionedTable, batch: DataFrame, spec: MergeSpec, checked: bool = False) -> dict[str, int]:
-    """Merge by month of ``created_at``, rewriting only the months the batch touches.
-
-    The time is part of the key, so a row never changes its month.
-    """
-    if not checked and batch.isEmpty():
-        return dict(NOTHING)
-    if not checked:
-        require_unique(batch, spec.keys)
-    # One row per month of data.
-    touched = sorted(r["month"] for r in with_month(batch).select("month").distinct().collect())
-    merged, seen = _observed(by_month(merge(table.read(touched), batch, spec)))
-    version = table.stage_months(merged, "month")
-    counts = dict(seen.get)
-    if counts[INSERT] or counts[UPDATE]:
-        table.publish_months(version, touched)
-    else:
-        table.discard(version)
+        replaced = changed.where(F.col(ACTION) == UPDATE).select(*spec.keys)
+        kept = table.read().join(replaced, list(spec.keys), "left_anti")
+        table.replace(kept.select(*table.schema.names).unionByName(changed.drop(ACTION)))
     return counts
 
 
@@ -215,8 +199,8 @@ def load_table(
     """One step of the load."""
     step = step or Step(table)
 
-    def opened(name: str) -> VersionedTable:
-        return VersionedTable(spark, target_root, name, TABLES[name].schema)
+    def opened(name: str) -> VersionedTable | MonthlyTable:
+        return open_table(spark, target_root, name)
 
     target = opened(table)
     before = target.read() if target.exists() else None
@@ -228,8 +212,13 @@ def load_table(
         log.warning("%s: rows left out for missing references: %s", table, staged.losses)
         for fk in (fk for fk in fks if staged.losses.get(fk.label)):
             warn_orphans(cleaned, fk, show=TABLES[table].keys[0])
-    write = upsert_months if table in MONTHLY else upsert
-    step.actions = write(target, batch, spec_for(table, TABLES), checked=True) if staged.rows_out else dict(NOTHING)
+    spec = spec_for(table, TABLES)
+    if not staged.rows_out:
+        step.actions = dict(NOTHING)
+    elif isinstance(target, MonthlyTable):
+        step.actions = merge_months(target, batch, spec, checked=True).actions
+    else:
+        step.actions = upsert(target, batch, spec, checked=True)
     step.status = "loaded" if step.rows_out else "empty"
     return step.actions
 
@@ -262,29 +251,30 @@ def load_all(
     for table in (t for t in ORDER if t in wanted):
         with run.step(table) as step:
             contract = (contracts or {}).get(table)
-            load_table(spark, reader(table), table, target_root, as_of, lookback, contract, step)
+            actions = load_table(spark, reader(table), table, target_root, as_of, lookback, contract, step)
+            if actions[INSERT] or actions[UPDATE]:
+                finish_layout(spark, target_root, [table])
     return run
 
 
 def finish_layout(spark: SparkSession, target_root: str, tables: Iterable[str] = ORDER) -> None:
-    """After a load: rewrite tables ranged by their hot filter columns.
+    """After a change: rewrite tables ranged by their hot filter columns, if they have any.
 
     Monthly tables are laid out while they are written.
     """
-    for name in tables:
-        spec = TABLES[name]
-        table = VersionedTable(spark, target_root, name, spec.schema)
-        if name not in MONTHLY and spec.order_by and table.exists():
-            table.replace(clustered(table.read(), [*spec.order_by, *spec.keys]))
+    for name in (t for t in tables if t not in MONTHLY and TABLES[t].order_by):
+        table = open_table(spark, target_root, name)
+        if table.exists():
+            table.replace(clustered(table.read(), [*TABLES[name].order_by, *TABLES[name].keys]))
 
 
 def set_up(spark: SparkSession, target_root: str, tables: Iterable[str] = ORDER) -> None:
     """Create the tables that do not exist yet, empty."""
     for name in tables:
         if name not in MONTHLY:
-            VersionedTable(spark, target_root, name, TABLES[name].schema).create()
+            open_table(spark, target_root, name).create()
 
 
 def stored_table(spark: SparkSession, target_root: str, name: str) -> DataFrame:
     """Read back a loaded table."""
-    return VersionedTable(spark, target_root, name, TABLES[name].schema).read()
+    return open_table(spark, target_root, name).read()

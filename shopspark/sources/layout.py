@@ -7,19 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def with_month(df: DataFrame, column: str = "created_at") -> DataFrame:
-    return df.withColumn("month", F.date_format(F.date_trunc("month", column), "yyyy-MM-dd"))
-
-
-def by_month(df: DataFrame, cluster_by: str = "session_id", newest: str = "created_at") -> DataFrame:
-    """Rows ready for a ``partitionBy("month")`` write.
-
-    Rebalancing splits a huge month over tasks by its measured size and joins
-    small ones; within a file a cluster is together and newest first.
-    """
-    monthly = with_month(df, newest).hint("rebalance", F.col("month"))
-    return monthly.sortWithinPartitions("month", F.col(cluster_by), F.desc(newest))
-
 
 def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows ranged and sorted by the hot filter columns, for tight min/max statistics.

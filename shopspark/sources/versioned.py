@@ -1,9 +1,9 @@
-"""Tables that are replaced as a whole or by month, without touching files in use.
+"""Tables that are replaced as a whole, without touching files in use.
 
 Every write goes to a new folder. A small pointer file says which folder is
-current for each part of the table (one part, or one per month). Readers that
-opened the old folders are not disturbed, and a failed job leaves the pointer as
-it was.
+current. Readers that opened the old folder are not disturbed, and a failed job
+leaves the pointer as it was. Tables with a history are kept by month instead
+(``shopspark.sources.monthly``).
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WHOLE = ""
@@ -56,21 +55,6 @@ class VersionedTable:
 
     # --- reading and writing ---
 
-    def read_between(self, column: str, low, high) -> DataFrame:
-        """Rows with ``low <= column < high`` of a table kept by month of that time.
-
-        Only the months that the bound meets are listed and read.
-        """
-        months = [p for p in self.parts() if p and str(low)[:7] <= p[:7] <= str(high)[:7]]
-        time = F.col(column)
-        return self.read(months).where((time >= F.lit(low)) & (time < F.lit(high)))
-
-    def discard(self, version: int) -> None:
-        """Delete a staged version that was not published."""
-        if version not in self.parts().values():
-            fs, path = self._fs(f"{self.path}/v={version}")
-            fs.delete(path, True)
-
     def exists(self) -> bool:
         return bool(self.parts())
 
@@ -79,17 +63,14 @@ class VersionedTable:
         if not self.exists():
             self.replace(self.spark.createDataFrame([], self.schema))
 
-    def folder(self, part: str, version: int) -> str:
-        return f"{self.path}/v={version}" + (f"/month={part}" if part else "")
+    def folder(self, version: int) -> str:
+        return f"{self.path}/v={version}"
 
-    def read(self, parts: list[str] | None = None) -> DataFrame:
-        """The current rows, or those of some months."""
-        current = self.parts()
-        wanted = current if parts is None else {p: current[p] for p in parts if p in current}
-        if not wanted:
+    def read(self) -> DataFrame:
+        """The current rows."""
+        if not self.exists():
             return self.spark.createDataFrame([], self.schema)
-        folders = [self.folder(part, version) for part, version in wanted.items()]
-        return self.spark.read.schema(self.schema).parquet(*folders)
+        return self.spark.read.schema(self.schema).parquet(self.folder(self.parts()[WHOLE]))
 
     def versions(self) -> list[int]:
         """Numbers of all version folders, current or not."""
@@ -119,30 +100,11 @@ class VersionedTable:
     def replace(self, df: DataFrame) -> int:
         """Make ``df`` the whole table."""
         version = self.next_version()
-        df.write.parquet(self.folder(WHOLE, version))
-        self._point({WHOLE: version})
-        return version
-
-    def stage(self, df: DataFrame) -> int:
-        """Write a version that is not current yet; ``publish`` makes it so."""
-        version = self.next_version()
-        df.write.parquet(self.folder(WHOLE, version))
-        return version
-
-    def publish(self, version: int) -> None:
+        df.write.parquet(self.folder(version))
         self._point({WHOLE: version})
-
-    def stage_months(self, df: DataFrame, month: str) -> int:
-        """Write rows split by the ``month`` column; other months stay as they are."""
-        version = self.next_version()
-        df.write.partitionBy(month).parquet(f"{self.path}/v={version}")
         return version
 
-    def publish_months(self, version: int, months: list[str]) -> None:
-        current = {p: v for p, v in self.parts().items() if p != WHOLE}
-        self._point({**current, **{m: version for m in months}})
-
     def append(self, df: DataFrame) -> None:
         """Plain append to the current version of an unpartitioned table."""
         self.create()
-        df.select(*self.schema.names).write.mode("append").parquet(self.folder(WHOLE, self.parts()[WHOLE]))
+        df.select(*self.schema.names).write.mode("append").parquet(self.folder(self.parts()[WHOLE]))
