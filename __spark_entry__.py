@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import oracles
 from shopspark.domain import FAULTS, RAW, center_span, faulty, item_columns, order_heads, product_columns, shop, with_faults
-from shopspark.operators import embedding, knn
+from shopspark.operators import embedding, knn, name_index, vector_codes
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
@@ -30,9 +30,10 @@ from shopspark.plans.monthly import merge_months
 from shopspark.schemas import TABLES
 from shopspark.session import configure
 from shopspark.sources.raw import scan, scan_stream
+from shopspark.sources import zorder
 from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import materialize, scratch_path
-from shopspark.streaming import ingest, metrics
+from shopspark.streaming import ingest, joins, metrics, sessions
 
 try:
     from shopspark.llm.queries import QUERIES as TEXT_QUERIES, SQL as TEXT_SQL
@@ -411,6 +412,15 @@ def within_radius(spark, root):
     return pairs.select("user_id", "center_id", F.round(F.col("distance_m") / 1000, 3).alias("distance_km"))
 
 
+@query
+def users_in_circle(spark, root):
+    """Users around a place, from points laid out along a Z-order curve."""
+    path = scratch_path(spark, "along-curve")
+    zorder.write_along_curve(shop(spark, root, "users").select("id", "latitude", "longitude"), path)
+    found = zorder.read_circle(spark, path, *oracles.CIRCLE)
+    return found.select("id", F.round(F.col("distance_m") / 1000, 3).alias("distance_km"))
+
+
 @query
 def nearest_dc(spark, root):
     found = nearest(shop(spark, root, "users"), shop(spark, root, "distribution_centers"))
@@ -438,16 +448,15 @@ def embed(spark, root):
     return cells.filter(F.col("weight") != 0).withColumn("weight", F.round(F.col("weight").cast("double"), 5))
 
 
-def label_heads(vectors):
-    """One query per label: its first vector."""
-    firsts = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"), F.min("vec_id").alias("id"))
-    return firsts.select("id", "embedding")
+def asked(vectors):
+    """The queries of the vector searches: every vector whose number is divisible by 20."""
+    return vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("id"), "embedding")
 
 
 @query
 def similar(spark, root):
     vectors = scan(spark, root, "embeddings")
-    found = knn.similar(vectors, label_heads(vectors), 10, key="vec_id", query_key="id", skip_self=True)
+    found = knn.similar(vectors, asked(vectors), 10, key="vec_id", query_key="id", skip_self=True)
     return found.withColumn("distance", F.round("distance", 6))
 
 
@@ -456,7 +465,7 @@ def cell_search(spark, root):
     index = knn.build_index(vectors, scratch_path(spark, "vector-cells"), key="vec_id")
     # The test vectors lie nearly evenly on the sphere: nine tenths of the neighbours need most cells.
     probes = -(-len(index.centroids) * 17 // 20)
-    return knn.similar_ann(index, label_heads(vectors), 10, probes=probes, skip_self=True)
+    return knn.similar_ann(index, asked(vectors), 10, probes=probes, skip_self=True)
 
 
 @query
@@ -478,10 +487,30 @@ def similar_ann(spark, root):
 
 @query
 def similar_ann_recall(spark, root):
-    """Whether the cell search finds nine tenths of the exact neighbours."""
+    """The share of the exact neighbours that the cell search finds."""
+    vectors = scan(spark, root, "embeddings")
+    exact = knn.similar(vectors, asked(vectors), 10, key="vec_id", query_key="id", skip_self=True)
+    return knn.recall(cell_search(spark, root), exact)
+
+
+def code_search(spark, root, k=10):
+    """Search by codes; the first list is a fifth of the vectors at most."""
+    vectors = scan(spark, root, "embeddings")
+    index = vector_codes.build_codes(vectors, scratch_path(spark, "vector-codes"), key="vec_id")
+    return vector_codes.similar_by_codes(index, asked(vectors), k, skip_self=True)
+
+
+@query
+def similar_codes(spark, root):
+    return code_search(spark, root).withColumn("distance", F.round("distance", 6))
+
+
+@query
+def similar_codes_recall(spark, root):
+    """The share of the exact neighbours that the search by codes finds."""
     vectors = scan(spark, root, "embeddings")
-    exact = knn.similar(vectors, label_heads(vectors), 10, key="vec_id", query_key="id", skip_self=True)
-    return knn.recall(cell_search(spark, root), exact).select((F.col("recall") >= 0.9).alias("reached"))
+    exact = knn.similar(vectors, asked(vectors), 10, key="vec_id", query_key="id", skip_self=True)
+    return knn.recall(code_search(spark, root), exact)
 
 
 @query
@@ -500,6 +529,16 @@ def name_search(spark, root):
     return found.select("id", "name", "brand", "category", F.round("score", 6).alias("score"), "contains_text")
 
 
+@query
+def indexed_names(spark, root):
+    """Names, brands and categories alike to the name of every twentieth product, through the stored trigram index."""
+    products = shop(spark, root, "products")
+    index = name_index.build_name_index(products, scratch_path(spark, "names"))
+    questions = products.where(F.col("id") % 20 == 0).select(F.col("name").alias("question"))
+    found = name_index.alike_texts(index, questions, oracles.NAME_LIMIT)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query
 def ci_match(spark, root):
     """Users per city written in mixed case."""
@@ -569,6 +608,58 @@ def stream_dedup(spark, root):
     return spark.read.schema(once.schema).parquet(path)
 
 
+def click_deliveries(spark, root):
+    """The clicks in three deliveries by time; some of the first days come with the second one."""
+    clicks = scan(spark, root, "events").select("event_id", "user_id", "ts", "event_type")
+    first, second = (F.lit(day).cast("timestamp") for day in oracles.DELIVERY_DAYS)
+    tardy = (F.col("ts") < F.lit(oracles.TARDY_BEFORE).cast("timestamp")) & (F.col("event_id") % oracles.TARDY_EVERY == 0)
+    number = F.when((F.col("ts") < first) & ~tardy, 1).when((F.col("ts") < second) | tardy, 2).otherwise(3)
+    numbered = materialize(clicks.withColumn("delivery", number), "clicks")
+    return [numbered.where(F.col("delivery") == n).drop("delivery") for n in (1, 2, 3)]
+
+
+def delivered(spark, parts, names, flow):
+    """Append one delivery after the other to the folders of the streams; after each, run ``flow`` on from its checkpoint."""
+    folders = [scratch_path(spark, f"feed-{name}") for name in names]
+    out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "checkpoint")
+    for given in parts:
+        for folder, rows in zip(folders, given):
+            rows.write.mode("append").parquet(folder)
+        streams = [spark.readStream.schema(rows.schema).parquet(folder) for folder, rows in zip(folders, given)]
+        result = flow(*streams)
+        ingest.append_to(result, out, checkpoint)
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query
+def stream_closed_sessions(spark, root):
+    """Sessions in streaming state, written when the watermark has passed them, over three runs of the stream."""
+    sessions.fold_locally(spark)
+    return delivered(spark, [[part] for part in click_deliveries(spark, root)], ["clicks"], sessions.closed_sessions)
+
+
+@query
+def stream_late_clicks(spark, root):
+    """The clicks that came too late for a session."""
+    late = delivered(spark, [[part] for part in click_deliveries(spark, root)], ["clicks"], sessions.late_clicks)
+    return late.select("event_id", "user_id", "ts")
+
+
+@query
+def stream_item_heads(spark, root):
+    """Items and heads of orders from two streams; items of unknown orders go out once their time is over."""
+    items = faulty(spark, root, "order_items").select(
+        "id", "order_id", (F.col("created_at") + F.expr("make_interval(0, 0, 0, 0, cast(id % 5 + 1 as int), 0, 0)")).alias("placed_at"), "sale_price"
+    )
+    items, heads = materialize(items, "items"), materialize(order_heads(spark, root), "heads")
+    items_day, heads_day = (F.lit(day).cast("timestamp") for day in oracles.ORDER_DAYS)
+    parts = [
+        [items.where(F.col("placed_at") < items_day), heads.where(F.col("created_at") < heads_day)],
+        [items.where(F.col("placed_at") >= items_day), heads.where(F.col("created_at") >= heads_day)],
+    ]
+    return delivered(spark, parts, ["items", "heads"], joins.items_with_heads)
+
+
 @query
 def stream_upsert(spark, root):
     """A stream of deliveries merged into stored products."""

@@ -739,6 +739,12 @@ USER_CENTER_PAIRS = f"""{CENTERS_RAW}, {USERS_RAW}, pairs AS (
 SQL["within_radius"] = f"""WITH {USER_CENTER_PAIRS}
 SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM measured WHERE m <= 2500000"""
 
+# Across the date line.
+CIRCLE = (-12.5, 176.0, 3_000_000.0)
+SQL["users_in_circle"] = f"""WITH {USERS_RAW},
+{geodesic("users_raw", "placed", "latitude", "longitude", f"{CIRCLE[0]}::DOUBLE", f"{CIRCLE[1]}::DOUBLE")}
+SELECT id, round(m / 1000, 3) AS distance_km FROM placed WHERE m <= {CIRCLE[2]}"""
+
 SQL["nearest_dc"] = f"""WITH {USER_CENTER_PAIRS}
 SELECT user_id, center_id, round(m / 1000, 3) AS distance_km FROM measured
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY m, center_id) = 1"""
@@ -775,7 +781,7 @@ SQL["embed"] = f"""WITH {hashed_words('documents', 'doc_id', 'text')}
 SELECT doc_id, cell, round(weight::FLOAT::DOUBLE, 5) AS weight FROM weights"""
 
 SQL["similar"] = """
-WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label),
+WITH q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0),
 p AS (
   SELECT q.query_id, e.vec_id AS id,
     round(1 - list_cosine_similarity(e.embedding::DOUBLE[], s.embedding::DOUBLE[]), 10) AS distance
@@ -809,8 +815,8 @@ def grams(text: str) -> str:
     lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
 
 
-def alike(column: str) -> str:
-    a, b = grams(column), grams(f"'{NAME_QUERY}'")
+def alike(column: str, text: str = f"'{NAME_QUERY}'") -> str:
+    a, b = grams(column), grams(text)
     shared = f"length(list_intersect({a}, {b}))"
     return f"({shared}::DOUBLE / (length({a}) + length({b}) - {shared}))"
 
@@ -822,6 +828,14 @@ SQL["name_search"] = f"""WITH {PRODUCTS_RAW}, s AS (
 SELECT id, name, brand, category, round(score, 6) AS score, contains_text FROM s
 WHERE score >= {NAME_LIMIT} OR contains_text"""
 
+SQL["indexed_names"] = f"""WITH {PRODUCTS_RAW}, texts AS (
+  SELECT field, text, count(*) AS rows FROM (
+    SELECT unnest(['name', 'brand', 'category']) AS field, unnest([name, brand, category]) AS text FROM products_raw)
+  WHERE text IS NOT NULL GROUP BY ALL),
+questions AS (SELECT DISTINCT name AS question FROM products_raw WHERE id % 20 = 0 AND name IS NOT NULL),
+scored AS (SELECT question, field, text, rows, {alike('text', 'question')} AS score FROM questions, texts)
+SELECT question, field, text, rows, round(score, 6) AS score FROM scored WHERE score >= {NAME_LIMIT}"""
+
 SQL["ci_match"] = f"""WITH {USERS_RAW}
 SELECT lower(city) AS city, count(*) AS rows FROM users_raw GROUP BY 1"""
 
@@ -863,8 +877,27 @@ SQL["month_range"] = f"""WITH {CLICKS}
 SELECT id, user_id, created_at, event_type FROM clicks
 WHERE created_at >= TIMESTAMP '{CLICK_SPAN[0]}' AND created_at < TIMESTAMP '{CLICK_SPAN[1]}'"""
 
-# The approximate search has no rows that SQL could state, but a share of the exact ones that it must reach.
-SQL["similar_ann_recall"] = "SELECT true AS reached"
+# Deliveries of clicks: limits of the first and the second, and the clicks of the first days that come with the second.
+DELIVERY_DAYS = ("2024-01-11", "2024-01-21")
+TARDY_BEFORE, TARDY_EVERY = "2024-01-06", 50
+TARDY = f"(ts < TIMESTAMP '{TARDY_BEFORE}' AND event_id % {TARDY_EVERY} = 0)"
+# Two days after its last click a session is closed; its gap is 12 hours.
+SQL["stream_closed_sessions"] = f"""WITH timely AS (SELECT * FROM events WHERE NOT {TARDY}),
+{EVENTS_RAW.replace("FROM events WINDOW", "FROM timely WINDOW")}, s AS (
+  SELECT user_id, sn, min(ts) AS started_at, max(ts) AS last_at, count(*) AS clicks,
+    max((event_type = 'click')::INT) AS has_cart, max((event_type = 'purchase')::INT) AS has_purchase,
+    max((event_type = 'view')::INT) AS has_product_view FROM numbered_sessions WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, started_at, last_at, clicks, has_cart, has_purchase, has_product_view FROM s
+WHERE last_at + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY"""
+SQL["stream_late_clicks"] = f"SELECT event_id, user_id, ts FROM events WHERE user_id IS NOT NULL AND {TARDY}"
+
+# The first delivery of items ends a day before that of heads.
+ORDER_DAYS = ("1999-01-01", "1999-01-02")
+SQL["stream_item_heads"] = f"""WITH {ITEMS_BAD}, given AS (
+  SELECT id, order_id, created_at + to_hours((id % 5 + 1)::INT) AS placed_at, sale_price::DOUBLE AS sale_price FROM items_bad)
+SELECT i.*, h.user_id, h.status AS head_status, CASE WHEN h.order_id IS NULL THEN 'missing order' END AS reason
+FROM given i LEFT JOIN heads h ON h.order_id = i.order_id
+WHERE h.order_id IS NOT NULL OR i.placed_at <= (SELECT max(created_at) FROM heads) - INTERVAL 12 HOUR"""
 
 BRANDS, PRICE_SPAN = ("Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#31"), (900.0, 1500.0)
 SQL["similar_products"] = f"""WITH {PRODUCTS_RAW}, docs AS (

@@ -41,8 +41,8 @@ def _work_off(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, i
     query.awaitTermination()
 
 
-def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append finished rows to Parquet files, exactly once."""
+def append_to(stream: DataFrame, path: str, checkpoint: str) -> list:
+    """Append finished rows to Parquet files, exactly once; returns the progress of the batches."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -52,6 +52,7 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> None:
         .start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 def latest_per_key(batch: DataFrame, keys: Sequence[str], newest: str) -> DataFrame:
