@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import oracles
 from shopspark.domain import FAULTS, RAW, center_span, faulty, item_columns, order_heads, product_columns, shop, with_faults
-from shopspark.operators import embedding, knn, name_index, vector_codes
+from shopspark.operators import embedding, knn, name_index, sketches, vector_codes
 from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
@@ -24,7 +24,7 @@ from shopspark.operators.quantiles import with_ntiles
 from shopspark.operators.radius import nearest, radius_join
 from shopspark.operators.rulebook import CONTRACTS, strict_contract
 from shopspark.operators.transforms import clean
-from shopspark.plans import customers, products, sales, search, web
+from shopspark.plans import changes, customers, products, sales, search, web
 from shopspark.plans.load import load_all, open_table
 from shopspark.plans.monthly import merge_months
 from shopspark.schemas import TABLES
@@ -117,6 +117,18 @@ def product_360(spark, root):
     )
 
 
+@query
+def buyer_spans(spark, root):
+    """Distinct buyers of 30, 90 and 365 days from each month on: exact, and whether the daily sketches come near."""
+    items = materialize(shop(spark, root, "order_items").select("user_id", "created_at"), "buyers")
+    daily = materialize(sketches.daily_sketches(items, "user_id"), "daily-sketches")
+    starts = daily.select(F.trunc("day", "month").alias("start")).distinct()
+    spans = starts.withColumn("days", F.explode(F.array(*[F.lit(n) for n in oracles.SPANS])))
+    both = sketches.exact_spans(items, "user_id", spans).join(sketches.span_estimates(daily, spans), ["start", "days"])
+    near = F.abs(F.col("estimate") - F.col("exact")) <= sketches.BOUND * F.col("exact")
+    return both.select("start", "days", F.col("exact").alias("buyers"), near.alias("sketch_near"))
+
+
 @query
 def stock_aging_before_sale(spark, root):
     return products.stock_aging_before_sale(shop(spark, root, "inventory_items"))
@@ -284,6 +296,23 @@ def upsert_insert_only(spark, root):
     return merged.select("id", "brand", F.col("_action").alias("action"))
 
 
+@query
+def daily_by_changes(spark, root):
+    """Daily sums of items after two merges, from the sums before and the rows the merges changed."""
+    table, keys = open_table(spark, scratch_path(spark, "monthly"), "order_items"), MergeSpec(keys=("id",))
+    merge_months(table, shop(spark, root, "order_items"), keys, checked=True)
+    sums = materialize(changes.daily_item_sums(table.read()), "daily-sums")
+    cancelled = F.when(F.expr("abs(id) div 1000 % 4 = 0"), "Cancelled").otherwise(F.col("status"))
+    since = F.col("created_at") >= F.lit(oracles.CANCELLED_SINCE).cast("timestamp")
+    for deliver in (
+        lambda stored: later_delivery(stored, "order_items"),
+        lambda stored: stored.where(since).withColumn("status", cancelled),
+    ):
+        _, signed = changes.merge_with_changes(table, materialize(deliver(table.read()), "delivery"), keys)
+        sums = materialize(changes.fold_daily(sums, signed), "daily-sums")
+    return sums
+
+
 @query
 def ntile_distributed(spark, root):
     orders = scan(spark, root, "orders").select(

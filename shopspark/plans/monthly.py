@@ -74,6 +74,11 @@ def merge_months(table: MonthlyTable, batch: DataFrame, spec: MergeSpec, checked
     changed, actions = changed_rows(table, batch, spec)
     if not actions[INSERT] + actions[UPDATE]:
         return MonthlyMerge(actions)
+    return overwrite_changed(table, changed, actions, spec)
+
+
+def overwrite_changed(table: MonthlyTable, changed: DataFrame, actions: dict[str, int], spec: MergeSpec) -> MonthlyMerge:
+    """Write the months that ``changed`` names: what stays in them and the changed rows."""
     left, met = _months(changed), _months(changed, GOES_TO)
     touched = sorted({*left, *met})
     names = table.schema.names
