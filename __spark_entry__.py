@@ -296,6 +296,15 @@ def upsert_insert_only(spark, root):
     return merged.select("id", "brand", F.col("_action").alias("action"))
 
 
+@query
+def order_lookup(spark, root):
+    """The items of one order, found in the monthly files by the bloom filters on its number."""
+    table = open_table(spark, scratch_path(spark, "monthly"), "order_items")
+    merge_months(table, shop(spark, root, "order_items"), MergeSpec(), checked=True)
+    found = table.read().where(F.col("order_id") == oracles.LOOKED_UP)
+    return found.select("id", "order_id", "product_id", "status", "sale_price")
+
+
 @query
 def daily_by_changes(spark, root):
     """Daily sums of items after two merges, from the sums before and the rows the merges changed."""

@@ -674,6 +674,10 @@ SQL["merged_items"] = f"""WITH {ITEMS}, {delivery("i", "items", "id", "id // 100
 SELECT t.k AS id, t.order_id, t.created_at, t.status, t.v::DOUBLE AS sale_price FROM i_t t WHERE k NOT IN (SELECT k FROM i_j WHERE changed)
 UNION ALL SELECT j.k, t.order_id, j.created_at, t.status, j.v::DOUBLE FROM i_j j JOIN i_t t ON t.k = j.from_k WHERE fresh OR changed"""
 
+LOOKED_UP = 777
+SQL["order_lookup"] = f"""WITH {ITEMS}
+SELECT id, order_id, product_id, status, sale_price::DOUBLE AS sale_price FROM items WHERE order_id = {LOOKED_UP}"""
+
 CANCELLED_SINCE = "2001-04-01"
 SQL["daily_by_changes"] = f"""WITH merged AS ({SQL["merged_items"]}),
 final AS (SELECT *, CASE WHEN created_at >= TIMESTAMP '{CANCELLED_SINCE}' AND (abs(id) // 1000) % 4 = 0 THEN 'Cancelled' ELSE status END AS state

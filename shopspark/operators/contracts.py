@@ -69,7 +69,11 @@ def surplus_keys(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
 
 
 def violations(df: DataFrame, contract: Contract) -> DataFrame:
-    """One row (rule, violations) per rule of the contract, in one job."""
+    """One row (rule, violations) per rule of the contract.
+
+    Row rules and totals are counted in one pass; each uniqueness rule reads its key
+    columns once more. The load counts row rules while it writes (``plans.load.stage``).
+    """
     if not contract.names:
         raise ValueError(f"{contract.table}: the contract has no rules")
     parts = []

@@ -75,10 +75,13 @@ def mark_drops(df: DataFrame, fks: Sequence[ForeignKey]) -> DataFrame:
     return rows.withColumn("dropped_by", verdict).drop(*[f"_ok{i}" for i in range(len(fks))])
 
 
-def warn_orphans(df: DataFrame, fk: ForeignKey, show: str, sample: int = 50) -> int:
-    """Log how many rows lose their reference and a few of them; the load goes on."""
+def warn_orphans(df: DataFrame, fk: ForeignKey, show: str, sample: int = 50, count: int | None = None) -> int:
+    """Log how many rows lose their reference and a few of them; the load goes on.
+
+    ``count`` is their number where it is known already.
+    """
     lost = orphans(df, fk)
-    count = lost.count()
+    count = lost.count() if count is None else count
     if count:
         examples = [row[0] for row in lost.select(show).limit(sample).collect()]
         log.warning("%s: %d rows without a match are left out, such as %s", fk.label, count, examples)

@@ -46,10 +46,7 @@ def lower_key(column: str) -> tuple[Rule, ...]:
     return ((lambda df: F.lower(df[column])),)
 
 
-def _missing(**columns: str) -> dict[str, Rule]:
-    return {f"{name}_missing": missing(column) for name, column in columns.items()}
-
-
+# The names of the rules.
 _COORDINATES = {
     "lat_out_range": outside("latitude", -90, 90),
     "lon_out_range": outside("longitude", -180, 180),
@@ -66,7 +63,7 @@ CONTRACTS: dict[str, Contract] = {
         Contract(
             "users",
             rows={
-                **_missing(id="id", created="created_at"),
+                "id_missing": missing("id"), "created_missing": missing("created_at"),
                 "age_invalid": below("age", 0),
                 "gender_invalid": not_in("gender", GENDERS),
                 **_COORDINATES,
@@ -75,13 +72,13 @@ CONTRACTS: dict[str, Contract] = {
         ),
         Contract(
             "distribution_centers",
-            rows={**_missing(id="id", name="name"), **_COORDINATES},
+            rows={"id_missing": missing("id"), "name_missing": missing("name"), **_COORDINATES},
             unique={"id_duplicated": key("id"), "name_duplicates": lower_key("name")},
         ),
         Contract(
             "products",
             rows={
-                **_missing(id="id", cost="cost", price="retail_price", sku="sku"),
+                "id_missing": missing("id"), "cost_missing": missing("cost"), "price_missing": missing("retail_price"), "sku_missing": missing("sku"),
                 "cost_negative": at_most("cost", 0),
                 "price_negative": below("retail_price", 0),
             },
@@ -90,19 +87,7 @@ CONTRACTS: dict[str, Contract] = {
         Contract(
             "inventory_items",
             rows={
-                **_missing(
-                    id="id",
-                    prod_id="product_id",
-                    dist_center="product_distribution_center_id",
-                    created="created_at",
-                    cost="cost",
-                    price="product_retail_price",
-                    category="product_category",
-                    name="product_name",
-                    brand="product_brand",
-                    dept="product_department",
-                    sku="product_sku",
-                ),
+                "id_missing": missing("id"), "prod_id_missing": missing("product_id"), "dist_center_missing": missing("product_distribution_center_id"), "created_missing": missing("created_at"), "cost_missing": missing("cost"), "price_missing": missing("product_retail_price"), "category_missing": missing("product_category"), "name_missing": missing("product_name"), "brand_missing": missing("product_brand"), "dept_missing": missing("product_department"), "sku_missing": missing("product_sku"),
                 "sold_data_invalid": before("sold_at", "created_at"),
                 "cost_negative": below("cost", 0),
                 "price_negative": below("product_retail_price", 0),
@@ -112,9 +97,7 @@ CONTRACTS: dict[str, Contract] = {
         Contract(
             "orders",
             rows={
-                **_missing(
-                    id="order_id", user_id="user_id", status="status", items="num_of_item", created="created_at"
-                ),
+                "id_missing": missing("order_id"), "user_id_missing": missing("user_id"), "status_missing": missing("status"), "items_missing": missing("num_of_item"), "created_missing": missing("created_at"),
                 "status_invalid": not_in("status", STATUSES),
                 "items_invalid": at_most("num_of_item", 0),
                 **_LIFECYCLE,
@@ -124,14 +107,7 @@ CONTRACTS: dict[str, Contract] = {
         Contract(
             "order_items",
             rows={
-                **_missing(
-                    id="id",
-                    order_id="order_id",
-                    user_id="user_id",
-                    prod_id="product_id",
-                    inv_id="inventory_item_id",
-                    created="created_at",
-                ),
+                "id_missing": missing("id"), "order_id_missing": missing("order_id"), "user_id_missing": missing("user_id"), "prod_id_missing": missing("product_id"), "inv_id_missing": missing("inventory_item_id"), "created_missing": missing("created_at"),
                 "status_invalid": not_in("status", STATUSES),
                 "price_negative": below("sale_price", 0),
                 **_LIFECYCLE,
@@ -141,7 +117,7 @@ CONTRACTS: dict[str, Contract] = {
         Contract(
             "events",
             rows={
-                **_missing(id="id", session="session_id", created="created_at"),
+                "id_missing": missing("id"), "session_missing": missing("session_id"), "created_missing": missing("created_at"),
                 "event_type_invalid": not_in("event_type", EVENT_TYPES),
                 "seq_invalid": below("sequence_number", 1),
             },

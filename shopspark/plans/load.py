@@ -211,7 +211,7 @@ def load_table(
     if staged.rows_in > staged.rows_out:
         log.warning("%s: rows left out for missing references: %s", table, staged.losses)
         for fk in (fk for fk in fks if staged.losses.get(fk.label)):
-            warn_orphans(cleaned, fk, show=TABLES[table].keys[0])
+            warn_orphans(cleaned, fk, show=TABLES[table].keys[0], count=staged.losses[fk.label])
     spec = spec_for(table, TABLES)
     if not staged.rows_out:
         step.actions = dict(NOTHING)
