@@ -22,8 +22,9 @@ block are ever shuffled.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components,
 and rows without identifier, take no part. Rows with equal identifiers are one
-vector. Vectors of different length are not compared. Scores beyond 64 bits are
-not supported. An empty table gives an empty result. Other columns are not looked
+vector. Vectors of different length are not compared. A score beyond 64 bits counts
+as the nearest 64-bit value, and a component that is not finite when scaled as not
+finite. An empty table gives an empty result. Other columns are not looked
 at.
 """
 
@@ -42,12 +43,13 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
 CELLS = 1 << 20
 NONE = np.iinfo(np.int64).min
+MOST = int(np.iinfo(np.int64).max)
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, vector (doubles), dim of the rows that take part."""
     vector = F.col(vector_col).cast("array<double>")
-    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (SCALE * F.abs(x) < float("inf")))
     whole = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector) > 0) & good
     return rows.where(whole).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.size(vector).alias("dim"))
 
@@ -72,6 +74,13 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     return materialize(dealt.groupBy("dim", "block").applyInPandas(pack, schema), name)
 
 
+def whole_numbers(scores: np.ndarray) -> np.ndarray:
+    """64-bit scores; one beyond that range counts as its nearest value (the least is kept for no score)."""
+    if scores.dtype == object:
+        scores = np.clip(scores, int(NONE) + 1, MOST)
+    return scores.astype(np.int64)
+
+
 class Pair:
     """A block of queries against a block of candidates: partial scores by list."""
 
@@ -114,9 +123,8 @@ def _gather(k: int):
                 pair = Pair(row)
                 for part in pair.slices():
                     lists = pair.lists(part)
-                    total = sum(lists)
                     own = pair.own(part)
-                    n = total.shape[1]
+                    n = len(pair.ids)
                     top = min(k + 1, n)
                     found = [np.argpartition(p, n - top, axis=1)[:, n - top :] for p in lists]
                     spots = np.sort(np.concatenate(found, axis=1), axis=1)
@@ -124,7 +132,7 @@ def _gather(k: int):
                     mine = np.full(len(spots), -1)
                     mine[own[0]] = own[1]
                     out = repeated | (spots == mine[:, None])
-                    scores = np.where(out, NONE, np.take_along_axis(total, spots, axis=1).astype(np.int64))
+                    scores = np.where(out, NONE, whole_numbers(sum(np.take_along_axis(p, spots, axis=1) for p in lists)))
                     scores = np.sort(scores, axis=1)[:, ::-1][:, :k]
                     queries = np.repeat(pair.query_ids[part], scores.shape[1])
                     flat = scores.ravel()
@@ -146,15 +154,16 @@ def _resolve(k: int):
                 for part in pair.slices():
                     lists = pair.lists(part)
                     least = cutoffs[part][:, None]
-                    open_ = np.zeros(lists[0].shape, bool)
+                    # The least cutoff stands for all scores that low.
+                    open_ = np.broadcast_to(least <= NONE + 1, lists[0].shape).copy()
                     for p in lists:
                         open_ |= (p * LISTS >= least).astype(bool)
                     open_[pair.own(part)] = False
                     q, v = np.nonzero(open_)
-                    score = sum(p[q, v] for p in lists)
+                    score = whole_numbers(sum(p[q, v] for p in lists))
                     good = score >= cutoffs[part][q]
-                    q, v, score = q[good], v[good], score[good].astype(np.int64)
-                    order = np.lexsort((v, -score, q))
+                    q, v, score = q[good], v[good], score[good]
+                    order = np.lexsort((v, ~score, q))
                     q, v, score = q[order], v[order], score[order]
                     starts = np.searchsorted(q, q, "left")
                     top = np.arange(len(q)) - starts < k

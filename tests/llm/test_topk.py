@@ -38,3 +38,10 @@ def test_repeated_rows_and_empty_tables(spark):
     df = spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)
     assert [tuple(r) for r in exact_top_k(df).collect()] == [(0, 1, 1, 64 * 32)]
     assert exact_top_k(df.limit(0)).collect() == []
+
+
+def test_scores_beyond_64_bits_count_as_the_nearest(spark):
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [-1e20, 0.0]), (3, [2e20, 0.0]), (4, [0.0, 1.0]), (5, [1e307, 0.0])]
+    df = spark.createDataFrame([(i, v, 0, "") for i, v in rows], SCHEMA)
+    top = 2**63 - 1
+    assert [tuple(r) for r in exact_top_k(df).orderBy("rank").collect()] == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 64 * 64), (0, 4, 2, -top)]
