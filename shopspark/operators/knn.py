@@ -1,11 +1,11 @@
 """Nearest vectors by cosine: exact, and approximate by cells.
 
-Queries stay in Spark: they are packed into blocks of a fixed number of rows, the
-corpus into packs where it lies, and a block meets a pack in an equi join on the
-cell and the number of the block. Few queries are broadcast by Spark's own
-measure, so the corpus is not shuffled; many are joined by shuffle. A pack gives
-at most k rows per query, and a window with a limit merges them. Exact search is
-the same with a single cell.
+Queries stay in Spark: they are packed into blocks of a fixed number of rows. In the
+search by cells the corpus is packed where it lies, and a block meets a pack in an equi
+join on the cell and the number of the block. In exact search one block of queries,
+which Spark broadcasts by its own measure, meets the packs where they lie; of several
+blocks, each goes to every numbered pack, so the corpus is shuffled once and never
+copied. A pack gives at most k rows per query, and a window with a limit merges them.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ QUERY_BLOCK = 2048
 PACK_ROWS = 16384
 SCORED_QUERIES = 256
 DIGITS = 10
+#: Cells of an index at most, so that the centroids which every task holds have a fixed size.
+MOST_CELLS = 4096
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -66,6 +68,18 @@ def packs(corpus: DataFrame) -> DataFrame:
     return given.mapInPandas(pack, "cell int, ids binary, data binary")
 
 
+def numbered_packs(corpus: DataFrame) -> tuple[DataFrame, int]:
+    """(pack, ids, data): the corpus dealt by a hash into packs numbered from 0, and how many there are."""
+    given = corpus.where(F.col("v").isNotNull()).select("id", "v")
+    number = max(1, -(-given.count() // PACK_ROWS))
+    dealt = given.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"pack": rows["pack"].iloc[0], **_pack(rows)}])
+
+    return dealt.groupBy("pack").applyInPandas(pack, "pack int, ids binary, data binary"), number
+
+
 def query_blocks(queries: DataFrame, size: int) -> DataFrame:
     """(cell, block, blocks, query_ids, queries) from rows (id, v, cell); null vectors ask nothing."""
     given = queries.where(F.col("v").isNotNull())
@@ -123,11 +137,13 @@ def _search(corpus: DataFrame, queries: DataFrame, k: int, skip_self: bool, cell
         counts = blocks.select("cell", "blocks").distinct()
         asked = packs(corpus.join(counts.select("cell"), "cell", "left_semi")).join(counts, "cell")
         numbered, keys = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), ["cell", "block"]
+        met = numbered.select(*keys, "ids", "data").join(blocks.select(*keys, "query_ids", "queries"), keys)
+    elif (blocks.agg(F.max("blocks")).first()[0] or 0) <= 1:
+        met = packs(corpus).join(blocks.select("cell", "query_ids", "queries"), "cell")
     else:
-        most = blocks.agg(F.max("blocks")).first()[0] or 0
-        numbers = F.array_repeat(F.lit(0), most) if not most else F.sequence(F.lit(0), F.lit(most - 1))
-        numbered, keys = packs(corpus).withColumn("block", F.explode(numbers)), ["block"]
-    met = numbered.select(*keys, "ids", "data").join(blocks.select(*keys, "query_ids", "queries"), keys)
+        dealt, number = numbered_packs(corpus)
+        spread = blocks.select("query_ids", "queries", F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("pack"))
+        met = spread.join(dealt, "pack")
     return top_k(met.mapInPandas(_best_of_pack(k, skip_self), "query_id bigint, id bigint, distance double"), k)
 
 
@@ -173,13 +189,13 @@ def build_index(
 ) -> CellIndex:
     """Place centroids with k-means over all vectors, assign every vector, write them by cell.
 
-    The number of cells is the root of the number of vectors unless given, so a
-    fixed number of probes reads a falling share of a growing corpus. Rebalancing
-    lets several tasks write a crowded cell.
+    The number of cells is the root of the number of vectors unless given, and at most
+    ``MOST_CELLS``: the centroids travel to every task. Larger corpora are searched by
+    codes (``vector_codes``). Rebalancing lets several tasks write a crowded cell.
     """
     rows = corpus.select(F.col(key).alias("id"), F.col(vector).alias("v")).filter(F.col("v").isNotNull())
     total = rows.count()
-    wanted = cells or round(total**0.5)
+    wanted = min(MOST_CELLS, cells or round(total**0.5))
     features = rows.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
     model = KMeans(k=max(1, min(wanted, total)), seed=seed, maxIter=rounds, featuresCol="features").fit(features)
     centroids = unit(np.array(model.clusterCenters()))

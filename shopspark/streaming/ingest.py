@@ -70,7 +70,7 @@ def upsert_stream(
     newest: str | None = None,
     mode: str = "append",
 ) -> None:
-    """Merge every micro-batch into the table.
+    """Merge every micro-batch into the table; of the versions before only the last one stays, for open readers.
 
     A batch repeated after a failure merges to the same rows, so nothing is
     counted twice.
@@ -83,6 +83,7 @@ def upsert_stream(
             return
         rows = latest_per_key(batch, spec.keys, newest) if newest else batch
         upsert(table, rows, spec, checked=newest is not None or mode == "update")
+        table.remove_unused()
 
     _work_off(stream, checkpoint, handle, mode)
 
@@ -119,12 +120,13 @@ def quarantine_stream(
 def merge_stream(
     stream: DataFrame, table: VersionedTable, fold: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str
 ) -> None:
-    """Replace the table by ``fold(stored rows, new rows)`` for every micro-batch."""
+    """Replace the table by ``fold(stored rows, new rows)`` for every micro-batch; the version before stays for open readers."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = materialize(batch, "fold-batch")
         if not batch.isEmpty():
             table.replace(fold(table.read(), batch))
+            table.remove_unused()
 
     _work_off(stream, checkpoint, handle)
 
