@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import sys
 import zlib
-from array import array
 from collections import deque
 from collections.abc import Iterator
 from types import ModuleType
@@ -40,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopspark.llm.textbytes import chunks
+from shopspark.llm.token_ids import TokenIds
 
 SEQUENCE = 2048
 CLOSING = 1
 BLOCK_TOKENS = 1 << 17
-CACHE_WORDS = 500_000
 #: Costs in tokens.
 WINDOW_COST = 4
 SENTENCE_CUT = 2
@@ -60,69 +59,22 @@ PIECES = pa.schema(
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in a byte-level vocabulary.
-
-    Printable bytes of Latin-1 stand for themselves, the others for the letters from
-    256 on, in order.
-    """
-    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = [b for b in range(256) if b not in printable]
-    return {b: 256 + n for n, b in enumerate(rest)}
-
-
 class Encoder:
-    """Token ids of texts, equal to the tokenizer's without ``add_special_tokens``.
-
-    Added tokens are cut out first. Byte-level merges stay inside the words that
-    ``pattern`` cuts, so a word's ids are merged once and reused; the table is
-    emptied when it is full. Texts with an added token that takes blanks or word
-    limits into account go through the tokenizer whole.
-    """
+    """Token ids of texts, and which tokens end a sentence."""
 
     def __init__(self, path: str, pattern: str, encode_special_tokens: bool = True):
-        import regex
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = encode_special_tokens
-        added = tokenizer.get_added_tokens_decoder().items()
-        added = {t.content: (at, t) for at, t in added if t.content and not (t.special and encode_special_tokens)}
-        self.added = {content: np.array([at], "<u4") for content, (at, _) in added.items()}
-        # Of tokens that begin at one place the longest counts.
-        longest = sorted(map(regex.escape, added), key=len, reverse=True)
-        self.split = regex.compile(f"({'|'.join(longest)})").split if added else None
-        self.plain = not any(t.single_word or t.lstrip or t.rstrip for _, t in added.values())
-        self.whole = tokenizer
-        self.cut = regex.compile(pattern).findall
-        self.model, self.letters = tokenizer.model, byte_letters()
-        self.known: dict[str, bytes] = {}
-        vocabulary = tokenizer.get_vocab()
+        self.ids = TokenIds(path, encode_special_tokens, pattern)
+        vocabulary = self.ids.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, at in vocabulary.items():  # "Ċ" stands for a line end
             self.ends[at] = token.endswith((".", "!", "?")) or "Ċ" in token
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = self.split(text) if self.split else [text]
-        if len(parts) == 1:
-            return self._merged(text)
-        if not self.plain:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.concatenate([self.added[part] if i % 2 else self._merged(part) for i, part in enumerate(parts)])
-
-    def _merged(self, text: str) -> np.ndarray:
-        words = self.cut(text)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            merged = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-            known[word] = array("I", [token.id for token in merged]).tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        return self.ids(text)
 
 
 def worker_encoder(path: str, pattern: str, encode_special_tokens: bool = True) -> Encoder:
-    """The encoder of this Python worker; later tasks of the worker find its words merged."""
+    """The encoder of this Python worker; later tasks of the worker find it loaded."""
     home = sys.modules.setdefault("shopspark_worker_encoders", ModuleType("shopspark_worker_encoders"))
     key = path, pattern, encode_special_tokens
     if key not in home.__dict__:

@@ -36,7 +36,8 @@ def longest_run(text: str) -> int:
 class TokenIds:
     """Ids of texts, equal to the file's tokenizer without ``add_special_tokens``."""
 
-    def __init__(self, path: str, encode_special_tokens: bool = False):
+    def __init__(self, path: str, encode_special_tokens: bool = False, pattern: str | None = None):
+        """``pattern`` cuts texts into words; unless given, that of the public byte-level files."""
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -56,7 +57,7 @@ class TokenIds:
             for token, at in self.whole.get_vocab(with_added_tokens=False).items()
             if token not in outside
         }
-        self.merge = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.merge = tiktoken.Encoding("file", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if not text:
