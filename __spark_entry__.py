@@ -29,8 +29,9 @@ from shopspark.plans.load import load_all, open_table
 from shopspark.plans.monthly import merge_months
 from shopspark.schemas import TABLES
 from shopspark.session import configure
-from shopspark.sources.raw import scan, scan_stream
 from shopspark.sources import zorder
+from shopspark.sources.monthly import MonthlyTable
+from shopspark.sources.raw import scan, scan_stream
 from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import materialize, scratch_path
 from shopspark.streaming import ingest, joins, metrics, sessions
@@ -592,7 +593,7 @@ def stream_daily_sales(spark, root):
     lines = scan_stream(spark, root, "lineitem")
     items = clean(item_columns(lines, order_heads(spark, root)), "order_items")
     sums = metrics.daily_sales_stream(items, shop(spark, root, "products"), shop(spark, root, "users"))
-    table = VersionedTable(spark, scratch_path(spark, "stream-sales"), "daily_sales", sums.schema)
+    table = MonthlyTable(spark, scratch_path(spark, "stream-sales"), "daily_sales", sums.schema, time="day")
     ingest.upsert_stream(
         sums, table, MergeSpec(keys=("day", "country")), scratch_path(spark, "checkpoint"), mode="update"
     )

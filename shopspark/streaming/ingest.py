@@ -17,7 +17,9 @@ from shopspark.operators.integrity import ForeignKey, mark_drops
 from shopspark.operators.merge import MergeSpec
 from shopspark.operators.transforms import clean
 from shopspark.plans.load import upsert
+from shopspark.plans.monthly import merge_months
 from shopspark.schemas import TABLES
+from shopspark.sources.monthly import MonthlyTable
 from shopspark.sources.versioned import VersionedTable
 from shopspark.storage import materialize
 
@@ -64,13 +66,16 @@ def latest_per_key(batch: DataFrame, keys: Sequence[str], newest: str) -> DataFr
 
 def upsert_stream(
     stream: DataFrame,
-    table: VersionedTable,
+    table: VersionedTable | MonthlyTable,
     spec: MergeSpec,
     checkpoint: str,
     newest: str | None = None,
     mode: str = "append",
 ) -> None:
-    """Merge every micro-batch into the table; of the versions before only the last one stays, for open readers.
+    """Merge every micro-batch into the table.
+
+    A table kept by month has only the months rewritten that a batch changes. Of the
+    versions of another one only the last before stays, for open readers.
 
     A batch repeated after a failure merges to the same rows, so nothing is
     counted twice.
@@ -82,8 +87,12 @@ def upsert_stream(
         if batch.isEmpty():
             return
         rows = latest_per_key(batch, spec.keys, newest) if newest else batch
-        upsert(table, rows, spec, checked=newest is not None or mode == "update")
-        table.remove_unused()
+        checked = newest is not None or mode == "update"
+        if isinstance(table, MonthlyTable):
+            merge_months(table, rows, spec, checked)
+        else:
+            upsert(table, rows, spec, checked)
+            table.remove_unused()
 
     _work_off(stream, checkpoint, handle, mode)
 
