@@ -34,9 +34,12 @@ is verified exactly and gives first components. What those leave open is settled
 the shingles themselves: only shingles held by different components count, and a
 document stays only if enough of its own are held by documents of one size class
 (:data:`CLASS` apart) to reach the threshold with a partner of that size. The rest
-is compared with the member of its group that shares most, and only between the
-components still apart are pairs formed, each document leaving out as many of its
-most frequent shingles as its overlap with any partner allows.
+is compared with the member of its group that shares most, its hub, and only between
+the components still apart are pairs formed, by shared shingles: outside the hub; inside
+it where both reach far enough into it for their exact sizes; and between hubs, each
+document leaving out as many of its most frequent shingles as its overlap with any
+partner allows. No link is lost: what two documents share inside a hub is at most what
+either shares with it.
 
 The chance that a set's parts collapse so far that the bound has no parts to work
 with is below 1e-9 a document at these part counts; 64-bit hashes stand for
@@ -306,6 +309,91 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _overlap(k: int, percent: int):
+    """Least overlap of a set of size ``n`` with a partner ``k - REACH`` classes above."""
+    smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("class") + k - REACH)) - 1, F.ceil(F.col("n") * percent / 100) - 1)
+    return F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
+
+
+def _both(percent: int):
+    """Overlap that two sets of sizes n and n_b need, in whole numbers."""
+    return F.ceil((F.col("n") + F.col("n_b")) * percent / (100 + percent) - 1e-6)
+
+
+def _in_reach(held: DataFrame, percent: int) -> DataFrame:
+    """Documents whose hub has another component's document that both reach far enough into the hub to link with.
+
+    Documents of one hub, size and overlap with it count as one profile, so profiles meet, not documents.
+    """
+    ones = held.select("id", "label", "hub", "n", "reach").distinct()
+    profiles = ones.groupBy("hub", "n", "reach").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    others = profiles.select("hub", F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), "low", "high")
+    met = profiles.drop("low", "high").join(others, "hub").where(F.least("reach", "reach_b") >= _both(percent))
+    met = met.groupBy("hub", "n", "reach").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return ones.join(met, ["hub", "n", "reach"]).where("low <> label or high <> label").select("id")
+
+
+def _met(left: DataFrame, right: DataFrame, ordered: bool = True, inside: int | None = None) -> DataFrame:
+    """(a, b) for rows of different components that share print and hub and whose size classes are open to each other."""
+    far = right.select(
+        "print", "hub", F.col("id").alias("id_b"), F.col("label").alias("other"), F.col("class").alias("class_b"), F.col("open").alias("open_b"),
+        F.col("n").alias("n_b"), F.col("reach").alias("reach_b"),
+    )
+    allowed = lambda mask, step: F.expr(f"shiftright({mask}, cast(greatest(0, {step} + {REACH}) as int)) & 1") == 1
+    met = left.join(far, ["print", "hub"]).where(
+        (F.col("label") != F.col("other")) & (F.abs(F.col("class_b") - F.col("class")) <= REACH)
+        & allowed("open", "(class_b - class)") & allowed("open_b", "(class - class_b)")
+        & (F.col("id") < F.col("id_b") if ordered else F.lit(True))
+        & (F.lit(True) if inside is None else F.least("reach", "reach_b") >= _both(inside))
+    )
+    return met.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+
+
+def _candidates(rows: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n): every pair of different components that can still be linked.
+
+    ``rows``: print, owners, id, label, n, class, open, need. ``hubs``: id, hub, the
+    set each document shares most with. What two documents share inside their common
+    hub is at most what either shares with the hub. Where that is below the overlap
+    they need, they must share a shingle that the hub lacks. So documents meet
+
+    * on shingles outside the hub they have in common,
+    * on shingles inside it only in the size classes which their overlap with it reaches,
+    * with documents of other hubs on their rarest shingles.
+
+    Copies that drifted too far from the middle of a large group to be linked with it
+    thus meet over their own changes, not over the group's text.
+    """
+    held = rows.join(hubs, "id")
+    of_hub = sets.join(hubs.select(F.col("hub").alias("id")).distinct(), "id", "left_semi")
+    of_hub = of_hub.select(F.col("id").alias("hub"), F.explode("hashes").alias("print"), F.lit(True).alias("inside"))
+    held = held.join(of_hub.distinct(), ["hub", "print"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    held = materialize(held, "jaccard-held")
+    order = [F.desc("owners"), F.col("print")]
+    held = held.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    held = held.withColumn("place", F.row_number().over(Window.partitionBy("id", "inside").orderBy(*order)))
+    held = held.withColumn("reach", F.count_if("inside").over(Window.partitionBy("id")))
+    within = sum((F.when(F.col("reach") >= _overlap(k, percent), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * REACH + 1)), F.lit(0))
+    held = held.withColumn("within", within.cast("long").bitwiseAND(F.col("open")))
+    held = held.where((F.col("rank") >= F.col("need")) | (~F.col("inside") & (F.col("place") >= F.col("need") - F.col("reach"))))
+    held = materialize(held.drop("owners"), "jaccard-rare")
+
+    outside = held.where(~F.col("inside") & (F.col("place") >= F.col("need") - F.col("reach")))
+    met = _met(outside, outside)
+    rare = held.where("rank >= need")
+    close = rare.where(F.col("inside") & (F.col("within") != 0)).drop("open").withColumnRenamed("within", "open")
+    close = materialize(close.join(_in_reach(close, percent), "id", "left_semi"), "jaccard-close")
+    met = met.union(_met(close, close, inside=percent))
+    # A row goes to the greater hubs that hold its shingle too, so documents of one hub do not meet again here.
+    spots = rare.select("print", "hub").distinct()
+    several = spots.groupBy("print").agg(F.count("*").alias("hubs")).where("hubs > 1").select("print")
+    mixed = materialize(rare.join(several, "print", "left_semi"), "jaccard-mixed-hubs")
+    to = mixed.select("print", F.col("hub").alias("next")).distinct()
+    sent = mixed.join(to, "print").where("hub < next").drop("hub").withColumnRenamed("next", "hub")
+    met = met.union(_met(sent, mixed, ordered=False))
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
 def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """Links between components, found by counting shared shingles."""
     labelled = sets.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"), "hashes")
@@ -317,23 +405,22 @@ def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: i
         *[F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))).alias(f"shared{k}") for k in bits]
     )
 
-    def overlap(k: int):
-        smallest = F.greatest(F.floor(F.pow(F.lit(CLASS), F.col("class") + k - REACH)) - 1, F.ceil(F.col("n") * percent / 100) - 1)
-        return F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-6)
-
+    overlap = lambda k: _overlap(k, percent)
     reached = [F.col(f"shared{k}") >= overlap(k) for k in bits]
     open_ = sum((F.when(r, F.lit(1 << k)).otherwise(F.lit(0)) for k, r in zip(bits, reached)), F.lit(0)).cast("long")
     need = F.least(*[F.when(r, overlap(k)) for k, r in zip(bits, reached)])
     close = F.greatest(*[F.when(r, F.col(f"shared{k}")) for k, r in zip(bits, reached)]) / F.col("n")
     known = counted.select("id", open_.alias("open"), need.alias("need"), close.alias("close")).where("open <> 0")
     rows = between.join(materialize(known, "jaccard-open"), "id").where(F.col("mask").bitwiseAND(F.col("open")) != 0)
-    rows = materialize(rows.select("print", "owners", "id", "label", "class", "open", "need", "close"), "jaccard-rows")
+    rows = materialize(rows.select("print", "owners", "id", "label", "n", "class", "open", "need", "close"), "jaccard-rows")
 
     # The member that shares most is next to what a group of copies was made from.
     centre = rows.groupBy("print").agg(F.max_by(F.struct(F.col("id").alias("b"), F.col("label").alias("other")), F.struct("close", -F.col("id"))).alias("c"))
-    stars = rows.join(centre, "print").where(F.col("label") != F.col("c.other"))
-    stars = stars.groupBy(F.col("id").alias("a"), F.col("c.b").alias("b")).agg(F.count("*").alias("n"))
-    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    stars = rows.join(centre, "print").groupBy(F.col("id").alias("a"), F.col("c.b").alias("b"))
+    stars = stars.agg(F.count("*").alias("n"), F.max(F.col("label") != F.col("c.other")).alias("apart"))
+    stars = materialize(stars, "jaccard-stars")
+    hubs = materialize(stars.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("hub")), "jaccard-hubs")
+    stars = stars.where("apart").groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     found = materialize(_verified(stars, sets, percent), "jaccard-links")
     labels = materialize(components(links.union(found)), "jaccard-labels")
 
@@ -342,17 +429,7 @@ def _late_links(sets: DataFrame, labels: DataFrame, links: DataFrame, percent: i
     mixed = rows.groupBy("print").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("print")
     rows = materialize(rows.join(materialize(mixed, "jaccard-mixed"), "print"), "jaccard-rows")
     enough = rows.groupBy("id").agg(F.count("*").alias("held"), F.min("need").alias("least")).where("held >= least").select("id")
-    order = Window.partitionBy("id").orderBy(F.desc("owners"), "print")
-    rare = rows.join(enough, "id", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank >= need")
-    rare = materialize(rare.select("print", F.col("id").alias("a"), "label", "class", "open"), "jaccard-rare")
-    far = rare.select("print", F.col("a").alias("b"), F.col("label").alias("other"), F.col("class").alias("class_b"), F.col("open").alias("open_b"))
-    apart = F.col("class_b") - F.col("class")
-    allowed = lambda mask, step: F.expr(f"shiftright({mask}, cast(greatest(0, {step} + {REACH}) as int)) & 1") == 1
-    pairs = rare.join(far, "print").where(
-        (F.col("label") != F.col("other")) & (F.col("a") < F.col("b")) & (F.abs(apart) <= REACH)
-        & allowed("open", "(class_b - class)") & allowed("open_b", "(class - class_b)")
-    )
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "jaccard-pairs")
+    pairs = materialize(_candidates(rows.join(enough, "id", "left_semi"), hubs, sets, percent), "jaccard-pairs")
     for _ in range(BEST_ROUNDS):
         # Each document's likeliest pair first: what it links makes other pairs needless.
         ends = pairs.union(pairs.select("b", "a", "n"))

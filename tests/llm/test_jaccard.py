@@ -1,6 +1,5 @@
 """The similarity join against all pairs."""
 
-import inspect
 import math
 import random
 import re
@@ -128,6 +127,64 @@ def test_shingles_between_components(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
-def test_no_group_holds_all_owners_of_a_shingle():
-    source = inspect.getsource(jaccard._between) + inspect.getsource(jaccard._late_links)
-    assert "applyIn" not in source and "mapIn" not in source
+def test_outliers_of_a_large_group_do_not_meet_its_members(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(edits):
+        words = list(base)
+        for spot in rng.sample(range(0, 150, 6), edits):
+            words[spot] = f"x{rng.randrange(10**6)}"
+        return words
+
+    sets = [edited(1 + k % 2) for k in range(120)] + [edited(rng.choice([5, 6])) for _ in range(60)]
+    # Copies of outliers, and cuts of the text that are linked with each other but not with the whole.
+    sets += [[*sets[130][:-1], "end"], [*sets[140][:-1], "end"], base[:100], base[2:100], base[:88], base[70:]]
+    docs = [(i, " ".join(words)) for i, words in enumerate(sets)]
+    counts, formed = [], jaccard._candidates
+
+    def counted(*args):
+        pairs = formed(*args)
+        counts.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_candidates", counted)
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in docs], SCHEMA).repartition(6)
+    want = brute_force(docs)
+    assert found(similar_groups(df)) == want
+    apart = len({c for *_, c in want})
+    assert apart > 20 and sum(counts) < apart * len(docs) / 4
+
+
+def links_by_hand(docs):
+    """Pairs of different labels that reach the threshold, from every pair."""
+    return {
+        (a, b)
+        for a, (la, sa) in docs.items()
+        for b, (lb, sb) in docs.items()
+        if a < b and la != lb and 100 * len(sa & sb) >= 75 * len(sa | sb)
+    }
+
+
+def test_candidates_hold_every_link_whatever_the_hubs(spark):
+    rng = random.Random(3)
+    docs = {}
+    for family in range(6):
+        base = [1000 * family + x for x in range(rng.choice([12, 30, 60]))]
+        for _ in range(12):
+            own = set(rng.sample(base, len(base) - rng.randrange(0, len(base) // 4)))
+            own |= {rng.randrange(10**6, 10**6 + 400) for _ in range(rng.randrange(0, len(base) // 5))}
+            docs[len(docs)] = (len(docs) % 40, own)
+    level = lambda n: math.floor(math.log(n) / math.log(jaccard.CLASS))
+    owners = Counter(x for _, s in docs.values() for x in s)
+    least = lambda n, k: math.ceil((n + max(math.floor(jaccard.CLASS ** (level(n) + k - jaccard.REACH)) - 1, math.ceil(n * 0.75) - 1)) * 75 / 175 - 1e-6)
+    full = (1 << 2 * jaccard.REACH + 1) - 1
+    rows = [(x, owners[x], i, label, len(s), level(len(s)), full, least(len(s), 0)) for i, (label, s) in docs.items() for x in s]
+    rows = spark.createDataFrame(rows, "print long, owners long, id long, label long, n long, class long, open long, need long")
+    sets = spark.createDataFrame([(i, len(s), list(s)) for i, (_, s) in docs.items()], "id long, n long, hashes array<long>")
+    want = links_by_hand(docs)
+    assert len(want) > 30
+    for choose in (lambda i: i - i % 12, lambda i: i, lambda i: rng.randrange(len(docs))):
+        hubs = spark.createDataFrame([(i, choose(i)) for i in docs], "id long, hub long")
+        got = {(r.a, r.b) for r in jaccard._candidates(rows, hubs, sets, 75).collect()}
+        assert want <= got and all(docs[a][0] != docs[b][0] for a, b in got)
