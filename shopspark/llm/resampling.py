@@ -2,10 +2,12 @@
 
 Word unigrams and bigrams are hashed into ``BUCKETS`` buckets. Two bag models are
 counted, one over the target text (documents labelled good) and one over all
-documents; a document's log-weight is the mean log-ratio of its n-grams, times
-``EFFECTIVE`` n-grams, so that length alone does not decide. Gumbel noise from a
-hash of the identifier is added and the largest keys are taken: a sample without
-replacement in proportion to the weights.
+documents; a document's log-weight is the log-ratio of its probabilities under the
+two, the sum over its n-grams. Gumbel noise from a hash of the identifier is added
+and the largest keys are taken: a sample without replacement in proportion to the
+weights. With ``effective`` n-grams given, all documents are weighed as if they
+were that long (their mean log-ratio times ``effective``), so that length alone
+does not decide.
 
 The counts cover every document; tasks send one row per bucket. The models are
 two vectors of fixed size. The cutoff of the sample is found by counting keys in
@@ -34,7 +36,6 @@ from shopspark.llm.textbytes import WordHasher, chunks, flat, mix
 from shopspark.storage import materialize
 
 BUCKETS = 1 << 14
-EFFECTIVE = 100
 FRACTION = 0.85
 MAX_TARGET = 20_000
 STEPS = 1 << 12
@@ -86,7 +87,7 @@ def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def _weigh(ratios: np.ndarray):
+def _weigh(ratios: np.ndarray, effective: float | None):
     def weigh(batches) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
@@ -94,10 +95,10 @@ def _weigh(ratios: np.ndarray):
                 buckets, offsets = _ngrams(hasher, part.column(1))
                 sizes = np.diff(offsets)
                 totals = np.concatenate([[0.0], np.cumsum(ratios[buckets])])
-                means = (totals[offsets[1:]] - totals[offsets[:-1]]) / np.maximum(sizes, 1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(means * EFFECTIVE)], names=["id", "n_grams", "log_weight"]
-                )
+                weights = totals[offsets[1:]] - totals[offsets[:-1]]
+                if effective is not None:
+                    weights = weights / np.maximum(sizes, 1) * effective
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(weights)], names=["id", "n_grams", "log_weight"])
 
     return weigh
 
@@ -136,7 +137,7 @@ def kth_largest(stored: DataFrame, column: str, k: int) -> float | None:
 
 def importance_sample(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    fraction: float = FRACTION, seed: int = 0, max_target: int = MAX_TARGET,
+    fraction: float = FRACTION, seed: int = 0, max_target: int = MAX_TARGET, effective: float | None = None,
 ) -> DataFrame:
     """One row per document: ``id_col``, n_grams, log_weight, key, kept.
 
@@ -147,7 +148,7 @@ def importance_sample(
     target = materialize(bounded_sample(target, "id", max_target), "resampling-target")
     ratios = log_ratios(rows, target)
     kind = rows.schema["id"].dataType.simpleString()
-    weighed = rows.mapInArrow(_weigh(ratios), f"id {kind}, n_grams long, log_weight double")
+    weighed = rows.mapInArrow(_weigh(ratios, effective), f"id {kind}, n_grams long, log_weight double")
     weighed = materialize(weighed.withColumn("key", F.col("log_weight") + gumbel(F.col("id"), seed)), "resampling-keys")
     cutoff = kth_largest(weighed, "key", round(fraction * weighed.count()))
     kept = F.col("key") >= F.lit(cutoff) if cutoff is not None else F.lit(False)
