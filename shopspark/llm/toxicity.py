@@ -14,8 +14,8 @@ task. Scoring reads whole texts, a bounded slice at a time.
 
 Defined cases: null text is empty; an empty text has no features and gets the
 intercept's score. Labels that are null or whose identifier is null are left out
-of training; a null identifier is not held out. Repeated rows score alike. Without
-labelled rows of both classes every score is 0. An empty table gives an empty
+of training; a null identifier is not held out. Repeated rows score alike; of rows of
+one labelled identifier the least text is learnt from, once. Without labelled rows of both classes every score is 0. An empty table gives an empty
 result. Other columns are kept by :func:`keep_clean` as they are.
 """
 
@@ -168,8 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("toxic"))
     known = materialize(bounded_sample(known, "id", max_train), "toxicity-labels")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # ``max_train`` rows bound the broadcast side.
-    rows = materialize(rows.join(F.broadcast(known), "id").select("text", "toxic"), "toxicity-train")
+    # ``max_train`` rows bound the broadcast side; an identifier is learnt from once, by its least text.
+    rows = rows.join(F.broadcast(known), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(rows.select("text", "toxic"), "toxicity-train")
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
         return None

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shopspark.llm import resampling, toxicity
@@ -37,6 +38,15 @@ def test_held_out_documents_are_told_apart(spark):
     assert {r.doc_id for r in kept.collect()} == set(rows) - gone
 
 
+def test_repeated_rows_of_a_labelled_identifier_are_learnt_once(spark):
+    docs = [(i, "mild words here" if i % 2 else "grzx words here") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 2 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    copies = [(2, "grzx words here")] * 40 + [(3, "zz later text")] * 5
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    once, often = toxicity.fit(frame(docs), labels), toxicity.fit(frame(docs + copies), labels)
+    assert np.array_equal(once.places, often.places) and np.allclose(once.weights, often.weights) and np.isclose(once.intercept, often.intercept)
+
+
 def test_without_labels_nothing_is_toxic(spark):
     df = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -47,7 +57,7 @@ def test_without_labels_nothing_is_toxic(spark):
     assert resampling.importance_sample(df.limit(0), none).collect() == []
 
 
-def brute_weights(docs, good):
+def brute_weights(docs, good, effective):
     """Log-ratios with plain words instead of buckets; close to the hashed ones on few words."""
     from collections import Counter
 
@@ -59,18 +69,20 @@ def brute_weights(docs, good):
             target.update(g)
     n, m, b = sum(raw.values()), sum(target.values()), resampling.BUCKETS
     ratio = lambda x: np.log((target[x] + 1) / (m + b)) - np.log((raw[x] + 1) / (n + b))
-    return {i: resampling.EFFECTIVE * float(np.mean([ratio(x) for x in g])) if g else 0.0 for i, g in grams.items()}
+    scale = lambda g: 1.0 if effective is None else effective / max(len(g), 1)
+    return {i: float(sum(ratio(x) for x in g)) * scale(g) for i, g in grams.items()}
 
 
-def test_weights_and_sample(spark):
+@pytest.mark.parametrize("effective", [None, 100])
+def test_weights_and_sample(spark, effective):
     rng = random.Random(4)
     docs = [(i, " ".join(rng.choice(["good", "fine", "well"] if i % 3 else ["bad", "worse"]) for _ in range(40))) for i in range(300)]
     docs += [(900, None), (901, ""), (None, "good fine"), (7, docs[7][1])]
     good = {i for i in range(100) if i % 3}
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, key int").repartition(3)
     marks = spark.createDataFrame([(i, int(i in good)) for i in range(100)] + [(None, 1)], "doc_id long, quality int")
-    rows = resampling.importance_sample(df, marks, fraction=0.6).collect()
-    want = brute_weights(docs, good)
+    rows = resampling.importance_sample(df, marks, fraction=0.6, effective=effective).collect()
+    want = brute_weights(docs, good, effective)
     for r in rows:
         assert abs(r.log_weight - want[r.doc_id]) < 1e-6
     keys = sorted((r.key for r in rows), reverse=True)
