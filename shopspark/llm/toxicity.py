@@ -14,9 +14,10 @@ task. Scoring reads whole texts, a bounded slice at a time.
 
 Defined cases: null text is empty; an empty text has no features and gets the
 intercept's score. Labels that are null or whose identifier is null are left out
-of training; a null identifier is not held out. Repeated rows score alike; of rows of
-one labelled identifier the least text is learnt from, once. Without labelled rows of both classes every score is 0. An empty table gives an empty
-result. Other columns are kept by :func:`keep_clean` as they are.
+of training; a null identifier is not held out. Repeated rows score alike; of rows
+of one labelled identifier the least text is learnt from, once. Without labelled
+rows of both classes every score is 0. An empty table gives an empty result. Other
+columns are kept by :func:`keep_clean` as they are.
 """
 
 from __future__ import annotations
