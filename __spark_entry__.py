@@ -20,6 +20,7 @@ from shopspark.operators.contracts import violations
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
 from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, orphan_report as orphans_of
 from shopspark.operators.merge import MergeSpec, merge, spec_for
+from shopspark.operators.positions import with_places
 from shopspark.operators.quantiles import with_ntiles
 from shopspark.operators.radius import nearest, radius_join
 from shopspark.operators.rulebook import CONTRACTS, strict_contract
@@ -118,6 +119,23 @@ def product_360(spark, root):
     )
 
 
+def placed(run: Query, keys: list[str], *shown: str) -> Query:
+    """The order of a metric's rows: each row's key columns and its place in the result."""
+    return lambda spark, root: with_places(run(configure(spark), root), keys).select(*shown, "place")
+
+
+ORDERED = {
+    "daily_sales_order": placed(daily_sales, ["day", "country"], "day", "country"),
+    "cohort_order": placed(cohort_retention, ["country", "cohort_month", "month_number"], "country", "cohort_month", "month_number"),
+    "customer_value_order": placed(customer_rfm_ltv, ["ltv_value"], "user_id", "ltv_value"),
+    "stock_age_order": placed(product_360, ["avg_aging_days"], "product_id", "avg_aging_days"),
+    "traffic_source_order": placed(traffic_source_performance, ["avg_ticket"], "traffic_source", "avg_ticket"),
+}
+
+
+QUERIES.update(ORDERED)
+
+
 @query
 def buyer_spans(spark, root):
     """Distinct buyers of 30, 90 and 365 days from each month on: exact, and whether the daily sketches come near."""
@@ -155,6 +173,9 @@ def time_to_purchase(spark, root):
     return web.time_to_purchase(shop(spark, root, "events"))
 
 
+QUERIES["session_length_order"] = placed(time_to_purchase, ["session_duration_bucket"], "session_duration_bucket")
+
+
 @query
 def visitor_conversion(spark, root):
     return web.visitor_conversion(shop(spark, root, "events"))

@@ -430,6 +430,19 @@ FIXED = {
     "events": (EVENTS_FIXED, "events_fixed"),
 }
 
+# --- orders of results ---------------------------------------------------------------------------
+
+for _name, _of, _shown, _order in (
+    ("daily_sales_order", "daily_sales", "day, country", "day DESC NULLS FIRST, country NULLS FIRST"),
+    ("cohort_order", "cohort_retention", "country, cohort_month, month_number", "country NULLS FIRST, cohort_month, month_number"),
+    ("customer_value_order", "customer_rfm_ltv", "user_id, ltv_value", "ltv_value DESC NULLS FIRST"),
+    ("stock_age_order", "product_360", "product_id, avg_aging_days", "avg_aging_days DESC NULLS FIRST"),
+    ("traffic_source_order", "traffic_source_performance", "traffic_source, avg_ticket", "avg_ticket DESC NULLS FIRST"),
+    ("session_length_order", "time_to_purchase", "session_duration_bucket",
+     "list_position(['0-1 min', '1-5 min', '5-10 min', '10+ min'], session_duration_bucket)"),
+):
+    SQL[_name] = f"SELECT {_shown}, rank() OVER (ORDER BY {_order}) AS place FROM ({SQL[_of]}) AS result"
+
 SQL["clean_users"] = f"""WITH {USERS_FIXED}
 SELECT *, longitude AS user_geom_lon, latitude AS user_geom_lat FROM users"""
 SQL["clean_distribution_centers"] = f"""WITH {CENTERS_FIXED}
