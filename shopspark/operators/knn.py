@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from shopspark.storage import materialize
 
 QUERY_BLOCK = 2048
-PACK_ROWS = 16384
-SCORED_QUERIES = 256
+#: Bytes of the vectors of a pack, and scores that a task holds at once.
+PACK_BYTES = 8 << 20
+SCORES = 1 << 19
 DIGITS = 10
 #: Cells of an index at most, so that the centroids which every task holds have a fixed size.
 MOST_CELLS = 4096
@@ -37,7 +38,19 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _stack(vectors) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    return np.stack([np.asarray(v) for v in vectors]).astype(np.float64)
+
+
+def pack_rows(width: int) -> int:
+    """Vectors of this many components that a pack holds, as doubles."""
+    return max(1, PACK_BYTES // (8 * max(1, width)))
+
+
+def slices(count: int, width: int) -> Iterator[slice]:
+    """Cuts of ``count`` rows so that rows times ``width`` scores stay few."""
+    step = max(1, SCORES // max(1, width))
+    for at in range(0, count, step):
+        yield slice(at, at + step)
 
 
 def _pack(rows: pd.DataFrame) -> dict:
@@ -50,14 +63,18 @@ def packs(corpus: DataFrame) -> DataFrame:
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}
         counts: dict[int, int] = {}
-        for batch in batches:
-            for cell, rows in batch.groupby("cell"):
-                held.setdefault(cell, []).append(rows)
-                counts[cell] = counts.get(cell, 0) + len(rows)
-                if counts[cell] >= PACK_ROWS:
-                    yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(held.pop(cell)))}])
-                    del counts[cell]
-            while sum(counts.values()) > 2 * PACK_ROWS:  # many cells in one task: let the largest go
+        for batch in filter(len, batches):
+            most = pack_rows(len(batch["v"].iloc[0]))
+            for cell, whole in batch.groupby("cell"):
+                while len(whole):
+                    rows = whole.iloc[: most - counts.get(cell, 0)]
+                    whole = whole.iloc[len(rows) :]
+                    held.setdefault(cell, []).append(rows)
+                    counts[cell] = counts.get(cell, 0) + len(rows)
+                    if counts[cell] >= most:
+                        yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(held.pop(cell)))}])
+                        del counts[cell]
+            while sum(counts.values()) > 2 * most:  # many cells in one task: let the largest go
                 cell = max(counts, key=counts.get)
                 yield pd.DataFrame([{"cell": cell, **_pack(pd.concat(held.pop(cell)))}])
                 del counts[cell]
@@ -71,7 +88,8 @@ def packs(corpus: DataFrame) -> DataFrame:
 def numbered_packs(corpus: DataFrame) -> tuple[DataFrame, int]:
     """(pack, ids, data): the corpus dealt by a hash into packs numbered from 0, and how many there are."""
     given = corpus.where(F.col("v").isNotNull()).select("id", "v")
-    number = max(1, -(-given.count() // PACK_ROWS))
+    count, width = given.agg(F.count("*"), F.max(F.size("v"))).first()
+    number = max(1, -(-count // pack_rows(width or 1)))
     dealt = given.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(number)).cast("int"))
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
@@ -106,10 +124,12 @@ def _best_of_pack(k: int, skip_self: bool):
                 ids, asking = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
                 data = np.frombuffer(row.data, np.float64).reshape(len(ids), -1)
                 queries = np.frombuffer(row.queries, np.float64).reshape(len(asking), -1)
-                for at in range(0, len(asking), SCORED_QUERIES):
-                    part = asking[at : at + SCORED_QUERIES]
+                for cut in slices(len(asking), len(ids)):
+                    part = asking[cut]
+                    far = queries[cut] @ data.T
+                    np.subtract(1.0, far, out=far)
                     # One rounded key decides here and in the merge.
-                    far = np.round(1.0 - queries[at : at + SCORED_QUERIES] @ data.T, DIGITS)
+                    np.round(far, DIGITS, out=far)
                     if skip_self:
                         far[part[:, None] == ids[None, :]] = np.inf
                     last = min(k, len(ids)) - 1
@@ -203,7 +223,9 @@ def build_index(
     @F.pandas_udf("int")
     def nearest_cell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(np.argmax(unit(_stack(batch)) @ centroids.T, axis=1) if len(batch) else [], dtype="int32")
+            data = unit(_stack(batch)) if len(batch) else np.empty((0, 0))
+            cells = [np.argmax(data[cut] @ centroids.T, axis=1) for cut in slices(len(data), len(centroids))]
+            yield pd.Series(np.concatenate(cells) if cells else [], dtype="int32")
 
     assigned = rows.withColumn("cell", nearest_cell("v"))
     assigned.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(path)
@@ -223,9 +245,12 @@ def similar_ann(
     centroids = index.centroids
 
     @F.pandas_udf("array<int>")
-    def nearest_cells(vectors: pd.Series) -> pd.Series:
-        order = np.argsort(-(unit(_stack(vectors)) @ centroids.T), axis=1)[:, :probes] if len(vectors) else []
-        return pd.Series([list(map(int, row)) for row in order], dtype=object)
+    def nearest_cells(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            # Of a slice at once, as a query's cells take more room than its vector.
+            for cut in slices(len(vectors), len(centroids)):
+                order = np.argsort(-(unit(_stack(vectors.iloc[cut])) @ centroids.T), axis=1)[:, :probes]
+                yield pd.Series(list(order.astype(np.int32)), dtype=object)
 
     asking = queries.select(F.col(query_key).alias("id"), F.col(query_vector).alias("v")).where(F.col("v").isNotNull())
     asking = asking.withColumn("cell", F.explode(nearest_cells("v")))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopspark.operators.knn import DIGITS, QUERY_BLOCK, query_blocks, top_k, unit
+from shopspark.operators.knn import DIGITS, QUERY_BLOCK, query_blocks, slices, top_k, unit
 from shopspark.storage import materialize
 
 PARTS = 16
@@ -30,11 +30,11 @@ CENTROIDS = 256
 TRAIN_ROWS = 20_000
 ROUNDS = 12
 FIRST = 100
-PACK_ROWS = 1 << 16
+PACK_ROWS = 1 << 15
 
 
 def _stack(vectors) -> np.ndarray:
-    return unit(np.stack([np.asarray(v, np.float64) for v in vectors]))
+    return unit(np.stack([np.asarray(v) for v in vectors]).astype(np.float64))
 
 
 def train(rows: np.ndarray, centroids: int = CENTROIDS, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
@@ -51,8 +51,10 @@ def train(rows: np.ndarray, centroids: int = CENTROIDS, rounds: int = ROUNDS, se
 
 
 def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    far = (centroids**2).sum(axis=1)[None, :] - 2 * rows @ centroids.T
-    return far.argmin(axis=1)
+    lengths, found = (centroids**2).sum(axis=1)[None, :], np.empty(len(rows), np.int64)
+    for cut in slices(len(rows), len(centroids)):
+        found[cut] = (lengths - 2 * rows[cut] @ centroids.T).argmin(axis=1)
+    return found
 
 
 @dataclass(frozen=True)
@@ -135,19 +137,20 @@ def _first_lists(books: tuple[np.ndarray, ...], first: int, skip_self: bool):
                 ids, asking = np.frombuffer(row.ids, np.int64), np.frombuffer(row.query_ids, np.int64)
                 codes = np.frombuffer(row.codes, np.uint8).reshape(len(ids), len(books))
                 queries = np.frombuffer(row.queries, np.float64).reshape(len(asking), -1)
-                # Of unit vectors the nearest have the largest products.
-                tables = [queries[:, a:b] @ book.T for a, b, book in zip(edges, edges[1:], books)]
-                out = []
-                for q in range(len(asking)):
-                    far = -sum(table[q][codes[:, p]] for p, table in enumerate(tables))
-                    if skip_self:
-                        far[ids == asking[q]] = np.inf
-                    n = min(first, len(ids))
-                    spots = np.argpartition(far, n - 1)[:n]
-                    spots = spots[np.isfinite(far[spots])]
-                    out.append((np.full(len(spots), asking[q]), ids[spots], np.round(far[spots], DIGITS)))
-                queries_, found, far = (np.concatenate(c) for c in zip(*out))
-                yield pd.DataFrame({"query_id": queries_, "id": found, "distance": far})
+                for cut in slices(len(asking), len(books) * CENTROIDS):
+                    # Of unit vectors the nearest have the largest products.
+                    tables = [queries[cut, a:b] @ book.T for a, b, book in zip(edges, edges[1:], books)]
+                    out = []
+                    for q, asker in enumerate(asking[cut]):
+                        far = -sum(table[q][codes[:, p]] for p, table in enumerate(tables))
+                        if skip_self:
+                            far[ids == asker] = np.inf
+                        n = min(first, len(ids))
+                        spots = np.argpartition(far, n - 1)[:n]
+                        spots = spots[np.isfinite(far[spots])]
+                        out.append((np.full(len(spots), asker), ids[spots], np.round(far[spots], DIGITS)))
+                    queries_, found, far = (np.concatenate(c) for c in zip(*out))
+                    yield pd.DataFrame({"query_id": queries_, "id": found, "distance": far})
 
     return listed
 

@@ -15,9 +15,10 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Whole texts go to Python in batches limited by size, not only by row count.
+    # Whole texts and packed vectors go to Python in batches limited by size, not only by row count;
+    # a worker holds a batch several times, and a task has a worker for each Python step.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8388608",
 }
 
 
