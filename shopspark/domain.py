@@ -156,8 +156,9 @@ SUPPLIER_USERS = 1_000_000_000_000
 def raw_order_items(spark: SparkSession, root: str) -> DataFrame:
     """Order lines with a unique id.
 
-    The rank runs within (order, dispatch day), so one huge order is spread over
-    its days instead of landing in a single task.
+    The rank runs within (order, dispatch day). Lines are dealt by order once, which
+    serves the rank, the join with the heads and what is summed by order. The ids
+    bound an order: it has fewer than ``_ID_DAY`` lines a day.
     """
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     within_day = W.partitionBy("l_orderkey", "_day").orderBy(
@@ -167,7 +168,7 @@ def raw_order_items(spark: SparkSession, root: str) -> DataFrame:
     rank = F.row_number().over(within_day)
     full = F.raise_error(F.lit("an order has too many lines of one day for its item ids")).cast("bigint")
     number = F.col("l_orderkey") * _ID_ORDER + F.col("_day") * _ID_DAY
-    lines = scan(spark, root, "lineitem").withColumn("_day", day).withColumn("_rank", rank)
+    lines = scan(spark, root, "lineitem").repartition("l_orderkey").withColumn("_day", day).withColumn("_rank", rank)
     lines = lines.withColumn("id", F.when(F.col("_rank") < _ID_DAY, number + F.col("_rank")).otherwise(full)).drop("_rank")
     return item_columns(lines, order_heads(spark, root)).select(
         "id",

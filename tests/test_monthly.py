@@ -105,3 +105,19 @@ def test_id_filters_skip_row_groups(spark, tmp_path):
         metrics = plan.collectLeaves().head().metrics()
         read[lookup] = metrics.get("numOutputRows").get().value()
     assert read[()] > 0 and read[("id",)] == 0
+
+
+def test_order_lines_are_dealt_once(spark, small):
+    """The rank within an order, the join with its head and sums by order share one shuffle of the lines."""
+    from shopspark.domain import RAW
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        items = RAW["order_items"](spark, small)
+        plan = items._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2, plan
+        summed = items.groupBy("order_id").count()._jdf.queryExecution().executedPlan().toString()
+        assert summed.count("Exchange hashpartitioning") == 2, summed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
