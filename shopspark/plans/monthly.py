@@ -4,7 +4,8 @@ The stored keys alone say in which months the batch's rows lie. Those months are
 compared with the batch, and the rows that are new or differ, with the month they come
 from and the month they go to, are written to scratch. The months they name are then
 overwritten: what stayed in them and the changed rows. A batch that changes nothing
-writes nothing. A row whose time changes leaves its month for another.
+writes nothing. A row whose time changes leaves its month for another. The first batch of
+a table has nothing to be compared with and is written straight to its months.
 
 A merge can be repeated after a failure: changed rows that already stand in the table
 are found unchanged.
@@ -43,7 +44,9 @@ def _months(rows: DataFrame, column: str = MONTH) -> list[str]:
 
 
 def matched_months(table: MonthlyTable, batch: DataFrame, spec: MergeSpec) -> list[str]:
-    """Months of the stored rows whose keys the batch has; reads keys only."""
+    """Months of the stored rows whose keys the batch has; reads keys only, and nothing where nothing is stored."""
+    if not table.exists():
+        return []
     if table.time in spec.keys:
         return _months(batch.select(month_of(F.col(table.time)).alias(MONTH)))
     keys = list(spec.keys)
@@ -71,12 +74,21 @@ def merge_months(table: MonthlyTable, batch: DataFrame, spec: MergeSpec, checked
         if batch.isEmpty():
             return MonthlyMerge(dict(NOTHING))
         require_unique(batch, spec.keys)
+    if not table.exists():
+        return _first_load(table, batch, spec)
     changed, actions = changed_rows(table, batch, spec)
     if not actions[INSERT] + actions[UPDATE]:
         return MonthlyMerge(actions)
     return overwrite_changed(table, changed, actions, spec)
 
 
+def _first_load(table: MonthlyTable, batch: DataFrame, spec: MergeSpec) -> MonthlyMerge:
+    """Into a table without rows: all rows are inserted, so they are read once and go straight to their months."""
+    fresh = merge(table.rows().drop(MONTH), batch.drop(MONTH), spec).select(*table.schema.names)
+    written = table.overwrite(fresh.withColumn(MONTH, month_of(F.col(table.time))))
+    return MonthlyMerge({**NOTHING, INSERT: written}, 0, tuple(table.months()), written)
+
+
 def overwrite_changed(table: MonthlyTable, changed: DataFrame, actions: dict[str, int], spec: MergeSpec) -> MonthlyMerge:
     """Write the months that ``changed`` names: what stays in them and the changed rows."""
     left, met = _months(changed), _months(changed, GOES_TO)

@@ -121,3 +121,21 @@ def test_order_lines_are_dealt_once(spark, small):
         assert summed.count("Exchange hashpartitioning") == 2, summed
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_first_batch_goes_straight_to_its_months(spark, tmp_path, monkeypatch):
+    """Nothing is stored, so the batch is neither matched by key nor parked before it is written."""
+    from shopspark.plans import monthly
+
+    parked = []
+    plain = monthly.materialize
+    monkeypatch.setattr(monthly, "materialize", lambda df, name: parked.append(name) or plain(df, name))
+    batch = days(spark, (1, "2024-01-05", "a"), (None, "2024-01-20", "b"), (None, "2024-01-20", "b"), (3, None, None))
+    table = MonthlyTable(spark, str(tmp_path), "t", batch.schema, sort=("id",))
+    done = merge_months(table, batch, MergeSpec(), checked=True)
+    assert parked == [] and done.actions == {"insert": 4, "update": 0, "unchanged": 0, "keep": 0}
+    assert (done.moved, done.months, done.rows_written) == (0, ("2024-01-01", TIMELESS), 4)
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, batch.collect()))
+    empty = MonthlyTable(spark, str(tmp_path), "empty", batch.schema)
+    done = merge_months(empty, batch.limit(0), MergeSpec())
+    assert set(done.actions.values()) == {0} and done.months == () and done.rows_written == 0 and not empty.exists()
