@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shopspark.operators.sessions import sessionize
 from shopspark.operators.transforms import clean
 from shopspark.sources.raw import scan
+from shopspark.storage import materialize
 
 _DAY = 86_400
 _1994 = 757_382_400  # 1994-01-01 00:00:00 UTC
@@ -185,10 +186,10 @@ def raw_order_items(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_orders(spark: SparkSession, root: str) -> DataFrame:
-    """Order heads with the latest item dates and the number of items."""
+def raw_orders(spark: SparkSession, root: str, items: DataFrame | None = None) -> DataFrame:
+    """Order heads with the latest item dates and the number of items; ``items`` are the raw items where they are kept."""
     rollup = (
-        raw_order_items(spark, root)
+        (raw_order_items(spark, root) if items is None else items)
         .groupBy("order_id")
         .agg(
             F.max("returned_at").alias("returned_at"),
@@ -207,9 +208,9 @@ def raw_orders(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def raw_inventory_items(spark: SparkSession, root: str) -> DataFrame:
+def raw_inventory_items(spark: SparkSession, root: str, items: DataFrame | None = None) -> DataFrame:
     """One unit per order item; every third is still in stock."""
-    units = raw_order_items(spark, root).select("id", "product_id", "created_at")
+    units = (raw_order_items(spark, root) if items is None else items).select("id", "product_id", "created_at")
     products = raw_products(spark, root)
     renamed = products.select(
         F.col("id").alias("product_id"),
@@ -280,6 +281,29 @@ RAW: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def raw_tables(spark: SparkSession, root: str) -> Callable[[str], DataFrame]:
+    """The raw tables by name, for a job that reads several of them.
+
+    Items, stock and orders are made from the order items, which are derived when the first of
+    them is asked for, kept in scratch and read from there by all three, as often as they are read.
+    """
+    kept: list[DataFrame] = []
+
+    def items() -> DataFrame:
+        if not kept:
+            derived = raw_order_items(spark, root)
+            stored = materialize(derived.drop("inventory_item_id"), "raw-items")
+            kept.append(stored.withColumn("inventory_item_id", F.col("id")).select(*derived.columns))
+        return kept[0]
+
+    made: dict[str, Callable[[], DataFrame]] = {
+        "order_items": items,
+        "orders": lambda: raw_orders(spark, root, items()),
+        "inventory_items": lambda: raw_inventory_items(spark, root, items()),
+    }
+    return lambda table: made[table]() if table in made else RAW[table](spark, root)
+
+
 def shop(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A cleaned business table."""
     return clean(RAW[table](spark, root), table)

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopspark.storage import materialize
+
 log = logging.getLogger(__name__)
 
 
@@ -75,12 +77,52 @@ def mark_drops(df: DataFrame, fks: Sequence[ForeignKey]) -> DataFrame:
     return rows.withColumn("dropped_by", verdict).drop(*[f"_ok{i}" for i in range(len(fks))])
 
 
-def warn_orphans(df: DataFrame, fk: ForeignKey, show: str, sample: int = 50, count: int | None = None) -> int:
+@dataclass(frozen=True)
+class Missing:
+    """The ids of a foreign key that are referred to and not there, in scratch; None when there are none."""
+
+    fk: ForeignKey
+    ids: DataFrame | None
+
+
+def missing_references(df: DataFrame, fks: Sequence[ForeignKey]) -> list[Missing]:
+    """Of each key the missing ids among the rows that keep the keys before it.
+
+    Only distinct ids are shuffled, never whole rows; ``df`` is read once for each key, of which Parquet
+    sources read single columns.
+    """
+    found: list[Missing] = []
+    for fk in fks:
+        ref, ids = df[fk.column], fk.ids()
+        kept = mark_missing(df, found).where(F.col("dropped_by").isNull() & ref.isNotNull())
+        referred = kept.select(ref.alias("_id")).distinct()
+        gone = materialize(referred.join(ids, F.col("_id") == F.col("_ref"), "left_anti"), f"missing-{fk.label}")
+        found.append(Missing(fk, None if gone.isEmpty() else gone))
+    return found
+
+
+def mark_missing(df: DataFrame, missing: Sequence[Missing]) -> DataFrame:
+    """``mark_drops`` from the missing ids: whole rows meet only those, which are few in sound data."""
+    rows, verdict = df, F.lit(None).cast("string")
+    for position, (fk, ids) in reversed([(i, (m.fk, m.ids)) for i, m in enumerate(missing)]):
+        broken = F.col(fk.column).isNull()
+        if ids is not None:
+            flag = f"_gone{position}"
+            rows = rows.join(ids.select(F.col("_id").alias(f"_id{position}"), F.lit(True).alias(flag)), rows[fk.column] == F.col(f"_id{position}"), "left")
+            rows = rows.drop(f"_id{position}")
+            broken = broken | F.col(flag).isNotNull()
+        verdict = F.when(broken, fk.label).otherwise(verdict)
+    return rows.withColumn("dropped_by", verdict).drop(*[f"_gone{i}" for i in range(len(missing))])
+
+
+def warn_orphans(
+    df: DataFrame, fk: ForeignKey, show: str, sample: int = 50, count: int | None = None, lost: DataFrame | None = None
+) -> int:
     """Log how many rows lose their reference and a few of them; the load goes on.
 
-    ``count`` is their number where it is known already.
+    ``count`` is their number and ``lost`` the rows, where they are known already.
     """
-    lost = orphans(df, fk)
+    lost = orphans(df, fk) if lost is None else lost
     count = lost.count() if count is None else count
     if count:
         examples = [row[0] for row in lost.select(show).limit(sample).collect()]

@@ -44,7 +44,8 @@ def spec_for(table: str, configured: dict[str, TableSpec | MergeSpec], fallback:
     return MergeSpec(keys=found.keys, frozen=found.frozen)
 
 
-def _chosen(source: DataFrame, spec: MergeSpec) -> list[str]:
+def chosen_columns(source: DataFrame, spec: MergeSpec) -> list[str]:
+    """The source columns that a merge takes."""
     columns = list(spec.columns) if spec.columns else list(source.columns)
     absent = [c for c in columns if c not in source.columns]
     if absent:
@@ -75,7 +76,7 @@ def merge(target: DataFrame, source: DataFrame, spec: MergeSpec = DEFAULT) -> Da
     matched row counts as updated only if an updatable column differs, nulls
     compared as values. Without updatable columns only new rows are added.
     """
-    columns = _chosen(source, spec)
+    columns = chosen_columns(source, spec)
     keys, names = list(spec.keys), list(target.columns)
     updatable = [c for c in columns if c not in keys and c not in spec.frozen]
 

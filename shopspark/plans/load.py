@@ -2,7 +2,8 @@
 
 One step per table: choose new rows, clean, drop broken references, stage, check,
 merge. The batch is staged once as Parquet; counts and row rules are observed
-while it is written, and uniqueness then reads only its key columns. Tables with a
+while it is written, and uniqueness then reads only its key columns. The first batch of a table
+kept by month is staged as it will stand there and then only put in its place. Tables with a
 history are kept by month and a merge rewrites the months it changes; of the others it
 writes the next version. Actions are counted on the way.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shopspark.operators.contracts import Contract, ContractViolation, row_counters, surplus_keys
 from shopspark.operators.incremental import high_watermark, newer_than, within_lookback
-from shopspark.operators.integrity import ForeignKey, keep_valid, mark_drops, warn_orphans
+from shopspark.operators.integrity import ForeignKey, Missing, keep_valid, mark_missing, missing_references, warn_orphans
 from shopspark.operators.merge import ACTION, INSERT, UPDATE, MergeSpec, merge, require_unique, spec_for
 from shopspark.operators.rulebook import CONTRACTS
 from shopspark.operators.transforms import clean
@@ -32,7 +33,7 @@ from shopspark.sources.layout import clustered
 from shopspark.sources.monthly import MonthlyTable
 from shopspark.sources.raw import allow_listed, read_raw
 from shopspark.sources.versioned import VersionedTable
-from shopspark.storage import scratch_path
+from shopspark.storage import remove, scratch_path, sparing_disk, step_scratch
 
 log = logging.getLogger(__name__)
 
@@ -61,11 +62,12 @@ REFERENCES: dict[str, tuple[tuple[str, str, str], ...]] = {
 
 @dataclass(frozen=True)
 class Staged:
-    """Row counts of a staged batch; ``losses`` per foreign key."""
+    """Row counts of a staged batch; ``losses`` per foreign key, whose ``missing`` ids are known."""
 
     rows_in: int
     rows_out: int
     losses: dict[str, int]
+    missing: tuple[Missing, ...] = ()
 
 
 TableReader = Callable[[str], DataFrame]
@@ -121,26 +123,34 @@ def extract(
     return keep_valid(chosen(raw, table, target, now, lookback), foreign_keys(table, stored))
 
 
-def stage(df: DataFrame, contract: Contract, fks: Sequence[ForeignKey] = ()) -> tuple[DataFrame, Staged]:
+def stage(
+    df: DataFrame, contract: Contract, fks: Sequence[ForeignKey] = (), table: MonthlyTable | None = None, place: str = ""
+) -> tuple[DataFrame, Staged]:
     """Write the valid rows of a batch to scratch, in one pass, and check its contract.
 
     Rows in, losses per foreign key and row rules are counted by the tasks that
-    write. Uniqueness then reads the key columns of the written batch.
+    write. Uniqueness then reads the key columns of the written batch. The first batch
+    of a ``table`` kept by month is written to its waiting ``place`` as it will stand there.
     """
     if not contract.names:
         raise ValueError(f"{contract.table}: the contract has no rules")
     spark, seen = df.sparkSession, Observation()
-    path = scratch_path(spark, f"batch-{contract.table}")
-    marked = mark_drops(df, fks)
+    path = place if table else scratch_path(spark, f"batch-{contract.table}")
+    missing = missing_references(df, fks)
+    marked = mark_missing(df, missing)
     kept = F.col("dropped_by").isNull()
     losses = [F.count(F.when(F.col("dropped_by") == fk.label, 1)).alias(f"lost_{fk.label}") for fk in fks]
     counters = row_counters(marked, contract, kept)
     every = F.count(F.lit(1)).alias("_in")
     written = F.count(F.when(kept, 1)).alias("_out")
-    marked.observe(seen, every, written, *losses, *counters).filter(kept).drop("dropped_by").write.parquet(path)
+    valid = marked.observe(seen, every, written, *losses, *counters).filter(kept).drop("dropped_by")
+    if table:
+        table.lay_out(table.aligned(valid), path)
+    else:
+        valid.write.parquet(path)
 
     found = seen.get
-    staged = Staged(found["_in"], found["_out"], {fk.label: found[f"lost_{fk.label}"] for fk in fks})
+    staged = Staged(found["_in"], found["_out"], {fk.label: found[f"lost_{fk.label}"] for fk in fks}, tuple(missing))
     counts = {rule: found[rule] for rule in contract.rows}
     batch = spark.read.schema(df.schema).parquet(path)
     if staged.rows_out:
@@ -196,33 +206,57 @@ def load_table(
     contract: Contract | None = None,
     step: Step | None = None,
 ) -> dict[str, int]:
-    """One step of the load."""
-    step = step or Step(table)
+    """One step of the load; what it parks and shuffles goes with it."""
+    with sparing_disk(spark), step_scratch(spark, table):
+        return _load_table(spark, raw, table, target_root, as_of, lookback, contract, step or Step(table))
+
 
+def _load_table(
+    spark: SparkSession, raw: DataFrame, table: str, target_root: str, as_of: datetime, lookback: int | None,
+    contract: Contract | None, step: Step,
+) -> dict[str, int]:
     def opened(name: str) -> VersionedTable | MonthlyTable:
         return open_table(spark, target_root, name)
 
-    target = opened(table)
+    target, contract = opened(table), contract or CONTRACTS[table]
     before = target.read() if target.exists() else None
     cleaned = chosen(raw, table, before, as_of, lookback)
     fks = foreign_keys(table, lambda name: opened(name).read())
-    batch, staged = stage(cleaned, contract or CONTRACTS[table], fks)
-    step.rows_in, step.rows_out, step.losses = staged.rows_in, staged.rows_out, staged.losses
-    if staged.rows_in > staged.rows_out:
-        log.warning("%s: rows left out for missing references: %s", table, staged.losses)
-        for fk in (fk for fk in fks if staged.losses.get(fk.label)):
-            warn_orphans(cleaned, fk, show=TABLES[table].keys[0], count=staged.losses[fk.label])
-    spec = spec_for(table, TABLES)
-    if not staged.rows_out:
-        step.actions = dict(NOTHING)
-    elif isinstance(target, MonthlyTable):
-        step.actions = merge_months(target, batch, spec, checked=True).actions
+    if isinstance(target, MonthlyTable) and before is None:
+        place = target.waiting_place()
+        try:
+            _, staged = stage(cleaned, contract, fks, target, place)
+            _report(step, cleaned, staged)
+            if staged.rows_out:
+                target.publish(place)
+        finally:
+            remove(spark, place)
+        step.actions = {**NOTHING, INSERT: staged.rows_out}
     else:
-        step.actions = upsert(target, batch, spec, checked=True)
+        batch, staged = stage(cleaned, contract, fks)
+        _report(step, cleaned, staged)
+        spec = spec_for(table, TABLES)
+        if not staged.rows_out:
+            step.actions = dict(NOTHING)
+        elif isinstance(target, MonthlyTable):
+            step.actions = merge_months(target, batch, spec, checked=True).actions
+        else:
+            step.actions = upsert(target, batch, spec, checked=True)
     step.status = "loaded" if step.rows_out else "empty"
     return step.actions
 
 
+def _report(step: Step, cleaned: DataFrame, staged: Staged) -> None:
+    """Counts of a staged batch to the step's log, and a warning with some of the rows left out."""
+    step.rows_in, step.rows_out, step.losses = staged.rows_in, staged.rows_out, staged.losses
+    if staged.rows_in > staged.rows_out:
+        log.warning("%s: rows left out for missing references: %s", step.table, staged.losses)
+        marked = mark_missing(cleaned, staged.missing)
+        for fk in (m.fk for m in staged.missing if staged.losses.get(m.fk.label)):
+            lost = marked.where(F.col("dropped_by") == fk.label)
+            warn_orphans(cleaned, fk, show=TABLES[step.table].keys[0], count=staged.losses[fk.label], lost=lost)
+
+
 def load_all(
     spark: SparkSession,
     source: str | TableReader,
@@ -249,7 +283,7 @@ def load_all(
         size_shuffles(spark, source)
         reader = lambda name: read_raw(spark, source, name)
     for table in (t for t in ORDER if t in wanted):
-        with run.step(table) as step:
+        with run.step(table) as step, sparing_disk(spark):
             contract = (contracts or {}).get(table)
             actions = load_table(spark, reader(table), table, target_root, as_of, lookback, contract, step)
             if actions[INSERT] or actions[UPDATE]:

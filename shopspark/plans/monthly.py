@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shopspark.operators.merge import ACTION, INSERT, KEEP, UNCHANGED, UPDATE, MergeSpec, merge, require_unique
+from shopspark.operators.merge import ACTION, INSERT, KEEP, UNCHANGED, UPDATE, MergeSpec, chosen_columns, merge, require_unique
 from shopspark.sources.monthly import MONTH, MonthlyTable, month_of
 from shopspark.storage import materialize
 
@@ -84,8 +84,7 @@ def merge_months(table: MonthlyTable, batch: DataFrame, spec: MergeSpec, checked
 
 def _first_load(table: MonthlyTable, batch: DataFrame, spec: MergeSpec) -> MonthlyMerge:
     """Into a table without rows: all rows are inserted, so they are read once and go straight to their months."""
-    fresh = merge(table.rows().drop(MONTH), batch.drop(MONTH), spec).select(*table.schema.names)
-    written = table.overwrite(fresh.withColumn(MONTH, month_of(F.col(table.time))))
+    written = table.overwrite(table.aligned(batch, chosen_columns(batch.drop(MONTH), spec)))
     return MonthlyMerge({**NOTHING, INSERT: written}, 0, tuple(table.months()), written)
 
 

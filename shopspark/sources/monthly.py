@@ -8,6 +8,7 @@ new and some old; a merge that stopped there is repaired by running it again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -68,11 +69,20 @@ class MonthlyTable:
         near = (month >= f"{str(low)[:7]}-01") & (month <= f"{str(high)[:7]}-31") & (month != TIMELESS)
         return self.rows().where(near & (time >= F.lit(low)) & (time < F.lit(high))).select(*self.schema.names)
 
+    def aligned(self, rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """``rows`` with the table's columns and their ``month``; what they lack, or ``columns`` leaves out, is null."""
+        given = rows.columns if columns is None else columns
+        fields = [(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        return rows.select(*fields).withColumn(MONTH, month_of(F.col(self.time)))
+
     def overwrite(self, rows: DataFrame) -> int:
         """Replace the months that ``rows`` (with a ``month`` column) has; returns the number of rows written.
 
         Rebalancing splits a large month over tasks by its measured size and joins small ones.
         """
+        return self._write(rows, self.path)
+
+    def _write(self, rows: DataFrame, path: str) -> int:
         seen = Observation()
         laid = rows.observe(seen, F.count(F.lit(1)).alias("n")).hint("rebalance", F.col(MONTH))
         writer = laid.sortWithinPartitions(MONTH, *self.sort).write.mode("overwrite")
@@ -80,9 +90,29 @@ class MonthlyTable:
         writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         for column in self.lookup:
             writer = writer.option(f"{ID_FILTER}{column}", "true")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(self.path)
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
         return seen.get["n"]
 
+    def waiting_place(self) -> str:
+        """A folder beside the table, on its file system, for months that are checked before they are published."""
+        return f"{self.path.rpartition('/')[0]}/_waiting-{self.name}-{uuid.uuid4().hex}"
+
+    def lay_out(self, rows: DataFrame, place: str) -> int:
+        """Write ``rows`` (with a ``month`` column) to a waiting place as they will stand in the table."""
+        return self._write(rows, place)
+
+    def publish(self, place: str) -> None:
+        """Put the months of a waiting place into a table that has none, without writing them again."""
+        if self.exists():
+            raise ValueError(f"{self.name}: the table has rows already")
+        fs, home = self._fs(self.path)
+        fs.mkdirs(home)
+        for status in fs.listStatus(self._fs(place)[1]):
+            folder = status.getPath()
+            # Under its own name: a folder renamed to an empty one would take its place.
+            if folder.getName().startswith(f"{MONTH}=") and not fs.rename(folder, self._fs(f"{self.path}/{folder.getName()}")[1]):
+                raise OSError(f"{self.name}: cannot put {folder} into the table")
+
     def remove(self, months: Sequence[str]) -> None:
         """Delete whole months."""
         for month in months:

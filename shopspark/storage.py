@@ -9,10 +9,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: Folder, below the application's, of the step that runs.
+_step: ContextVar[str] = ContextVar("step", default="")
+#: Without the first, shuffle files stay until the driver happens to collect its garbage.
+SPARING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.parquet.compression.codec": "zstd"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +38,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses, below this application's scratch folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_step.get()}{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+@contextmanager
+def step_scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Scratch tables made inside go when the block ends; nothing may read them later."""
+    outer = _step.set(f"{_step.get()}{name}-{uuid.uuid4().hex}/")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{_step.get()}"
+    try:
+        yield
+    finally:
+        _step.reset(outer)
+        remove(spark, path)
+
+
+@contextmanager
+def sparing_disk(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside leave little on disk: shuffle files go when their job ends, Parquet is packed tighter. A caller's own settings stay."""
+    wanted = {key: value for key, value in SPARING.items() if key not in spark.conf.getAll}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in wanted:
+            spark.conf.unset(key)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -58,8 +96,4 @@ def spread(df: DataFrame) -> DataFrame:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's scratch tables; call it when the job is over."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
-    )
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
