@@ -77,6 +77,10 @@ def mark_drops(df: DataFrame, fks: Sequence[ForeignKey]) -> DataFrame:
     return rows.withColumn("dropped_by", verdict).drop(*[f"_ok{i}" for i in range(len(fks))])
 
 
+#: More missing ids than these are not broadcast: packed in Parquet they look smaller to the planner than they are in memory.
+MOST_SENT = 2_000_000
+
+
 @dataclass(frozen=True)
 class Missing:
     """The ids of a foreign key that are referred to and not there, in scratch; None when there are none."""
@@ -97,7 +101,8 @@ def missing_references(df: DataFrame, fks: Sequence[ForeignKey]) -> list[Missing
         kept = mark_missing(df, found).where(F.col("dropped_by").isNull() & ref.isNotNull())
         referred = kept.select(ref.alias("_id")).distinct()
         gone = materialize(referred.join(ids, F.col("_id") == F.col("_ref"), "left_anti"), f"missing-{fk.label}")
-        found.append(Missing(fk, None if gone.isEmpty() else gone))
+        number = gone.count()
+        found.append(Missing(fk, None if not number else gone if number <= MOST_SENT else gone.hint("merge")))
     return found
 
 

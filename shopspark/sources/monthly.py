@@ -102,16 +102,20 @@ class MonthlyTable:
         return self._write(rows, place)
 
     def publish(self, place: str) -> None:
-        """Put the months of a waiting place into a table that has none, without writing them again."""
+        """Put the months of a waiting place into a table that has none, without writing them again.
+
+        The oldest come first, so a load by watermark goes on where this stopped.
+        """
         if self.exists():
             raise ValueError(f"{self.name}: the table has rows already")
         fs, home = self._fs(self.path)
         fs.mkdirs(home)
-        for status in fs.listStatus(self._fs(place)[1]):
-            folder = status.getPath()
+        names = [status.getPath().getName() for status in fs.listStatus(self._fs(place)[1])]
+        months = [name for name in names if name.startswith(f"{MONTH}=")]
+        for name in sorted(months, key=lambda name: (name != f"{MONTH}={TIMELESS}", name)):
             # Under its own name: a folder renamed to an empty one would take its place.
-            if folder.getName().startswith(f"{MONTH}=") and not fs.rename(folder, self._fs(f"{self.path}/{folder.getName()}")[1]):
-                raise OSError(f"{self.name}: cannot put {folder} into the table")
+            if not fs.rename(self._fs(f"{place}/{name}")[1], self._fs(f"{self.path}/{name}")[1]):
+                raise OSError(f"{self.name}: cannot put {name} into the table")
 
     def remove(self, months: Sequence[str]) -> None:
         """Delete whole months."""

@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 
 from shopspark import domain
+from shopspark.operators import integrity
 from shopspark.operators.contracts import Contract, ContractViolation
 from shopspark.operators.integrity import ForeignKey, mark_drops, mark_missing, missing_references
 from shopspark.plans.load import load_all, load_table, open_table, stored_table
@@ -112,6 +113,24 @@ def test_every_month_of_a_first_batch_has_its_place(spark, shop, tmp_path):
     assert [name for name in os.listdir(table.path) if not name.startswith("month=")] == []
 
 
+def test_a_stopped_publication_leaves_the_newest_months_out(spark, shop, tmp_path, monkeypatch):
+    raw = domain.raw_events(spark, shop).withColumn("created_at", domain.F.expr("if(id = 7, null, created_at + make_interval(0, cast(id % 5 as int)))"))
+    table = open_table(spark, str(tmp_path), "events")
+    place = table.waiting_place()
+    table.lay_out(table.aligned(raw), place)
+    find, asked = table._fs, []
+    def stopping(path):
+        asked.append(path)
+        if sum(p.startswith(f"{table.path}/month=") for p in asked) > 3:
+            raise KeyboardInterrupt
+        return find(path)
+    monkeypatch.setattr(table, "_fs", stopping)
+    with pytest.raises(KeyboardInterrupt):
+        table.publish(place)
+    monkeypatch.undo()
+    assert table.months() == ["2024-01-01", "2024-02-01", "none"]
+
+
 def test_a_broken_first_batch_leaves_nothing(spark, shop, tmp_path):
     contract = Contract("events", rows={"late": lambda t: t["id"] > 40})
     with pytest.raises(ContractViolation):
@@ -120,7 +139,7 @@ def test_a_broken_first_batch_leaves_nothing(spark, shop, tmp_path):
     assert not os.path.isdir(f"{tmp_path}/out") or os.listdir(f"{tmp_path}/out") == []
 
 
-def test_missing_ids_mark_the_same_rows(spark):
+def test_missing_ids_mark_the_same_rows(spark, monkeypatch):
     df = spark.createDataFrame(
         [(1, 1, 1), (2, 9, 1), (3, 1, 9), (4, 9, 9), (5, None, 1), (6, 2, None), (6, 2, None), (7, 9, 1), (8, 2, 2)], "id int, a int, b int"
     )
@@ -129,6 +148,10 @@ def test_missing_ids_mark_the_same_rows(spark):
     assert text(mark_missing(df, missing)) == text(mark_drops(df, fks))
     # Ids of rows that an earlier key drops already are not looked for.
     assert [rows(m.ids) for m in missing] == [[(9,)], [(9,)]]
+    monkeypatch.setattr(integrity, "MOST_SENT", 0)
+    dealt = mark_missing(df, missing_references(df, fks))
+    assert text(dealt) == text(mark_drops(df, fks))
+    assert "BroadcastHashJoin" not in dealt._jdf.queryExecution().executedPlan().toString()
     whole = missing_references(df.where("id in (1, 8)"), fks)
     assert [m.ids for m in whole] == [None, None]
     plan = mark_missing(df, whole)._jdf.queryExecution().executedPlan().toString()
